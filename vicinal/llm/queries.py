@@ -1,19 +1,24 @@
-"""The queries of this package, and their SQL."""
+"""The queries of this package, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, topk, urls
+from . import chat, decontaminate, mixing, tokens, topk, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op7_warc": warc.op7_warc,
+    "op8_token_count": tokens.op8_token_count,
     "op9_mix": mixing.op9_mix,
     "op10_top_k": topk.op10_top_k,
 }
 
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
+    "op2_chat_format": chat.SQL,
     "op3_url_filter": urls.SQL,
+    "op7_warc": warc.SQL,
     "op9_mix": mixing.SQL,
     "op10_top_k": topk.SQL,
 }
