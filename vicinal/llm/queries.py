@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, tokens, topk, urls, warc
+from . import chat, decontaminate, mixing, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_token_count": tokens.op8_token_count,
     "op9_mix": mixing.op9_mix,
