@@ -35,6 +35,8 @@ SHORTEST, LONGEST = 3, 12
 #: A stem occurs in so many toxic texts at least, and in this share of those of the sample; so copies of one text make none.
 SUPPORT, SUPPORT_SHARE, PRECISION, MOST_STEMS = 6, 0.01, 0.9, 512
 PRIOR = 0.05
+#: A stem is strong from this share of the largest weight on.
+STRONG = 0.75
 # Words of the four closed transducers (English, German, French, Spanish).
 THREATS = "kill hurt destroy beat burn shoot stab hunt töten umbringen verletzen zerstören tuer blesser frapper détruire matar golpear quemar destruir".split()
 INTENT = "will shall gonna going want must werde wirst will soll vais va veux voy va quiero".split()
@@ -91,6 +93,7 @@ class Grammar:
 
     def __init__(self, model: dict):
         self.weights, self.outcomes = model["stems"], model["outcomes"]
+        self.strong = STRONG * max(self.weights.values(), default=0)
         self.kinds = {w: k for k, words in (("speech", SPEECH), ("negation", NEGATIONS), ("intent", INTENT), ("target", TARGETS), ("threat", THREATS)) for w in words} | dict.fromkeys(QUOTES, "quote")
         self.lengths = sorted({len(s) for s in self.weights}, reverse=True)
         self.literals = [*dict.fromkeys(s.rstrip("$") for s in self.weights), *THREATS]
@@ -124,14 +127,14 @@ class Grammar:
             return []
         return [m for c in CLAUSE.split(low) if any(x in c for x in found) for m in self.clause(c)]
 
-    @staticmethod
-    def outcome(matches: list[tuple[str, float]]) -> tuple[str, float]:
-        """Counts of plain, softened (negated or reported) and bare threat matches, each up to its cap of kinds; and the sum of clause weights."""
-        plain = sum("I" in f and not set(f) & {"N", "R"} for f, _ in matches)
+    def outcome(self, matches: list[tuple[str, float]]) -> tuple[str, float]:
+        """Plain insults (none, one weak, one strong, more), softened ones (negated or reported) and aimed threats; and the sum of weights."""
+        plain = [w for f, w in matches if "I" in f and not set(f) & {"N", "R"}]
+        level = min(3, len(plain) + 1) if len(plain) > 1 or plain and plain[0] >= self.strong else len(plain)
         soft = sum("I" in f and bool(set(f) & {"N", "R"}) for f, _ in matches)
         aimed = any("W" in f and "X" in f and not set(f) & {"N", "R"} for f, _ in matches)
         weight = sum(max(0.0, w) * (0.5 if set(f) & {"N", "R"} else 1.0) * (1.5 if "X" in f else 1.0) for f, w in matches if "V" not in f)
-        return f"{min(plain, 2)}{min(soft, 1)}{int(aimed)}", weight
+        return f"{level}{min(soft, 1)}{int(aimed)}", weight
 
     def score(self, text: str) -> float:
         kind, weight = self.outcome(self.matches(text))
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     stems = F.transform(F.sequence(F.lit(SHORTEST), F.least(F.length("word"), F.lit(LONGEST))), lambda i: F.substring(F.col("word"), F.lit(1), i))
     counted = words.select("pos", "n", F.explode(F.concat(stems, F.array(F.concat("word", F.lit("$"))))).alias("stem")).groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
     rows = [(r.stem, r.pos, r.n) for r in counted.filter((F.col("pos") >= support) & (F.col("pos") >= PRECISION * F.col("n"))).orderBy(F.desc("pos"), "stem").limit(100 * MOST_STEMS).collect()]
-    model = {"stems": closed_stems(rows, prior, support), "outcomes": dict.fromkeys((f"{a}{b}{c}" for a in range(3) for b in range(2) for c in range(2)), prior)}
+    model = {"stems": closed_stems(rows, prior, support), "outcomes": dict.fromkeys((f"{a}{b}{c}" for a in range(4) for b in range(2) for c in range(2)), prior)}
 
     def outcomes(batches):
         grammar, got = Grammar(model), {}
@@ -186,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     # Priors: plain insults and aimed threats point to toxic texts, softened ones less so; counts soon outweigh them.
     for kind in model["outcomes"]:
         plain, soft, aimed = map(int, kind)
-        guess = prior if kind == "000" else 0.9 if plain == 2 else 0.8 if plain else 0.6 if aimed else 0.4
+        guess = prior if kind == "000" else (0.4, 0.5, 0.8, 0.9)[plain] if plain or not aimed else 0.6
         pos, n = next(((r.pos, r.n) for r in seen if r.outcome == kind), (0, 0))
         model["outcomes"][kind] = (pos + 4 * guess) / (n + 4)
     return model
