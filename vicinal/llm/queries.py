@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, tokens, topk, toxicity, urls, warc
+from . import chat, decontaminate, lm, mixing, neardup, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_chat_format": chat.op2_chat_format,
     "op3_url_filter": urls.op3_url_filter,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_warc": warc.op7_warc,
     "op8_token_count": tokens.op8_token_count,
     "op9_mix": mixing.op9_mix,

@@ -205,6 +205,11 @@ def score_toxicity(docs: DataFrame, model: dict, *, text_col: str = "text") -> D
     return with_result(docs, start, "double")
 
 
+def keep_clean(docs: DataFrame, model: dict, *, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with all their columns."""
+    return score_toxicity(docs, model, text_col=text_col).filter(F.col(RESULT) < threshold).drop(RESULT)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     r = score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
