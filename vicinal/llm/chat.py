@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, table
+from .common import loaded_tokenizer, raw, table
 
 TOKENIZER = "byte_bpe_50k.json"
 START, END = "<|im_start|>", "<|im_end|>"
@@ -52,11 +52,7 @@ def unescape_role(role: str) -> str:
 
 def load(data: str):
     """The tokenizer, for ordinary text only, and its two reserved ids."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(data)
-    t.no_truncation()
-    t.no_padding()
+    t = loaded_tokenizer(data)
     t.encode_special_tokens = True
     n = t.get_vocab_size(with_added_tokens=True)
     return t, n, n + 1

@@ -63,6 +63,23 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def loaded_tokenizer(data: str):
+    """The library's tokenizer of a .json file, without truncation and padding, on one thread; one for each worker process and file."""
+    import os
+    import tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would hold memory of their own
+    held = tokenizers.__dict__.setdefault("_held_by_worker", {})  # outlives the task, as nothing pickled by value does
+    if data not in held:
+        held.clear()
+        t = held[data] = tokenizers.Tokenizer.from_str(data)
+        t.no_truncation()
+        t.no_padding()
+    t = held[data]
+    t.encode_special_tokens = False
+    return t
+
+
 def with_result(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.Array]], kind: str) -> DataFrame:
     """df with a column RESULT of DDL type `kind`. start() runs once a task and returns the function of a batch."""
     schema = T.StructType([*(f for f in df.schema.fields if f.name != RESULT), T.StructField(RESULT, T._parse_datatype_string(kind))])
