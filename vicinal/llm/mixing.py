@@ -21,6 +21,8 @@ from .common import table
 
 MOST = 3
 SEED = "mix"
+#: Columns that plan_mix() adds.
+SIZE, SOURCE_SIZE, TARGET, COPIES = "__mix_size", "__mix_source_size", "__mix_target", "__mix_copies"
 BROADCAST_SOURCES = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,29 +54,28 @@ def copies(rate: Column, id_col: Column, seed: str) -> Column:
 
 
 def plan_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, cycle: int = 3, seed: str = SEED, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
-    """docs, and RESULT-free columns mix_size, mix_source_size, mix_target, mix_copies."""
-    sized = docs.withColumn("mix_size", size_of(F.col(text_col)))
+    """docs, and the columns SIZE, SOURCE_SIZE, TARGET and COPIES."""
     goal = targets(docs.select(F.col(source_col), size_of(F.col(text_col)).alias("size")), source_col=source_col, most=most, cycle=cycle)
-    goal = goal.select(F.col("own_source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    goal = goal.select(F.col("own_source").alias("__mix_source"), F.col("source_size").alias(SOURCE_SIZE), F.col("target").alias(TARGET))
     few = docs.select(source_col).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col(SOURCE_SIZE) > 0, F.col(TARGET) / F.col(SOURCE_SIZE)).otherwise(F.lit(0.0))
     return (
-        sized.join(F.broadcast(goal) if few else goal.hint("merge"), sized[source_col].eqNullSafe(F.col("mix_source")), "left")
-        .drop("mix_source")
-        .withColumn("mix_copies", copies(rate, F.col(id_col), seed))
+        docs.withColumn(SIZE, size_of(F.col(text_col)))
+        .join(F.broadcast(goal) if few else goal.hint("merge"), F.col(source_col).eqNullSafe(F.col("__mix_source")), "left")
+        .drop("__mix_source")
+        .withColumn(COPIES, copies(rate, F.col(id_col), seed))
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """Each document as many times as the mix takes it, with its columns and mix_copy (from 1)."""
-    made = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
-    planned = plan_mix(docs, **options).filter(F.col("mix_copies") > 0)
-    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).drop(*made)
+    """Each document as many times as the mix takes it, with its columns and mix_copy (from 1; a column of that name is replaced)."""
+    planned = plan_mix(docs, **options).filter(F.col(COPIES) > 0)
+    return planned.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), COPIES))).drop(SIZE, SOURCE_SIZE, TARGET, COPIES)
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return planned.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return planned.select("doc_id", F.col(SIZE).alias("size"), F.col(SOURCE_SIZE).alias("source_size"), F.col(TARGET).alias("target"), (F.col(SIZE) * F.col(COPIES)).alias("taken"))
 
 
 SQL = r"""

@@ -340,7 +340,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
     """The documents that near_duplicates() keeps, with all their columns."""
     gone = staged(near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     few = gone.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
