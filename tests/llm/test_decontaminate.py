@@ -1,0 +1,91 @@
+"""Decontamination against a brute-force search over all words."""
+
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from vicinal.llm import decontaminate as D
+from vicinal.llm.common import RESULT
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, window=10):
+    out = []
+    for text in docs:
+        w, hit, found = words(text), set(), set()
+        for name, item in items:
+            v = words(item)
+            n = min(window, len(v))
+            for q in range(len(v) - n + 1 if v else 0):
+                for p in range(len(w) - n + 1):
+                    if w[p : p + n] == v[q : q + n]:
+                        hit.update(range(p, p + n))
+                        found.add("" if name is None else str(name))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+PASSAGE = "One two three four five six seven eight nine ten eleven twelve"
+ITEMS = [(1, PASSAGE), (2, "alpha beta gamma"), (3, None), (4, "..."), (None, "solo"), (1, "extra words of item one again and again until ten words"), (10, PASSAGE.lower() + " thirteen"), (5, "été ça vaut")]
+DOCS = [
+    None, "", "...", PASSAGE, f"before {PASSAGE.upper()}! after", "one two three four five six seven eight nine", f"{PASSAGE} {PASSAGE}", "alpha, beta; gamma. alpha beta delta", "x " * 3000 + "alpha beta gamma " + "y " * 3000,
+    "solo", "ÉTÉ ça vaut", "été ça vaut", PASSAGE, "two three four five six seven eight nine ten eleven twelve thirteen alpha beta",
+]
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(i, x, "k", i) for i, x in enumerate(docs)], "doc_id bigint, text string, items string, n_words int").repartition(3)
+
+
+@pytest.mark.parametrize("options", [{}, {"block_chars": 60}, {"window": 3}])
+def test_equals_brute_force(spark, options):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    rows = D.find_matches(frame(spark, DOCS), items, **options).orderBy("doc_id").collect()
+    got = [(r[RESULT].n_words, r[RESULT].n_hit, r[RESULT]["items"]) for r in rows]
+    assert got == brute(DOCS, ITEMS, options.get("window", 10))
+
+
+def test_longest_matches_and_places(spark):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    r = D.find_matches(frame(spark, ["q " + PASSAGE.lower() + " thirteen " + PASSAGE]), items).first()[RESULT]
+    assert {(m["item"], m.doc_word, m.item_word, m.n_words) for m in r.matches} == {("1", 1, 0, 12), ("10", 1, 0, 13)}
+
+
+def test_removal_keeps_columns_and_clean_rows(spark):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = frame(spark, DOCS)
+    kept = D.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, (_, h, _) in enumerate(brute(DOCS, ITEMS)) if not h]
+
+
+def test_empty_tables(spark):
+    items, docs = spark.createDataFrame(ITEMS, "item_id bigint, text string"), frame(spark, DOCS)
+    assert D.find_matches(docs.limit(0), items).count() == 0
+    assert D.find_matches(docs, items.limit(0)).filter(F.col(f"{RESULT}.n_hit") > 0).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab ", max_size=30), max_size=6), st.lists(st.text("ab ", max_size=14), max_size=4), st.integers(1, 4))
+def test_search_equals_brute_force(docs, items, window):
+    index = D.Index([(str(i), x.encode()) for i, x in enumerate(items)], window)
+    got = [(sum(s[1::2]) - sum(s[::2]), sorted(m[0] for m in found)) for s, found in index.search([index.ids(x.encode()) for x in docs])]
+    assert got == [(h, f) for _, h, f in brute(docs, [*enumerate(items)], window)]
+
+
+def test_contract_columns(spark, tmp_path):
+    frame(spark, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in D.op1_decontaminate(spark, str(tmp_path)).collect()}
+    for i, (n, h, items) in enumerate(brute(DOCS, ITEMS)):
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, h, len(items), h > 0)
+        assert got[i].items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
