@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RESULT, raw, table, with_result
+from .common import RESULT, loaded_tokenizer, raw, table, with_result
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -38,16 +38,6 @@ SPACE = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 EDGE = re.compile(r"(?<=\S)[ \t\n\r](?=\S)")
 
 
-def load(data: str):
-    """The library's tokenizer of a .json file, without truncation and padding."""
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_str(data)
-    t.no_truncation()
-    t.no_padding()
-    return t
-
-
 def keeps_no_space(t) -> bool:
     """Whether tokens of texts are those of their pieces between white space."""
     if t.pre_tokenizer is None:
@@ -105,7 +95,7 @@ def encode_huge(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> lis
 
 class Counter:
     def __init__(self, data: str, huge: int, chunk: int, overlap: int):
-        self.t, self.huge, self.chunk, self.overlap = load(data), huge, chunk, overlap
+        self.t, self.huge, self.chunk, self.overlap = loaded_tokenizer(data), huge, chunk, overlap
         self.by_piece, self.known = keeps_no_space(self.t), {}
 
     def learn(self, words: list[bytes]) -> None:
