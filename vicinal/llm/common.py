@@ -82,7 +82,7 @@ def loaded_tokenizer(data: str):
 
 def with_result(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.Array]], kind: str) -> DataFrame:
     """df with a column RESULT of DDL type `kind`. start() runs once a task and returns the function of a batch."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != RESULT), T.StructField(RESULT, T._parse_datatype_string(kind))])
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != RESULT), T.StructField(RESULT, T.DataType.fromDDL(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

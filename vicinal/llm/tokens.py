@@ -99,8 +99,6 @@ class Counter:
         self.by_piece, self.known = keeps_no_space(self.t), {}
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
         for a in range(0, len(words), 20_000):
             part = [w.decode() for w in words[a : a + 20_000]]
             lines = [part[b : b + 200] for b in range(0, len(part), 200)]
@@ -113,10 +111,9 @@ class Counter:
         """Tokens of each row of pieces."""
         coded = pa.array([w for r in rows for w in r], pa.binary()).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.known]:
-            self.learn(new)
-            if len(self.known) < len(words) or any(w not in self.known for w in words):  # the memory was cleared
-                self.learn([w for w in words if w not in self.known])
+        if len(self.known) + len(words) > REMEMBERED:
+            self.known = {}
+        self.learn([w for w in words if w not in self.known])
         each = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
         total = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum([len(r) for r in rows])
