@@ -1,0 +1,96 @@
+"""Filters, projections and templates."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from vicinal import errors as X
+from vicinal.functions import predicates as P
+from vicinal.plans import templates as T
+
+ROWS = [(1, "a", 1.5, True), (2, "b", 2.5, False), (3, None, None, None), (4, "it's", 4.0, True)]
+
+
+@pytest.fixture
+def df(spark):
+    return spark.createDataFrame(ROWS, "id int, s string, x double, b boolean")
+
+
+@pytest.mark.parametrize(
+    ("filters", "ids"),
+    [
+        ({"s__eq": "a"}, [1]), ({"s__eq": "it's"}, [4]), ({"b__eq": True}, [1, 4]), ({"x__eq": 2.5}, [2]), ({"s__not_eq": "a"}, [2, 4]), ({"s__in": ["a", "b"]}, [1, 2]), ({"id__in": (1, 3)}, [1, 3]), ({"x__in": [1.5, 4.0]}, [1, 4]),
+        ({"s__not_in": ["a"]}, [2, 4]), ({"id__gt": 2}, [3, 4]), ({"id__gte": 2}, [2, 3, 4]), ({"x__lt": 2.5}, [1]), ({"x__lte": 2.5}, [1, 2]), ({"id__gt": 1, "b__eq": True}, [4]), ({}, [1, 2, 3, 4]), (None, [1, 2, 3, 4]),
+    ],
+)
+def test_where(df, filters, ids):
+    assert [r.id for r in df.filter(P.where(filters)).orderBy("id").collect()] == ids
+
+
+@pytest.mark.parametrize(
+    ("filters", "error"),
+    [
+        ({"s__like": "a"}, X.FilterSyntaxError), ({"s": "a"}, X.FilterSyntaxError), ({"a__b__eq": 1}, X.FilterSyntaxError), ({"s__in": []}, X.FilterSyntaxError), ({"s__not_in": []}, X.FilterSyntaxError),
+        ({"s__eq": None}, X.UnsupportedTypeError), ({"s__eq": [1]}, X.UnsupportedTypeError), ({"s__in": "ab"}, X.UnsupportedTypeError), ({"s__in": ["a", 1]}, X.UnsupportedTypeError), ({"id__gt": "1"}, X.UnsupportedTypeError), ({"id__lt": True}, X.UnsupportedTypeError), ({"a.b.c__eq": 1}, ValueError),
+    ],
+)
+def test_invalid_filters(filters, error):
+    with pytest.raises(error):
+        P.where(filters)
+    with pytest.raises(error):
+        P.TemplateData("p", filters=filters)
+
+
+def test_projections(df):
+    assert P.select(df, ["ID", "s", "id"]).columns == ["id", "s"]
+    assert P.select(df, []).columns == df.columns
+    assert P.select_bare(df.alias("c"), ["c.id", "c.S"]).columns == ["id", "s"]
+    assert P.with_required(["c.cas_ingest_id", "X"]) == ["c.cas_cell_index", "c.cas_ingest_id", "x"]
+    assert P.without_alias(["a.b", "c"]) == ["b", "c"]
+    for bad in ("", "a.b.c"):
+        with pytest.raises(ValueError, match="column name"):
+            P.column_names([bad])
+
+
+def test_template_data(df):
+    assert P.TemplateData("p", "d", ["id"], {"id__lte": 2}).apply(df).count() == 2
+    for bad in ({"project": ""}, {"project": "p", "dataset": ""}, {"project": "p", "select": []}):
+        with pytest.raises(X.TemplateError):
+            P.TemplateData(**bad)
+
+
+def test_filters_reach_the_scan(spark, df, tmp_path):
+    df.write.parquet(f"{tmp_path}/t")
+    plan = spark.read.parquet(f"{tmp_path}/t").filter(P.where({"id__in": [1, 2], "x__gte": 1.0})).select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "In(id, [1,2])" in plan and "GreaterThanOrEqual(x,1.0)" in plan and "ReadSchema: struct<id:int,x:double>" in plan
+
+
+TEXT = "{select}\nfrom {source} a\n{where}\ngroup by 1\nlimit 10"
+
+
+def test_render(spark, df):
+    df.createOrReplaceTempView("rendered")
+    q = T.render(TEXT, select=["s"], filters={"id__gte": 1, "s__in": ["a", "x'; drop"]}, source="rendered")
+    assert q.text == "select s\nfrom rendered a\nwhere id >= :p0\n    and s in (:p1_0, :p1_1)\ngroup by 1\nlimit 10"
+    T.validate(spark, q)
+    assert [r.s for r in q.run(spark).collect()] == ["a"]
+    assert T.render("{select} from {source} {where}", source="rendered").run(spark).count() == 4
+    for bad in (T.render("{select} frm {source} {where}", source="rendered"), T.render("{select} from {source}", select=["nope"], source="rendered")):
+        with pytest.raises(X.QueryError):
+            T.validate(spark, bad)
+    with pytest.raises(X.TemplateError):
+        T.render(TEXT, source="a; drop table b")
+
+
+def test_scalars(spark):
+    from vicinal.functions import scalars as S
+
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    assert [S.partition_number(n) for n in (1, 7_000_000, 10**9, 6_144_000, 6_143_000)] == [4096, 8192, 65536, 8192, 4096]
+    assert [value(S.partition_count(F.lit(n))) for n in (1, 7_000_000, 10**9, 6_144_000, 6_143_000)] == [4096, 8192, 65536, 8192, 4096]
+    assert [S.check_version(spark, v, "1.8.0") for v in ("1.8.0", "1.8", "1.10.0", "1.7.9", "1.8.0rc1", "1.9.0rc1", "2")] == [True, True, True, False, False, True, True]
+    with pytest.raises(X.VersionError):
+        S.check_version(spark, "invalid_version")
+    assert [value(S.trace_id(F.lit(h))) for h in ("abc123/def456;o=x", "abc123/def456", "", "abc", "XYZ/1", "abc/def;x", "/def", None)] == ["abc123", "abc123", None, None, None, None, None, None]
+    assert value(S.shortened(F.lit("x" * 21))) == "x" * 20 + "..." and value(S.shortened(F.lit(None).cast("string"))) == "" and value(S.shortened(F.lit("x" * 20))) == "x" * 20
+    assert value(S.unique_suffix(F.lit("n"))).startswith("n_")

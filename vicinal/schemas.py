@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _of(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(), "array<float>": T.ArrayType(T.FloatType()), "array<double>": T.ArrayType(T.DoubleType())}
+
+
+def _of(columns: str) -> T.StructType:
+    """Columns as name and type; schemas exist before any session does."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
 QUERY_MATRIX = _of("query_cell_id string, total_mrna_umis float, x array<float>")
