@@ -1,20 +1,18 @@
-"""What the operators share: the shared folder, staged tables, Arrow mapping, words and folds."""
+"""What the operators share: Arrow mapping, words, folds and tokenizers; staged tables come from the library."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Executors need not have this package installed: its functions travel with the tasks.
-cloudpickle.register_pickle_by_value(sys.modules[__package__])
+from ..sources.readers import table
+from ..sources.shared import new_path, remove, staged
+
+__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "fold", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "staged", "table", "with_result"]
 
 #: The name of the column that with_result() adds.
 RESULT = "__r"
@@ -22,38 +20,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: lineage ends here, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever file system the path names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
