@@ -129,3 +129,16 @@ def test_files_and_matrices(spark, tmp_path):
     for bad in (matrix.drop("total_mrna_umis"), matrix.withColumn("x", F.col("x").cast("array<double>")), matrix.withColumn("total_mrna_umis", F.lit(1.0))):
         with pytest.raises(X.InputError):
             R.checked_matrix(bad)
+
+
+def test_plans(index, queries):
+    """The index is read in one pass; k rows a query are kept before the one shuffle. Probing joins by partition id."""
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    exact = plan(N.exact_neighbours(queries, index.coalesce(2), 5))
+    assert exact.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in exact and "Join" not in exact
+    rows = index.withColumn("partition_id", (F.col("cas_cell_index") % 5).cast("int"))
+    probed = plan(N.probed_neighbours(queries, rows, I.mean_centroids(rows, F.col("partition_id")), 5, 2, "l2"))
+    assert "WindowGroupLimit" in probed and "Cartesian" not in probed and "NestedLoop" not in probed
