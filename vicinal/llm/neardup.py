@@ -345,3 +345,20 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + least(len(w), 5) - 1), ' ') as sh
+  from (select doc_id, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)),
+e(x, y) as (select x, y from l union all select y, x from l),
+r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.y from r join e on r.other = e.x),
+m as (select doc_id, min(other) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n using (doc_id) join m using (doc_id)
+"""

@@ -21,6 +21,7 @@ ORACLE_SQL = {
     "op1_decontaminate": decontaminate.SQL,
     "op2_chat_format": chat.SQL,
     "op3_url_filter": urls.SQL,
+    "op6_near_duplicates": neardup.SQL,
     "op7_warc": warc.SQL,
     "op9_mix": mixing.SQL,
     "op10_top_k": topk.SQL,
