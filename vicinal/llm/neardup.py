@@ -158,7 +158,9 @@ def shared_prefixes(walks: DataFrame, depth: int, star: bool) -> DataFrame | Non
     for d in range(1, depth + 1):
         k = f"k{d}"
         sizes = now.groupBy(F.col(k).alias("key")).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("m") > 1) & (F.col("low") != F.col("high"))).select("key", "m")
-        met = staged(now.join(sizes, F.col(k) == F.col("key")), f"prefix{d}")
+        sizes = staged(sizes, f"sizes{d}")
+        few = sizes.count() <= BROADCAST_NODES  # then no walk moves, however many share a prefix; else Spark splits large ones
+        met = staged(now.join(F.broadcast(sizes) if few else sizes.hint("merge"), F.col(k) == F.col("key")), f"prefix{d}")
         out.append(met.filter(F.col("m") <= SMALL).select("key", "node", "comp"))
         now = met.filter(F.col("m") > SMALL)
         if now.isEmpty():
