@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..sources.readers import table
 from ..sources.shared import new_path, remove, staged
 
-__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "fold", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "staged", "table", "with_result"]
+__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "fold", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
 
 #: The name of the column that with_result() adds.
 RESULT = "__r"
@@ -55,13 +55,32 @@ def with_result(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa
         for b in batches:
             keep = [i for i, n in enumerate(b.schema.names) if n != RESULT]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), work(b)], names=[*(b.schema.names[i] for i in keep), RESULT])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def raw(column: pa.Array) -> list[bytes | None]:
-    """The values of a text column as UTF-8."""
-    return column.cast(pa.binary()).to_pylist()
+def raw(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The values of a text column as UTF-8, some rows at a time: a batch is not held twice."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).cast(pa.binary()).to_pylist()
+
+
+def sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of some rows, so that what is made of them stays small."""
+    for a in range(0, batch.num_rows, rows):
+        yield batch.slice(a, rows)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task and shares the executor's limit."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def byte_table(is_word: Callable[[int], bool]) -> bytes:

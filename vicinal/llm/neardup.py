@@ -27,20 +27,20 @@ a path with a node of another component. Texts are read again for those nodes al
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, pieces, raw, staged, table
+from .common import SPACED, give_back, pieces, raw, staged, table
 
 WIDTH, PERCENT = 5, 85
 TREES, FIRST, DEPTH = 12, 2, 4
 #: Nodes of a path prefix that are compared at once; hash functions; equal sketch bytes that make a pair plausible.
 SMALL, HASHES, PLAUSIBLE = 256, 64, 42
-AT_ONCE = 500_000
+AT_ONCE = 250_000
 BROADCAST_NODES = 1_000_000
 
 
@@ -55,7 +55,7 @@ def constants(n: int, salt: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
 
-def shingle_sets(texts: list[bytes | None], width: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[bytes | None], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     from xxhash import xxh3_64_intdigest
 
@@ -130,6 +130,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     at, held, size = at + len(held), [], 0
             if held:
                 yield out(held, at)
+        give_back()
 
     return docs.mapInArrow(run, SIGNED)
 

@@ -19,6 +19,7 @@ Scale: one pass, no shuffle. The tokenizer's file is read once on the driver and
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -119,8 +120,8 @@ class Counter:
         ends = np.cumsum([len(r) for r in rows])
         return total[ends] - total[ends - [len(r) for r in rows]]
 
-    def batch(self, texts: list[bytes | None]) -> list[int]:
-        out, rows, at, n = [0] * len(texts), [], [], 0
+    def batch(self, texts: Iterable[bytes | None]) -> list[int]:
+        out, rows, at, n = [], [], [], 0
 
         def flush() -> None:
             for k, x in zip(at, self.pieces(rows).tolist() if rows else [], strict=True):
@@ -129,6 +130,7 @@ class Counter:
             at.clear()
 
         for k, data in enumerate(texts):
+            out.append(0)
             if not data:
                 continue
             if len(data) > self.huge and len(text := data.decode()) > self.huge:
@@ -157,8 +159,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
         counter = Counter(sent.value, huge, chunk, overlap)
 
         def work(b: pa.RecordBatch) -> pa.Array:
-            texts = raw(b.column(text_col))
-            return pa.array([{"n_bytes": len(x or b""), "n_tokens": n} for x, n in zip(texts, counter.batch(texts), strict=True)], kind)
+            column = b.column(text_col)
+            return pa.array([{"n_bytes": len(x or b""), "n_tokens": n} for x, n in zip(raw(column), counter.batch(raw(column)), strict=True)], kind)
 
         return work
 
