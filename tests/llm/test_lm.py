@@ -120,3 +120,18 @@ def test_parts_of_texts_score_alike(size):
     ids, ends = np.array([w for t in TEXTS[:30] for w in t]), np.cumsum([len(t) for t in TEXTS[:30]])
     got = np.concatenate([tree.log10(x, e)[lead:] for x, e, lead in lm.windows(ids, ends, 3, size)])
     assert got == pytest.approx(tree.log10(ids, ends))
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    """A context of 25 occurrences counts in a corpus of any size: here it is less than 1e-5 of all tokens."""
+    train, held = ([i for i in range(300) if held_out(i) is x] for x in (False, True))
+    rows = [(i, "the cat " * 20_000) for i in train[:80]] + [(i, "odd pair") for i in train[80:105]] + [(held[0], "odd pair")]
+    r = lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("held_out").first()
+    assert 25 < 1e-5 * r.train_tokens
+    assert r.score > r.base_score + 4
+
+
+def test_merged_sums():
+    pair, n = lm.merged([np.array([3, 5, 9]), np.zeros(0, np.int64), np.array([1, 5])], [np.array([1, 2, 3]), np.zeros(0, np.int64), np.array([4, 5])])
+    assert (pair.tolist(), n.tolist()) == ([1, 3, 5, 9], [4, 1, 7, 3])
+    assert [len(a) for a in lm.merged([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])] == [0, 0]

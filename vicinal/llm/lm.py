@@ -1,23 +1,24 @@
 r"""LM scoring with a probabilistic suffix tree over words.
 
 Tokens: A-Z lower-cased, words `[^\x20\x09-\x0D]+`, then one end. Root: the add-one unigram (c + 1) / (N + V + 1), where one class
-stands for all unknown words. A context is the last 1 to `depth` words; candidates are contexts seen in at least `least_context` of all
-training tokens, found level by level. A candidate is kept when its next-symbol distribution diverges from that of its suffix: the log
+stands for all unknown words. A context is the last 1 to `depth` words; candidates are contexts seen `least_context` times or more in the
+training texts, found level by level. A candidate is kept when its next-symbol distribution diverges from that of its suffix: the log
 likelihood it gains, each occurrence judged by the others, is `gain_per_symbol` nats for each next symbol that it lists, or more. Next
-symbols are listed from `least_pair` of all training tokens, and two occurrences, on. Smoothing: P(w | s) = (n(s, w) + (rest(s) + k) P(w | suffix of s)) / (n(s) + k), where rest(s) are the
+symbols are listed from `least_pair` occurrences, and two, on. Smoothing: P(w | s) = (n(s, w) + (rest(s) + k) P(w | suffix of s)) / (n(s) + k), where rest(s) are the
 occurrences of s whose next symbol is not listed and D of each listed one (absolute discounting; n(s, w) is less D); it sums to 1 over
 the vocabulary and the unknown class. A token is scored by the
 longest kept suffix of what precedes it in its text.
 
-All bounds are shares of the corpus, so the tree grows no further than 1 / share entries a level while the counts behind it cover
-all training tokens. Words with at least `least_word` of all tokens (at most 1 / least_word words) have numbers that are broadcast; the
-others are rare by construction, cannot be contexts or listed symbols, and meet their counts in a shuffle by word.
+The bounds are numbers of occurrences, the same for any corpus, so words, contexts and listed symbols grow with it; a bound below 1 is a
+share of all training tokens. Words seen `least_word` times or more have numbers that are broadcast; the others cannot be contexts or
+listed symbols, and meet their counts in a shuffle by word.
 
 Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Null or empty texts are the end alone. Rows that repeat, or share an
 id, are scored each for itself. Without training rows N is 0 and every token is unknown. Empty tables give empty tables; extra
 columns are ignored.
 
-Scale: coded texts are staged once in the shared folder; counts are summed within a task before they are shuffled.
+Scale: coded texts are staged once in the shared folder; counts are summed within a task before they are shuffled, those of pairs in packed buckets. The tree is built
+on the driver and broadcast, so the memory of both grows with it; symbols of contexts that are not kept never leave the driver.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ from .common import SPACED, fold, give_back, pieces, raw, sliced, staged, table
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
-LEAST_WORD, LEAST_CONTEXT, LEAST_PAIR = 1e-6, 1e-5, 1e-6
+LEAST_WORD, LEAST_CONTEXT, LEAST_PAIR = 20, 20, 3
 GAIN_PER_SYMBOL, K, D = 2.0, 1.0, 0.75
 #: Words, and tokens, of a step inside a task.
 AT_ONCE, TOKENS = 250_000, 200_000
+#: Training tokens for each bucket of pairs that is summed at once.
+BUCKET = 2_000_000
 #: The end of a text as a word; no word holds a space.
 END = b" "
 
@@ -78,11 +81,11 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def code_texts(docs: DataFrame, head: pa.Array) -> DataFrame:
     """docs (row, doc_id, held_out, text) with numbers of words from 1 (0: not in head), and the other words with their counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(head.to_pylist())
+    sent = docs.sparkSession.sparkContext.broadcast(head)
     lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
 
     def run(batches):
-        known = pa.array(sent.value, pa.binary())
+        known = sent.value
         for b in batches:
             for first, words, ends in steps(raw(b.column("text"))):
                 coded = pa.array(words, pa.binary()).dictionary_encode()
@@ -138,16 +141,24 @@ class Tree:
         self.root = np.concatenate([[1.0], (counts + 1) / (n + v + 1)])  # of number 0: the rest is added by word
         self.levels: list[dict] = []
 
-    def contexts(self, ids: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-        """For each token, the number of the `depth` words before it among that level's contexts; -1 if none."""
+    def walk(self, ids: np.ndarray, ends: np.ndarray, depth: int) -> Iterator[np.ndarray]:
+        """For each token, the numbers of the 1, 2, ... `depth` words before it among those levels' contexts; -1 if none."""
         starts = np.concatenate([[0], ends[:-1]])
         now = np.zeros(len(ids), np.int64)
         for d in range(depth):
             before, word = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
             before[1:], word[1:] = now[:-1], ids[:-1]
             before[starts], word[starts] = -1, 0
-            ok = (before >= 0) & (word > 0)
-            now = np.where(ok, find(self.levels[d]["contexts"], before * self.width + word), -1)
+            ok = np.flatnonzero((before >= 0) & (word > 0))
+            now = np.full(len(ids), -1, np.int64)
+            now[ok] = find(self.levels[d]["contexts"], before[ok] * self.width + word[ok])
+            yield now
+
+    def contexts(self, ids: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+        """For each token, the number of the `depth` words before it among that level's contexts; -1 if none."""
+        now = np.zeros(len(ids), np.int64)
+        for now in self.walk(ids, ends, depth):
+            pass
         return now
 
     def add_level(self, contexts: np.ndarray, totals: np.ndarray) -> None:
@@ -173,6 +184,9 @@ class Tree:
         unlisted = (level["rest"] - D * listed) * np.log((level["rest"] + K) / (level["totals"] + K))
         gain = np.bincount(of, weights=times * np.log(own / parent), minlength=len(suffix)) + unlisted
         level["kept"] = (listed > 0) & (gain >= GAIN_PER_SYMBOL * listed)
+        # No other context is asked for its symbols.
+        use = level["kept"][of]
+        level["pairs"], level["times"] = pairs[use], times[use]
 
     def given(self, word: np.ndarray, context: np.ndarray, depth: int) -> np.ndarray:
         """P(word | context) for contexts of one level, with the suffixes below."""
@@ -188,64 +202,119 @@ class Tree:
         level = self.levels[d - 1]
         if not len(level["contexts"]):
             return p
-        c = np.maximum(context, 0)
-        use = (context >= 0) & level["kept"][c]
+        use = np.flatnonzero((context >= 0) & level["kept"][np.maximum(context, 0)])
+        if not len(use):
+            return p
+        c, word, out = context[use], word[use], p.copy()
         at = find(level["pairs"], c * self.width + word)
-        n = np.where((at >= 0) & (word > 0), level["times"][np.maximum(at, 0)] - D if len(level["times"]) else 0, 0)
-        return np.where(use, (n + (level["rest"][c] + K) * p) / (level["totals"][c] + K), p)
+        n = np.where((at >= 0) & (word > 0), level["times"][np.maximum(at, 0)] - D, 0)
+        out[use] = (n + (level["rest"][c] + K) * p[use]) / (level["totals"][c] + K)
+        return out
 
     def log10(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The tokens' log10 probabilities; rare words' own root probabilities are left out."""
         p = self.root[ids]
-        for d in range(1, len(self.levels) + 1):
-            p = self.smooth(d, self.contexts(ids, ends, d), ids, p)
+        for d, c in enumerate(self.walk(ids, ends, len(self.levels)), 1):
+            p = self.smooth(d, c, ids, p)
         return np.log10(p)
 
 
+def merged(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in order and the sums of their times."""
+    pair, n = np.concatenate(pairs), np.concatenate(times)
+    order = np.argsort(pair)
+    pair, n = pair[order], n[order]
+    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+    return pair[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _summed(coded: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (context of the last level, next word) of the training texts seen `least` times or more, in order, and their counts."""
-    sent = coded.sparkSession.sparkContext.broadcast(vars(tree))
-    depth = len(tree.levels)
+    sent = coded.sparkSession.sparkContext.broadcast({"width": tree.width, "levels": [{"contexts": x["contexts"]} for x in tree.levels]})
+    depth, buckets = len(tree.levels), max(1, tree.n // BUCKET)
+
+    def packed(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """A row for each bucket: steps from pair to pair, compressed, and counts."""
+        of = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(of, kind="stable")
+        cuts = np.searchsorted(of[order], np.arange(buckets + 1))
+        rows = []
+        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if s < e:
+                own = order[s:e]
+                rows.append((k, e - s, *(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (np.diff(pair[own], prepend=0), n[own].astype(np.int64)))))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "m", "pairs", "times"])
 
     def run(batches):
         t = Tree.__new__(Tree)
         vars(t).update(sent.value)
+        held, size = [], 0
         for part in (x for b in batches for x in sliced(b)):
             for ids, ends, lead in windows(*flat(part.column("ids")), depth):
                 at, ids = t.contexts(ids, ends, depth)[lead:], ids[lead:]
                 ok = (at >= 0) & (ids > 0)
-                pair, n = np.unique(at[ok] * t.width + ids[ok], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], names=["pair", "n"])
+                held.append(np.unique(at[ok] * t.width + ids[ok], return_counts=True))
+                size += len(held[-1][0])
+                if size >= BUCKET:
+                    yield packed(*merged(*zip(*held, strict=True)))
+                    held, size = [], 0
+        if size:
+            yield packed(*merged(*zip(*held, strict=True)))
         give_back()
 
-    got = coded.filter("not held_out").select("ids").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    def add(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                own = held.setdefault(r["bucket"], [])
+                own.append(tuple(np.frombuffer(pa.decompress(r[c], decompressed_size=8 * r["m"], codec="zstd"), np.int64) for c in ("pairs", "times")))
+                own[-1] = (np.cumsum(own[-1][0]), own[-1][1])
+                if sum(len(x[0]) for x in own) > 2 * BUCKET and len(own) > 8:
+                    held[r["bucket"]] = [merged(*zip(*own, strict=True))]
+        for own in held.values():
+            pair, n = merged(*zip(*own, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(pair[n >= least]), pa.array(n[n >= least])], names=["pair", "n"])
+        give_back()
+
+    parts = coded.filter("not held_out").select("ids").mapInArrow(run, "bucket int, m bigint, pairs binary, times binary")
+    got = parts.repartition(buckets, "bucket").mapInArrow(add, "pair bigint, n bigint").toArrow()
+    sent.destroy()
     pairs, times = (got.column(c).to_numpy().astype(np.int64) for c in ("pair", "n"))
     order = np.argsort(pairs)
     return pairs[order], times[order]
 
 
+def occurrences(bound: float, n: int) -> float:
+    """A bound as a number of occurrences among n tokens."""
+    return bound if bound >= 1 else bound * n
+
+
 def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_word: float = LEAST_WORD, least_context: float = LEAST_CONTEXT, least_pair: float = LEAST_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
     counts = staged(count_words(own.filter("not held_out").select("text")), "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    got = counts.filter(F.col("c") >= least_word * n).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    least_word, least_context, least_pair = (occurrences(x, n) for x in (least_word, least_context, least_pair))
+    got = counts.filter(F.col("c") >= least_word).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
     head = got.column("word").combine_chunks() if got.num_rows else pa.array([], pa.binary())
     c = got.column("c").to_numpy().astype(np.int64)
     coded = staged(code_texts(own, head), "coded")
 
     tree = Tree(n, v, c)
-    contexts, totals = np.flatnonzero(c >= least_context * n) + 1, c[c >= least_context * n]  # code 0 * width + word
+    contexts, totals = np.flatnonzero(c >= least_context) + 1, c[c >= least_context]  # code 0 * width + word
     for d in range(depth):
         tree.add_level(contexts, totals)
         if not len(contexts):
             tree.fill_level(np.zeros(0, np.int64), np.zeros(0, np.int64))
             break
-        pairs, times = _summed(coded, tree, max(2.0, min(least_pair, least_context) * n))
+        pairs, times = _summed(coded, tree, max(2.0, min(least_pair, least_context)))
         tree.fill_level(pairs, times)
         end = np.isin(pairs % tree.width, np.flatnonzero([w == END for w in head.to_pylist()]) + 1)  # nothing follows an end
-        contexts, totals = pairs[~end & (times >= least_context * n)], times[~end & (times >= least_context * n)]
+        contexts, totals = pairs[~end & (times >= least_context)], times[~end & (times >= least_context)]
+    for level in tree.levels:
+        del level["suffix"]  # scores need none
+        level["times"] = level["times"].astype(np.int32 if n < 1 << 31 else np.int64)
     sent = spark.sparkContext.broadcast(vars(tree))
 
     def score(batches):
@@ -265,7 +334,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     scored = coded.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_score double")
     rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("own_word"), F.col("x.times").alias("times"))
-    few = counts.filter(F.col("c") < least_word * n)
+    few = counts.filter(F.col("c") < least_word)
     each = F.coalesce("c", F.lit(0))
     tail = (
         rare.join(few, F.col("own_word") == F.col("word"), "left")
