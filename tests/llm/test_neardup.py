@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs."""
 
+import math
 import random
 import re
 
@@ -116,3 +117,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 51), (51, 60), (7, 7)]
     got = {r.node: r.comp for r in N.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {51: 50, 60: 50, 100: 50}
+
+
+@pytest.mark.parametrize("percent", [50, 65, 70, 80, 85, 100])
+def test_sketches_refuse_few_links_at_any_threshold(percent):
+    p = percent / 100 + (1 - percent / 100) / 256
+    missed = sum(math.comb(N.HASHES, k) * p**k * (1 - p) ** (N.HASHES - k) for k in range(N.plausible(percent)))
+    assert missed <= 1e-5

@@ -15,7 +15,8 @@ percent * union, and components of links are the classes.
    the rest. Links inside a component change nothing, so no class is lost by that.
 
 Recall: two sets with a similarity of 0.85 share a token of one tree with probability 0.85, four with 0.52; over 12 trees at least
-1 - 0.48**12 > 0.9998 of such pairs meet, more the closer they are. A sketch misses such a pair with a probability below 1e-5.
+1 - 0.48**12 > 0.9998 of such pairs meet, more the closer they are; at 0.80, one with probability 0.80 and four with 0.41, at least
+1 - 0.59**12 > 0.998. A sketch, the same for all trees, misses a pair at exactly `percent` with a probability of at most MISS.
 
 Null ids: such rows are in no class (component null) and are kept. Rows that repeat an id are one document; if their texts differ,
 each text's set is its own but they share the id's class only by their sets. Null texts are empty. Ties go to the smallest
@@ -27,6 +28,7 @@ a path with a node of another component. Texts are read again for those nodes al
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,8 +40,8 @@ from .common import SPACED, give_back, pieces, raw, staged, table
 
 WIDTH, PERCENT = 5, 85
 TREES, FIRST, DEPTH = 12, 2, 4
-#: Nodes of a path prefix that are compared at once; hash functions; equal sketch bytes that make a pair plausible.
-SMALL, HASHES, PLAUSIBLE = 256, 64, 42
+#: Nodes of a path prefix that are compared at once; hash functions; the probability that a sketch refuses a pair at the threshold.
+SMALL, HASHES, MISS = 256, 64, 1e-5
 AT_ONCE = 250_000
 BROADCAST_NODES = 1_000_000
 
@@ -217,8 +219,20 @@ def roots(n: int, linked: Iterator[tuple[int, int]]) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def plausible_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def plausible(percent: int) -> int:
+    """Equal sketch bytes that make a pair plausible: a pair at `percent` has fewer with a probability of at most MISS."""
+    p = percent / 100 + (1 - percent / 100) / 256
+    missed = 0.0
+    for k in range(HASHES):
+        missed += math.comb(HASHES, k) * p**k * (1 - p) ** (HASHES - k)
+        if missed > MISS:
+            return k
+    return HASHES
+
+
+def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """job, node, comp: classes of nodes whose sketches may be linked across components; one job for the same class from any tree."""
+    enough = plausible(percent)
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -233,7 +247,7 @@ def plausible_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs: list[tuple[int, int]] = []
             for i in range(len(node) - 1):
                 same = (sketch[i + 1 :] == sketch[i]).sum(1)
-                pairs += [(i, i + 1 + j) for j in np.flatnonzero((same >= PLAUSIBLE) & (comp[i + 1 :] != comp[i])).tolist()]
+                pairs += [(i, i + 1 + j) for j in np.flatnonzero((same >= enough) & (comp[i + 1 :] != comp[i])).tolist()]
             if not pairs:
                 continue
             root = np.array(roots(len(node), iter(pairs)))
@@ -328,7 +342,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         else:
             known = components(edges)
             walks = walks.join(known.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("known")
-        jobs = staged(plausible_groups(shared_prefixes(walks, depth, star=edges is None), nodes), "jobs")
+        jobs = staged(plausible_groups(shared_prefixes(walks, depth, star=edges is None), nodes, percent), "jobs")
         found = staged(confirmed(jobs, own, nodes, width, percent), "links")
         edges = found if edges is None else known.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found)
     comps = components(edges)
