@@ -63,3 +63,16 @@ def test_stages(spark, folder):
         assert stage(spark, df, at).columns == df.columns
     assert P.STAGES[-1][1](spark, df, at).columns == [*df.columns, "mix_copy"]
     assert P.STAGES[1][1](spark, df.limit(0), at).count() == 0
+
+
+def test_near_copies_from_0_80_are_dropped(spark):
+    """Pairs with a similarity of 0.80 to 0.849, which the stage drops, and of 0.78, which it keeps."""
+    rnd = random.Random(3)
+    rows, gone = [], set()
+    for i in range(30):
+        both = [f"w{rnd.random()}" for _ in range(104)]
+        left, right = ([f"{x}{rnd.random()}" for _ in range((10, 12, 14)[i % 3])] for x in "ab")  # 100 of 120, 124, 128 shingles
+        rows += [(2 * i, " ".join(both + left)), (2 * i + 1, " ".join(both + right))]
+        gone |= {2 * i + 1} if i % 3 < 2 else set()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r.doc_id for r in P.drop_copies(spark, docs, "").collect()} == {i for i, _ in rows} - gone
