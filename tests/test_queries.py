@@ -40,3 +40,11 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "cell_count" in df.columns
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_feature_schemas_hold_whole_part(spark):
+    before = {r[0] for r in spark.sql("show databases").collect()}
+    QUERIES["list_feature_schemas"](spark, FOLDER).collect()
+    (db,) = {r[0] for r in spark.sql("show databases").collect()} - before
+    whole = spark.read.parquet(f"{FOLDER}/part.parquet").count()
+    assert [spark.table(f"{db}.genes_{x}").count() for x in "abc"] == [whole] * 3

@@ -90,7 +90,7 @@ def list_feature_schemas(spark: SparkSession, d: str) -> DataFrame:
     db, at = f"features_{uuid.uuid4().hex[:8]}", new_path(spark, "features")
     spark.sql(f"create database {db} location '{at}'")
     for name in ("genes_a", "genes_b", "genes_c"):
-        R.table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("index"), F.col("p_name").alias("feature_name")).limit(3).write.saveAsTable(f"{db}.{name}")
+        R.table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("index"), F.col("p_name").alias("feature_name")).write.saveAsTable(f"{db}.{name}")
     return C.feature_schemas(spark, db)
 
 
