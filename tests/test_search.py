@@ -9,7 +9,7 @@ from vicinal.operators import embedding as M
 from vicinal.operators import index_build as I
 from vicinal.operators import search as N
 from vicinal.sources import readers as R
-from vicinal.streaming.upsert import current, upsert_stream
+from vicinal.streaming.upsert import compacted, current, upsert_stream
 
 RNG = np.random.default_rng(0)
 ROWS = np.round(RNG.normal(size=(300, 8)), 1)
@@ -142,3 +142,97 @@ def test_plans(index, queries):
     rows = index.withColumn("partition_id", (F.col("cas_cell_index") % 5).cast("int"))
     probed = plan(N.probed_neighbours(queries, rows, I.mean_centroids(rows, F.col("partition_id")), 5, 2, "l2"))
     assert "WindowGroupLimit" in probed and "Cartesian" not in probed and "NestedLoop" not in probed
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2", "dot_product"])
+@pytest.mark.parametrize(("offset", "spread"), [(1e4, 1e-3), (-3e6, 1.0), (0.0, 1e-9), (0.0, 1e9), (1e-3, 1e-6)])
+def test_exact_for_vectors_of_any_size(spark, metric, offset, spread):
+    rng = np.random.default_rng(5)
+    m = offset + spread * rng.normal(size=(400, 16))
+    m[40:44] = m[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "cas_cell_index bigint, embedding array<double>").repartition(3)
+    asked = df.filter("cas_cell_index % 40 = 7 or cas_cell_index = 40").withColumnRenamed("cas_cell_index", "query_cell_id")
+    got = sorted(tuple(r) for r in N.exact_neighbours(asked, df, 6, metric).collect())
+    want = []
+    for q in [*range(7, 400, 40), 40]:
+        d = N.distances(metric, m[q], m)
+        want += [(q, r + 1, int(i), float(d[i])) for r, i in enumerate(np.lexsort((np.arange(400), d))[:6])]
+    assert got == sorted(want)
+
+
+def test_vectors_that_take_no_part(spark, index, queries):
+    """NaN, infinite, overlarge and null components, null vectors and null ids: no row of a batch suffers from another."""
+    bad = [(900, [float("nan")] * 8), (901, [float("inf")] + [0.0] * 7), (902, [None] + [0.0] * 7), (903, None), (None, [0.0] * 8), (904, [1e300] * 8)]
+    more = index.unionByName(spark.createDataFrame(bad, "cas_cell_index bigint, embedding array<double>")).coalesce(1)
+    asked = queries.unionByName(spark.createDataFrame([("qnan", [float("nan")] * 8), ("qnull", None), (None, [0.0] * 8)], "query_cell_id string, embedding array<double>"))
+    for metric in ("cosine", "l2", "dot_product"):
+        got = N.exact_neighbours(asked, more, 6, metric)
+        assert [tuple(r)[:3] for r in sorted(got.collect())] == [r[:3] for r in brute(metric, 6)]
+    with pytest.raises(X.SearchError):
+        N.checked_response(asked.dropna(subset=["query_cell_id"]), got)
+    with pytest.raises(Exception, match="does not have 8 components"):
+        N.exact_neighbours(queries, index.unionByName(spark.createDataFrame([(950, [1.0])], "cas_cell_index bigint, embedding array<double>")), 2).collect()
+    placed = I.assigned(more.select("cas_cell_index", "embedding"), I.mean_centroids(index, F.col("cas_cell_index") % 3))
+    assert {r.cas_cell_index: r.partition_id for r in placed.filter("partition_id < 0").collect()} == {i: -1 for i, _ in bad if i != None and i >= 900}  # noqa: E711
+
+
+def test_steps_of_assignment_shrink_with_the_centroids():
+    rng = np.random.default_rng(1)
+    x, m = 1e5 + rng.normal(size=(50, 4)), 1e5 + rng.normal(size=(70_000, 4))
+    got = N.closest("l2", x, m)
+    assert got.tolist() == [int(np.argmin(N.distances("l2", v, m))) for v in x]
+
+
+def test_trained_index_reaches_its_recall(spark, tmp_path):
+    """Clustered vectors, k-means centroids, an eighth of the partitions probed: recall against the exact search is 0.9 or more."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 3
+    m = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, embedding array<double>").repartition(4)
+    centroids = N.Centroids.read(I.create_index(rows, f"{tmp_path}/i", metric="l2", normalise=False, partitions=32, sample_size=2000))
+    held, asked = spark.read.parquet(f"{tmp_path}/i"), rows.filter("id % 40 = 0").withColumnRenamed("id", "query_cell_id")
+    for _ in range(2):  # centroids are read once and serve every search
+        got = {(r.query_cell_id, r.id) for r in N.probed_neighbours(asked, held, centroids, 10, 4, "l2", index_id="id").collect()}
+    want = {(r.query_cell_id, r.id) for r in N.exact_neighbours(asked, rows, 10, "l2", index_id="id").collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_life_of_an_index(spark, tmp_path):
+    rows = [(b, i, [float(i), float(b)]) for b in range(6) for i in range(b * 10, b * 10 + 15)]  # batches overlap: the later counts
+    batches, at = spark.createDataFrame(rows, "batch int, id bigint, embedding array<double>"), f"{tmp_path}/index"
+    want = {i: [float(i), float(b)] for b, i, _ in rows}
+    for chunk in (1, 2, 50):
+        I.build_index(batches, at, metric="L2", normalise=False, sample_size=20, partitions=3, chunk=chunk)
+        held, centroids = I.read_index(spark, at)
+        assert {r.id: r.embedding for r in held.collect()} == want and centroids.count() == 3 and len(I.versions(spark, at)) == 1
+    I.write_update(spark.createDataFrame([(3, [9.0, 9.0]), (500, [1.0, 1.0])], "id bigint, embedding array<double>"), centroids, at, I.versions(spark, at)[-1], 1, "l2")
+    want |= {3: [9.0, 9.0], 500: [1.0, 1.0]}
+    assert {r.id: r.embedding for r in I.read_index(spark, at)[0].collect()} == want
+    I.consolidate(spark, at, metric="L2", partitions=3)
+    assert {r.id: r.embedding for r in I.read_index(spark, at)[0].collect()} == want and len(I.versions(spark, at)) == 1
+    with pytest.raises(X.IndexConfigurationError):
+        I.read_index(spark, f"{tmp_path}/none")
+
+
+def test_deltas_are_folded(spark, tmp_path):
+    at = str(tmp_path)
+    for k in range(3):
+        spark.createDataFrame([(1, f"v{k}", 5), (10 + k, "own", k)], "id bigint, value string, ts bigint").coalesce(1).write.mode("append").parquet(f"{at}/in")
+        upsert_stream(spark, f"{at}/in", spark.read.parquet(f"{at}/in").schema, f"{at}/out", f"{at}/state").awaitTermination()
+        if k == 1:
+            compacted(spark, f"{at}/out")
+    want = {(1, "v2", 5), (10, "own", 0), (11, "own", 1), (12, "own", 2)}
+    assert {tuple(r) for r in current(spark, f"{at}/out").collect()} == want
+    compacted(spark, f"{at}/out")
+    assert {tuple(r) for r in current(spark, f"{at}/out").collect()} == want and current(spark, f"{at}/none") is None
+
+
+def test_staged_tables_are_discarded(spark):
+    import os
+
+    from vicinal.sources.shared import discard, staged
+
+    df = staged(spark.range(3), "x")
+    assert df.count() == 3 and os.path.isdir(df.staged_at)
+    discard(df, spark.range(3), None)
+    assert not os.path.isdir(df.staged_at)

@@ -22,8 +22,8 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """v / max(|v|, 1e-12)."""
-    return F.transform(v, lambda x: x / norm(v))
+    """v / max(|v|, 1e-12); the norm is bound once a row, not once a component."""
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n))[0]
 
 
 def distance(metric: str, a: Column, b: Column) -> Column:

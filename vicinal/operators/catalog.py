@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..errors import AccessDenied, NotFound
 from ..functions.predicates import where
 
-#: Columns by which lists can be filtered.
+#: The columns by which lists can be filtered.
 BROWSE = {
-    "cells": ["cas_cell_index", "cas_ingest_id", "cell_type", "assay", "development_stage", "tissue", "disease", "organism", "sex", "dataset_id"],
-    "features": ["cas_feature_index", "original_feature_id", "feature_name", "feature_biotype", "feature_reference", "cas_ingest_id"],
+    "cells": ["cas_cell_index", "cas_ingest_id", "original_cell_id", "cell_type", "cell_type_ontology_term_id", "assay", "development_stage", "tissue", "disease", "dataset_id"],
+    "features": ["cas_feature_index", "original_feature_id", "feature_name", "feature_biotype", "feature_is_filtered", "feature_reference"],
     "ingests": ["cas_ingest_id", "dataset_id", "ingest_timestamp"],
     "users": ["created_at"],
 }

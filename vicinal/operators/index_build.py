@@ -1,4 +1,10 @@
-"""Building a probing index: sample, centroids, assignment, upserts, consolidation."""
+"""Building a probing index: sample, centroids, assignment, upserts, consolidation.
+
+An index is a folder of versions. A version holds its centroids and its rows by update and partition; it counts once its centroids
+are there, which are written last. Updates add files and rewrite nothing; of rows with one id the latest update counts. Consolidation
+writes a version anew, with centroids trained on it, and then removes the older ones. Each step overwrites its own folder, so a
+step that failed is simply run again.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +12,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import IndexConfigurationError
 from ..functions import vectors as V
 from ..functions.scalars import MOST_PARTITIONS, partition_number
+from ..sources.shared import discard, file_system, remove, staged
 from ..sources.writers import write_index
-from .search import _near
+from .search import LARGEST, arrays, closest
 
 TRAINING_SAMPLE, UPDATE_CHUNK = 5_000_000, 50
+#: Rows for each partition that a later training takes at least.
+LEAST_SAMPLE = 32
 
 
 def build_metric(name: str) -> str:
@@ -47,42 +56,65 @@ def mean_centroids(df: DataFrame, by: Column, *, vector: str = "embedding") -> D
     return means.groupBy("partition_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda t: t["m"]).alias("centroid"))
 
 
+def sampled(rows: DataFrame, n_rows: int, sample_size: int = TRAINING_SAMPLE, *, id_col: str = "id") -> DataFrame:
+    """About `sample_size` of the rows, those whose hashed id is small; all of them where there are no more."""
+    share = min(1.0, sample_size / max(1, n_rows))
+    return rows if share == 1 else rows.filter(F.pmod(F.xxhash64(F.lit("sample"), id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def trained_centroids(sample: DataFrame, partitions: int, *, vector: str = "embedding", iterations: int = 10, seed: int = 42) -> DataFrame:
-    """Centroids by k-means over the training sample."""
-    model = KMeans(k=partitions, maxIter=iterations, seed=seed, featuresCol="features").fit(sample.select(array_to_vector(V.doubles(vector)).alias("features")))
+    """Centroids by k-means over the training sample, which is staged, for it is read in each iteration; no more of them than different vectors."""
+    there = F.col(vector).isNotNull() & F.forall(V.doubles(vector), lambda x: x.isNotNull() & (F.abs(x) <= LARGEST))
+    held = staged(sample.filter(there).select(array_to_vector(V.doubles(vector)).alias("features")), "training")
+    different = held.select(F.xxhash64(F.col("features").cast("string"))).distinct().limit(partitions).count()
+    if not different:
+        raise IndexConfigurationError("there are no vectors to train on")
+    if different < partitions:  # each of them is a centroid
+        got = sample.filter(there).select(V.doubles(vector).alias("centroid")).distinct()
+        discard(held)
+        return got.select((F.row_number().over(Window.orderBy("centroid")) - 1).cast("int").alias("partition_id"), "centroid")
+    model = KMeans(k=partitions, maxIter=iterations, seed=seed, featuresCol="features").fit(held)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+    discard(held)
     return sample.sparkSession.createDataFrame(rows, "partition_id int, centroid array<double>")
 
 
 def assigned(df: DataFrame, centroids: DataFrame, metric: str = "l2", *, vector: str = "embedding") -> DataFrame:
-    """df with the partition of its nearest centroid; ties to the smaller one. Rows are not shuffled: each meets the broadcast centroids."""
+    """df with the partition of its nearest centroid; ties to the smaller one. Rows are not shuffled: each meets the broadcast centroids.
+
+    A step takes as many rows as make about 2 million distances, so memory does not grow with the centroids. A vector that takes no
+    part in searches (null, or with a null or non-finite component) gets partition -1, which no search probes.
+    """
     got = centroids.select(F.col("partition_id").cast("int").alias("id"), V.doubles("centroid").alias("v")).orderBy("id").toArrow()
-    ids = got.column("id").to_numpy()
-    m = np.array(got.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
-    sent = df.sparkSession.sparkContext.broadcast((ids, m))
+    sent = df.sparkSession.sparkContext.broadcast((got.column("id").to_numpy(), arrays(got, None)[1]))
     schema = T.StructType([*(f for f in df.schema.fields if f.name != "partition_id"), T.StructField("partition_id", T.IntegerType())])
 
     def run(batches):
         ids, m = sent.value
         for b in batches:
             v = b.column(vector)
-            x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            at = np.concatenate([np.argmin(np.round(_near(metric, x[a : a + 4096], m), 9), axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, int)
+            there = np.flatnonzero(v.is_valid().to_numpy(zero_copy_only=False))
+            ok, x = arrays(pa.RecordBatch.from_arrays([v.drop_null().cast(pa.list_(pa.float64()))], names=["v"]), m.shape[1])
+            at = np.full(b.num_rows, -1, np.int32)
+            at[there[ok]] = ids[closest(metric, x, m)]
             keep = [n for n in b.schema.names if n != "partition_id"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(ids[at], pa.int32())], names=[*keep, "partition_id"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(at, pa.int32())], names=[*keep, "partition_id"])
 
     return df.mapInArrow(run, schema)
 
 
 def latest(rows: DataFrame, *, id_col: str = "id", order: str = "ts") -> DataFrame:
-    """The last write of each id. max_by pre-aggregates, so an id that is written again and again costs a task one row."""
-    last = rows.groupBy(id_col).agg(F.max_by(F.struct("*"), F.col(order)).alias("r"))
-    return last.select("r.*")
+    """The last write of each id; of rows of one time the greatest, so reruns agree. Rows pre-aggregate, so an id that is written again and again costs a task one row."""
+    rest = [c for c in rows.columns if c not in (id_col, order)]
+    last = rows.groupBy(id_col).agg(F.max(F.struct(order, *rest)).alias("r"))
+    return last.select(*(id_col if c == id_col else F.col("r")[c].alias(c) for c in rows.columns))
 
 
 def upserted(index: DataFrame, update: DataFrame, *, id_col: str = "id", order: str = "ts") -> DataFrame:
     """The index after an update: rows of the update replace those with the same id unless these are later."""
-    return latest(index.unionByName(update), id_col=id_col, order=order)
+    turn = lambda df, n: df.select(*(c for c in df.columns if c != order), F.struct(F.col(order).alias("time"), F.lit(n).alias("turn")).alias(order))
+    got = latest(turn(index, 0).unionByName(turn(update, 1)), id_col=id_col, order=order)
+    return got.withColumn(order, F.col(order)["time"]).select(*index.columns)
 
 
 def consolidated(rows: DataFrame, n_partitions: int, metric: str = "l2", **columns: str) -> tuple[DataFrame, DataFrame]:
@@ -92,11 +124,91 @@ def consolidated(rows: DataFrame, n_partitions: int, metric: str = "l2", **colum
     return assigned(compact, centroids, metric), centroids
 
 
-def create_index(rows: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, vector: str = "embedding") -> DataFrame:
-    """Train, assign and write; returns the centroids. The partition count follows the number of rows unless it is given."""
+def create_index(rows: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, vector: str = "embedding", sample_size: int = TRAINING_SAMPLE) -> DataFrame:
+    """Train on a sample, assign all rows and write; returns the centroids. The partition count follows the number of rows unless it is given."""
     kind = build_metric(metric)
-    ready = prepared(rows, normalise, vector=vector)
-    n = partitions or partition_number(rows.count(), max_partitions)
-    centroids = trained_centroids(ready, n, vector=vector)
+    ready, n_rows = prepared(rows, normalise, vector=vector), rows.count()
+    centroids = trained_centroids(sampled(ready, n_rows, sample_size), partitions or partition_number(n_rows, max_partitions), vector=vector)
     write_index(assigned(ready, centroids, kind, vector=vector), path)
     return centroids
+
+
+# The life of an index: created from the first batches, updated by the others, consolidated.
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The complete versions of an index, oldest first."""
+    fs, at = file_system(spark, path)
+    found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    numbers = sorted(int(n.removeprefix("version=")) for n in found if n.startswith("version="))
+    return [n for n in numbers if fs.exists(file_system(spark, f"{path}/version={n}/centroids/_SUCCESS")[1])]
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, embedding, partition_id) and centroids of the newest version. A consolidated version is one update, read as it lies."""
+    found = versions(spark, path)
+    if not found:
+        raise IndexConfigurationError(f"no index at {path}")
+    at = f"{path}/version={found[-1]}"
+    rows = spark.read.parquet(f"{at}/rows")
+    updates = rows.select("update").distinct().limit(2).count()
+    rows = latest(rows, order="update") if updates > 1 else rows
+    return rows.select("id", "embedding", "partition_id"), spark.read.parquet(f"{at}/centroids")
+
+
+def write_update(rows: DataFrame, centroids: DataFrame, path: str, version: int, update: int, metric: str) -> None:
+    """Rows (id, embedding) of an update, the last of each id, by partition; files of a partition lie together."""
+    placed = assigned(rows.select("id", "embedding"), centroids, metric)
+    placed.repartition("partition_id").write.mode("overwrite").partitionBy("partition_id").parquet(f"{path}/version={version}/rows/update={update}")
+
+
+def last_of_batches(rows: DataFrame) -> DataFrame:
+    return latest(rows.select("id", "batch", "embedding"), order="batch").select("id", "embedding")
+
+
+def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, sample_size: int = TRAINING_SAMPLE, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, chunk: int = UPDATE_CHUNK) -> None:
+    """An index of batches (batch, id, embedding), in order of batch: trained and created on the first whole batches that make the
+    sample, updated by the others `chunk` at a time, and consolidated if there were any. What was at the path goes when the new version is complete."""
+    spark, kind = batches.sparkSession, build_metric(metric)
+    before = versions(spark, path)
+    version = before[-1] + 1 if before else 0
+    ready = prepared(batches.select("batch", "id", "embedding"), normalise)
+    sizes = staged(batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows")), "batches")
+    used = staged(training_batches(sizes, sample_size), "used")
+    n_used, n_rows, last = used.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0)), F.max("batch")).first()
+    rest = [r.batch for r in sizes.filter(F.col("batch") > F.lit(last)).orderBy("batch").collect()] if n_used else []  # names of files
+    first = staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
+    n = partitions or partition_number(estimated_total(n_rows, n_used, n_used + len(rest)), max_partitions)
+    centroids = trained_centroids(first, n)
+    write_update(first, centroids, path, version, 0, kind)
+    for k in range(0, len(rest), chunk):
+        own = ready.filter((F.col("batch") >= F.lit(rest[k])) & (F.col("batch") <= F.lit(rest[min(k + chunk, len(rest)) - 1])))
+        write_update(last_of_batches(own), centroids, path, version, k // chunk + 1, kind)
+    centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/centroids")
+    discard(first, used, sizes)
+    if rest:
+        consolidate(spark, path, metric=metric, sample_size=sample_size, partitions=n)
+    else:
+        vacuum(spark, path)
+
+
+def consolidate(spark: SparkSession, path: str, *, metric: str = "COSINE", sample_size: int = TRAINING_SAMPLE, partitions: int | None = None) -> None:
+    """A new version: the last write of each id, centroids trained on a sample of them, one update; then the older versions go."""
+    rows, before = read_index(spark, path)
+    version = versions(spark, path)[-1] + 1
+    held = staged(rows.select("id", "embedding"), "compact")
+    n = partitions or before.count()
+    centroids = trained_centroids(sampled(held, held.count(), max(sample_size, LEAST_SAMPLE * n)), n)
+    write_update(held, centroids, path, version, 0, build_metric(metric))
+    centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/centroids")
+    discard(held)
+    vacuum(spark, path)
+
+
+def vacuum(spark: SparkSession, path: str) -> None:
+    """Remove all versions but the newest complete one."""
+    fs, at = file_system(spark, path)
+    newest = versions(spark, path)[-1]
+    for name in [s.getPath().getName() for s in fs.listStatus(at)]:
+        if name.startswith("version=") and name != f"version={newest}":
+            remove(spark, f"{path}/{name}")

@@ -1,27 +1,36 @@
 """Nearest neighbours: exact, by probing partitions, and what surrounds a search.
 
-Scale: the index is never shuffled or broadcast for an exact search. Queries come in blocks of bounded size; each block meets all
-index rows in one pass, batch by batch, and a task sends the k nearest of each query only. A probing search joins the queries' few
-partitions to the index by partition id and ranks what it meets.
+Vectors that are null, or hold a null, NaN, infinite or overlarge (LARGEST) component, take no part, and rows with a null id neither;
+a query without neighbours is then an error of checked_response(). A vector of another width is an error.
+
+Scale: the index is never shuffled or broadcast. Queries come in blocks of bounded size; each block meets all index rows in one
+pass, batch by batch, and a task sends the k nearest of each query only. A probing search is the same pass over the probed
+partitions alone: a query meets the rows of its own partitions by one matrix product a batch and partition.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import IndexConfigurationError, SearchError
 from ..functions import vectors as V
-from ..sources.shared import staged
+from ..sources.shared import new_path, staged
 
 INDEX_TYPES = ("FLAT", "IVF_FLAT", "VAMANA")
 QUERY_BLOCK = 20_000
-#: By how much a distance from a matrix product may be off before it is computed again from the vectors.
-SLACK = 1e-6
+#: Components beyond it could overflow when squared and summed.
+LARGEST = 1e150
+EPS = float(np.finfo(np.float64).eps)
+#: Distances are rounded to 9 places: two that differ by less may come out equal.
+ROUNDING = 1.1e-9
 
 
 @dataclass(frozen=True)
@@ -64,22 +73,25 @@ def settings_of(models: DataFrame, indexes: DataFrame, model_name: str) -> Index
     return IndexSettings(r.index_uri, r.embedding_dimension, r.num_neighbors, r.index_type, r.distance_metric, r.nprobe, r.l_search, r.memory_budget)
 
 
-def _arrays(b: pa.RecordBatch | pa.Table, dimension: int | None) -> tuple[np.ndarray, np.ndarray]:
-    ids, v = b.column("id").to_numpy(), b.column("v")
+def arrays(b: pa.RecordBatch | pa.Table, dimension: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and vectors of the rows that take part. Columns: v, whose lists are not null."""
+    v = b.column("v")
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-    flat = v.flatten().to_numpy(zero_copy_only=False)
-    width = dimension or (len(flat) // len(ids) if len(ids) else 0)
-    if len(flat) != len(ids) * width:
+    flat, n = v.flatten().to_numpy(zero_copy_only=False), len(v)
+    width = dimension or (len(flat) // n if n else 0)
+    if n and set(np.diff(v.offsets.to_numpy()).tolist()) != {width}:
         raise SearchError(f"a vector does not have {width} components")
-    return ids, flat.reshape(len(ids), width)
+    m = flat.reshape(n, width)
+    ok = np.flatnonzero((np.abs(m) <= LARGEST).all(1))  # false for NaN, which nulls are here
+    return ok, m[ok] if len(ok) < n else m
 
 
 def _lengths(m: np.ndarray) -> np.ndarray:
     return np.maximum(np.sqrt((m * m).sum(1)), V.LEAST_NORM)
 
 
-def _rounded(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Distances of one query to rows, from the vectors themselves."""
+def distances(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Distances of one query to rows, from the vectors themselves, to 9 places."""
     if metric == "cosine":
         d = np.abs(1 - (m * q).sum(1) / (_lengths(m) * _lengths(q[None])[0]))
     elif metric == "l2":
@@ -89,61 +101,133 @@ def _rounded(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.round(d, 9) + 0.0
 
 
-def _near(metric: str, q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Distances of all queries to rows by one matrix product, off by less than SLACK for vectors of ordinary size."""
-    p = q @ m.T
+def bounds(metric: str, q: np.ndarray, m: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Between what the distances of all queries to rows lie, by one matrix product and the errors that it can have.
+
+    For l2 both sides are taken from `centre` first, so a common offset costs no digits.
+    """
+    width = q.shape[1] + 8
     if metric == "cosine":
-        return 1 - p / (_lengths(q)[:, None] * _lengths(m)[None, :])
+        d = 1 - (q @ m.T) / (_lengths(q)[:, None] * _lengths(m)[None, :])
+        return np.abs(d) - 4 * EPS * width - ROUNDING, np.abs(d) + 4 * EPS * width + ROUNDING
     if metric == "l2":
-        return np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * p, 0))
-    return -p
+        a, b = q - centre, m - centre
+        aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+        square, off = aa + bb - 2 * (a @ b.T), 2 * EPS * width * (aa + bb)
+        moved = 4 * EPS * (np.sqrt((q * q).sum(1))[:, None] + np.sqrt((m * m).sum(1))[None, :] + 2 * math.sqrt(float(centre @ centre))) + ROUNDING
+        high = np.sqrt(np.maximum(square, 0) + off) * (1 + 8 * EPS)
+        return np.sqrt(np.maximum(square - off, 0)) * (1 - 8 * EPS) - moved, high + moved
+    d = -(q @ m.T)
+    off = 2 * EPS * width * np.sqrt((q * q).sum(1))[:, None] * np.sqrt((m * m).sum(1))[None, :] + ROUNDING
+    return d - off, d + off
+
+
+class Nearest:
+    """The k nearest rows so far of each of some queries."""
+
+    def __init__(self, metric: str, q: np.ndarray, k: int):
+        self.metric, self.q, self.k = metric, q, k
+        self.centre = q.mean(0) if len(q) else np.zeros(q.shape[1])
+        self.best: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
+        self.worst = np.full(len(q), np.inf)
+
+    def add(self, ids: np.ndarray, m: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Rows that all queries, or those at the places `asked`, meet."""
+        asked = np.arange(len(self.q)) if asked is None else asked
+        step = max(64, 2**22 // max(1, len(asked)))
+        for a in range(0, len(ids) if len(asked) else 0, step):
+            self._add(ids[a : a + step], m[a : a + step], asked)
+
+    def _add(self, ids: np.ndarray, m: np.ndarray, asked: np.ndarray) -> None:
+        low, high = bounds(self.metric, self.q[asked], m, self.centre)
+        kth = np.partition(high, self.k - 1, axis=1)[:, self.k - 1] if len(ids) >= self.k else np.inf
+        most = np.minimum(kth, self.worst[asked] + ROUNDING)
+        near = low <= most[:, None]
+        for at in np.flatnonzero(near.any(1)).tolist():
+            r, c = asked[at], np.flatnonzero(near[at])
+            self.best[r] = sorted([*self.best[r], *zip(distances(self.metric, self.q[r], m[c]).tolist(), ids[c].tolist(), strict=True)])[: self.k]
+            if len(self.best[r]) == self.k:
+                self.worst[r] = self.best[r][-1][0]
+
+    def batches(self, names: pa.Array, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """q, n, d of all that is held; names are those of the queries."""
+        flat = [x for r in self.best for x in r]
+        of = np.repeat(np.arange(len(self.best)), [len(x) for x in self.best])
+        for a in range(0, len(flat), rows):
+            d, n = zip(*flat[a : a + rows], strict=True)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(of[a : a + rows])), pa.array(n, pa.int64()), pa.array(d, pa.float64())], names=["q", "n", "d"])
+
+
+def closest(metric: str, x: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """For each row of x the place of its nearest row of m, the first of equal ones; steps shrink as m grows."""
+    out, centre = np.zeros(len(x), np.int64), m.mean(0)
+    step = max(16, 2**21 // len(m))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        low, high = bounds(metric, part, m, centre)
+        near = low <= high.min(1)[:, None]
+        out[a : a + step] = near.argmax(1)
+        for r in np.flatnonzero(near.sum(1) > 1).tolist():
+            c = np.flatnonzero(near[r])
+            out[a + r] = c[np.argmin(distances(metric, part[r], m[c]))]
+    return out
+
+
+def _blocks(queries: DataFrame, query_block: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Names and vectors of the queries, a block at a time on the driver. queries: id, v."""
+    asked = queries.dropna()
+    n = -(-asked.count() // query_block) or 1
+    if n > 1:
+        asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))), "queries")
+    for block in range(n):
+        got = (asked.filter(F.col("block") == block) if n > 1 else asked).select("id", "v").toArrow()
+        ok, m = arrays(got, None)
+        yield got.column("id").combine_chunks().take(pa.array(ok)), m
+
+
+def _searched(queries: DataFrame, scan: Callable[[pa.Array, np.ndarray], tuple[DataFrame, Broadcast]], query_block: int) -> DataFrame:
+    """scan() for each block of queries. Several blocks are several jobs, each with its own broadcast, which goes when it is done."""
+    spark, out, at = queries.sparkSession, None, None
+    held = _blocks(queries, query_block)
+    block = next(held, None)
+    while block is not None:
+        got, sent = scan(*block)
+        block = next(held, None)
+        if block is None and at is None:
+            return got
+        at = at or new_path(spark, "found")
+        out = out or got.schema
+        got.write.mode("append").parquet(at)
+        sent.destroy()
+    return spark.read.schema(out).parquet(at)
 
 
 def exact_neighbours(queries: DataFrame, index: DataFrame, k: int, metric: str = "cosine", *, query_id: str = "query_cell_id", query_vector: str = "embedding", index_id: str = "cas_cell_index", index_vector: str = "embedding", dimension: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query id, rank (from 1), index id and distance of the k nearest rows; ties to the smaller id."""
     if metric not in V.METRICS:
         raise IndexConfigurationError(f"{metric!r} is not one of {', '.join(V.METRICS)}")
-    spark = queries.sparkSession
     asked = queries.select(F.col(query_id).alias("id"), V.doubles(query_vector).alias("v"))
     rows = index.select(F.col(index_id).cast("long").alias("id"), V.doubles(index_vector).alias("v")).dropna()
-    blocks = -(-asked.count() // query_block) or 1
-    if blocks > 1:
-        asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), "queries")
-    kind, out = asked.schema["id"].dataType, None
-    for block in range(blocks):
-        got = (asked.filter(F.col("block") == block) if blocks > 1 else asked).select("id", "v").toArrow()
-        ids, m = got.column("id"), _arrays(got, dimension)[1]
-        sent = spark.sparkContext.broadcast((ids.combine_chunks(), m))
-
-        def nearest(batches, sent=sent):
-            ids, q = sent.value
-            best: list[list[tuple[float, int]]] = [[] for _ in range(len(q))]
-            worst = np.full(len(q), np.inf)
+    kind = asked.schema["id"].dataType.simpleString()
+
+    def scan(names: pa.Array, q: np.ndarray) -> tuple[DataFrame, Broadcast]:
+        if dimension and len(q) and q.shape[1] != dimension:
+            raise SearchError(f"a vector does not have {dimension} components")
+        sent = queries.sparkSession.sparkContext.broadcast((names, q))
+
+        def nearest(batches):
+            names, q = sent.value
+            search = Nearest(metric, q, k)
             for b in batches:
-                own, m = _arrays(b, q.shape[1] if len(q) else None)
-                for a in range(0, len(own), 2048) if len(q) else ():
-                    part, number = m[a : a + 2048], own[a : a + 2048]
-                    d = _near(metric, q, part)
-                    # Each query looks again at the rows that may be among its k nearest so far.
-                    n = min(k, len(number))
-                    kth = np.minimum(np.partition(d, n - 1, axis=1)[:, n - 1] if n == k else np.inf, worst)
-                    scale = SLACK * (1 + np.abs(d).max(initial=0))
-                    for r in np.flatnonzero((d <= (kth + scale)[:, None]).any(1)):
-                        c = np.flatnonzero(d[r] <= kth[r] + scale)
-                        best[r] = sorted([*best[r], *zip(_rounded(metric, q[r], part[c]).tolist(), number[c].tolist(), strict=True)])[:k]
-                        if len(best[r]) == k:
-                            worst[r] = best[r][-1][0]
-            sizes = [len(x) for x in best]
-            if sum(sizes):
-                flat = [x for r in best for x in r]
-                of = np.repeat(np.arange(len(best)), sizes)
-                for a in range(0, len(flat), 10_000):
-                    d, n = zip(*flat[a : a + 10_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of[a : a + 10_000])), pa.array(n, pa.int64()), pa.array(d, pa.float64())], names=["q", "n", "d"])
-
-        found = rows.mapInArrow(nearest, f"q {kind.simpleString()}, n bigint, d double")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out.select(F.col("q").alias(query_id), F.col("n").alias(index_id), F.col("d").alias("distance")), k, query_id=query_id, index_id=index_id)
+                if len(q):
+                    ok, m = arrays(b, q.shape[1])
+                    search.add(b.column("id").to_numpy()[ok], m)
+            yield from search.batches(names)
+
+        return rows.mapInArrow(nearest, f"q {kind}, n bigint, d double"), sent
+
+    found = _searched(asked, scan, query_block)
+    return ranked(found.select(F.col("q").alias(query_id), F.col("n").alias(index_id), F.col("d").alias("distance")), k, query_id=query_id, index_id=index_id)
 
 
 def ranked(pairs: DataFrame, k: int, *, query_id: str, index_id: str) -> DataFrame:
@@ -152,22 +236,64 @@ def ranked(pairs: DataFrame, k: int, *, query_id: str, index_id: str) -> DataFra
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(query_id, F.col("rank").cast("long").alias("rank"), index_id, "distance")
 
 
-def nearest_partitions(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str, *, query_id: str, query_vector: str) -> DataFrame:
-    """query id and the `nprobe` partitions with the nearest centroids. centroids: partition_id, centroid."""
-    found = exact_neighbours(queries, centroids, nprobe, metric, query_id=query_id, query_vector=query_vector, index_id="partition_id", index_vector="centroid")
-    return found.select(query_id, "partition_id")
+@dataclass(frozen=True)
+class Centroids:
+    """The partitions' centroids as a served index holds them: read once, used by any number of searches."""
+
+    ids: np.ndarray
+    matrix: np.ndarray
+
+    @classmethod
+    def read(cls, centroids: DataFrame) -> Centroids:
+        """centroids: partition_id, centroid; there are at most 65,536 of them."""
+        got = centroids.select(F.col("partition_id").cast("int").alias("id"), V.doubles("centroid").alias("v")).dropna().orderBy("id").toArrow()
+        ok, m = arrays(got, None)
+        return cls(got.column("id").to_numpy()[ok], m)
+
+
+def nearest_partitions(q: np.ndarray, centroids: Centroids, nprobe: int, metric: str) -> list[list[int]]:
+    """For each query the ids of the `nprobe` partitions with the nearest centroids, ties to the smaller id."""
+    search = Nearest(metric, q, nprobe)
+    search.add(centroids.ids, centroids.matrix)
+    return [[n for _, n in best] for best in search.best]
+
+
+def probed_neighbours(queries: DataFrame, index: DataFrame, centroids: DataFrame | Centroids, k: int, nprobe: int, metric: str = "cosine", *, query_id: str = "query_cell_id", query_vector: str = "embedding", index_id: str = "cas_cell_index", index_vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Like exact_neighbours, among the rows of each query's `nprobe` nearest partitions. index has partition_id; of a table that is partitioned by it, only the probed partitions are read."""
+    held = centroids if isinstance(centroids, Centroids) else Centroids.read(centroids)
+    asked = queries.select(F.col(query_id).alias("id"), V.doubles(query_vector).alias("v"))
+    part = F.col("partition_id").cast("int")
+    rows = index.select(part.alias("part"), F.col(index_id).cast("long").alias("id"), V.doubles(index_vector).alias("v")).dropna()
+    kind = asked.schema["id"].dataType.simpleString()
+
+    def scan(names: pa.Array, q: np.ndarray) -> tuple[DataFrame, Broadcast]:
+        probes: dict[int, list[int]] = {}
+        for r, found in enumerate(nearest_partitions(q, held, nprobe, metric) if len(q) else []):
+            for p in found:
+                probes.setdefault(p, []).append(r)
+        sent = queries.sparkSession.sparkContext.broadcast((names, q, {p: np.array(r) for p, r in probes.items()}))
+
+        def nearest(batches):
+            names, q, probes = sent.value
+            search = Nearest(metric, q, k)
+            for b in batches:
+                ok, m = arrays(b, q.shape[1] if len(q) else None)
+                ids, of = b.column("id").to_numpy()[ok], b.column("part").to_numpy()[ok]
+                order = np.argsort(of, kind="stable")
+                parts, first = np.unique(of[order], return_index=True)
+                for p, at in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
+                    if p in probes:
+                        search.add(ids[at], m[at], probes[p])
+            yield from search.batches(names)
 
+        met = rows if len(probes) == len(held.ids) else rows.filter(F.col("part").isin([*probes]))
+        return met.mapInArrow(nearest, f"q {kind}, n bigint, d double"), sent
 
-def probed_neighbours(queries: DataFrame, index: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "cosine", *, query_id: str = "query_cell_id", query_vector: str = "embedding", index_id: str = "cas_cell_index", index_vector: str = "embedding") -> DataFrame:
-    """Like exact_neighbours, among the rows of each query's `nprobe` nearest partitions. index has partition_id; a partitioned table is pruned to the probed ones."""
-    asked = queries.select(F.col(query_id), V.doubles(query_vector).alias("own_vector"))
-    probes = nearest_partitions(queries, centroids, nprobe, metric, query_id=query_id, query_vector=query_vector).join(asked, query_id).withColumn("partition_id", F.col("partition_id").cast("int"))
-    met = probes.join(index.select(F.col("partition_id").cast("int").alias("partition_id"), F.col(index_id).cast("long").alias(index_id), V.doubles(index_vector).alias("met_vector")), "partition_id")
-    pairs = met.select(query_id, index_id, V.distance(metric, F.col("met_vector"), F.col("own_vector")).alias("distance"))
-    return ranked(pairs, k, query_id=query_id, index_id=index_id)
+    found = _searched(asked, scan, query_block)
+    return ranked(found.select(F.col("q").alias(query_id), F.col("n").alias(index_id), F.col("d").alias("distance")), k, query_id=query_id, index_id=index_id)
 
 
-def search(queries: DataFrame, index: DataFrame, settings: IndexSettings, centroids: DataFrame | None = None, **columns: str) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, settings: IndexSettings, centroids: DataFrame | Centroids | None = None, **columns: str) -> DataFrame:
     """Neighbours as the settings ask for."""
     vector = columns.get("query_vector", "embedding")
     if not queries.filter(F.coalesce(F.size(vector), F.lit(-1)) != settings.embedding_dimension).isEmpty():

@@ -149,6 +149,18 @@ for _m in V.METRICS:
     _short = {"dot_product": "dot"}.get(_m, _m)
     query(f"knn_exact_{_short}", f"with {knn_sql(_m)} select query_id, rank, neighbor_id, distance from {_m}_k")(lambda spark, d, m=_m: neighbours(spark, d, m))
 
+# Vectors moved by a common offset and shrunk: a product of matrices alone gets their distances wrong.
+def shifted(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    move = lambda df: df.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: x / 64 + 4096))
+    q, e = (move(df) for df in vectors(spark, d))
+    return N.exact_neighbours(q, e, K_NEAREST, metric, query_id="query_id", index_id="neighbor_id")
+
+
+for _m in ("l2", "dot_product"):
+    _short = {"dot_product": "dot"}.get(_m, _m)
+    _sql = knn_sql(_m).replace("embedding::double[] as v", "list_transform(embedding, lambda x: x::double / 64 + 4096) as v")
+    query(f"knn_shifted_{_short}", f"with {_sql} select query_id, rank, neighbor_id, round(distance, 6) as distance from {_m}_k")(lambda spark, d, m=_m: shifted(spark, d, m).withColumn("distance", F.round("distance", 6)))
+
 query("knn_unique_neighbor_ids", f"with {knn_sql('cosine')} select distinct neighbor_id from cosine_k")(lambda spark, d: N.unique_ids(neighbours(spark, d), index_id="neighbor_id"))
 _l2 = "l2_d" + knn_sql("l2").split(",\nl2_d", 1)[1]
 query("match_concat", f"with {knn_sql('cosine')},\n{_l2} select query_id, rank, neighbor_id, distance from cosine_k union all select query_id, rank, neighbor_id, distance from l2_k")(lambda spark, d: N.concatenated(neighbours(spark, d), neighbours(spark, d, "l2")))
@@ -439,6 +451,18 @@ def streaming_upsert_final_state(spark: SparkSession, d: str) -> DataFrame:
     return current(spark, f"{at}/out")
 
 
+@query("index_lifecycle", "select vec_id as id, cast(round(embedding[1] * case when vec_id % 3 = 0 then -1 else 1 end, 6) as double) as first, cast(round(embedding[64] * case when vec_id % 3 = 0 then -1 else 1 end, 6) as double) as last from embeddings")
+def index_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Created from the first of five batches, updated by two chunks of two, the last of which writes a third of the ids anew, and consolidated."""
+    e = R.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), V.doubles("embedding").alias("embedding"))
+    batches = e.withColumn("batch", (F.col("id") % 4).cast("int"))
+    again = e.filter("id % 3 = 0").select("id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(4).alias("batch"))
+    path = new_path(spark, "index")
+    I.build_index(batches.unionByName(again), path, metric="L2", normalise=False, sample_size=1, partitions=8, chunk=2)
+    rows, _ = I.read_index(spark, path)
+    return rows.select("id", F.round(F.col("embedding")[0].cast("float"), 6).cast("double").alias("first"), F.round(F.col("embedding")[63].cast("float"), 6).cast("double").alias("last"))
+
+
 table_query("training_sample_batches", "events", "with b as (select cast(cast(ts as date) as varchar) as batch, count(*) as n_rows from events group by 1), r as (select *, cast(coalesce(sum(n_rows) over (order by batch rows between unbounded preceding and 1 preceding), 0) as bigint) as rows_before from b) select * from r where rows_before < 1500", lambda df: I.training_batches(df.groupBy(F.to_date("ts").cast("string").alias("batch")).agg(F.count(F.lit(1)).alias("n_rows")), 1500))
 
 

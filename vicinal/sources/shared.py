@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Staged folders that nobody has discarded, with their sessions; they go when the program ends.
+_LEFT: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster names it; a new folder only where it is unset, as in tests."""
+    """spark.checkpoint.dir as the cluster names it. Where it is unset, a new local folder in local mode and an error on a cluster, whose machines would each write into their own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -27,7 +33,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    if not _LEFT:
+        atexit.register(_discard_left)
+    _LEFT[path] = spark
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove staged tables whose readers are done; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "staged_at", None):
+            remove(df.sparkSession, path)
+            _LEFT.pop(path, None)
+
+
+def _discard_left() -> None:
+    for path, spark in [*_LEFT.items()]:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session's JVM may have ended before
+            return
 
 
 def file_system(spark: SparkSession, path: str):

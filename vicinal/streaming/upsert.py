@@ -1,28 +1,55 @@
-"""A stream of embedding batches into an index: each micro-batch is a snapshot of last writes.
+"""A stream of embedding batches into an index: each micro-batch is a delta of last writes.
 
-Files come `chunk` at a time. A micro-batch writes a new snapshot folder named by its number, so a batch that is run again overwrites
-its own folder and nothing else; readers take the newest.
+Files come `chunk` at a time. A micro-batch writes its own rows alone, into a folder named by its number, so a batch that is run again
+overwrites that folder and nothing else. Readers take the last write over all deltas, of one time that of the later batch.
+compacted() folds the deltas so far into one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.index_build import UPDATE_CHUNK, latest
-from ..sources.shared import file_system
+from ..sources.shared import file_system, remove
 
 
-def snapshots(spark: SparkSession, path: str) -> list[int]:
+def folders(spark: SparkSession, path: str, kind: str) -> list[int]:
     fs, at = file_system(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    found = snapshots(spark, path)
-    return spark.read.parquet(f"{path}/batch={found[-1]}") if found else None
+    found = [int(n.removeprefix(f"{kind}=")) for n in names if n.startswith(f"{kind}=")]
+    return sorted(n for n in found if fs.exists(file_system(spark, f"{path}/{kind}={n}/_SUCCESS")[1]))
+
+
+def current(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts") -> DataFrame | None:
+    """The newest compacted folder and the deltas behind it, the last write of each id."""
+    base = folders(spark, path, "base")
+    deltas = [n for n in folders(spark, path, "delta") if not base or n > base[-1]]
+    parts = [f"{path}/base={base[-1]}"] if base else []
+    if not parts + deltas:
+        return None
+    if not deltas:
+        return spark.read.parquet(*parts)
+    held = [(spark.read.parquet(p), -1) for p in parts] + [(spark.read.parquet(f"{path}/delta={n}"), n) for n in deltas]
+    names = held[0][0].columns
+    turned = [df.withColumn(order, F.struct(F.col(order).alias("time"), F.lit(n).alias("turn"))) for df, n in held]
+    rows = turned[0]
+    for df in turned[1:]:
+        rows = rows.unionByName(df)
+    return latest(rows, id_col=id_col, order=order).withColumn(order, F.col(order)["time"]).select(*names)
+
+
+def compacted(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts") -> None:
+    """Fold all deltas into one folder, which counts once it is written; then what it replaces goes."""
+    deltas, base = folders(spark, path, "delta"), folders(spark, path, "base")
+    if not deltas or base and base[-1] >= deltas[-1]:
+        return
+    current(spark, path, id_col=id_col, order=order).write.mode("overwrite").parquet(f"{path}/base={deltas[-1]}")
+    for kind, numbers in (("delta", deltas), ("base", base)):
+        for n in numbers:
+            remove(spark, f"{path}/{kind}={n}")
 
 
 def upsert_stream(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, *, id_col: str = "id", order: str = "ts", chunk: int = UPDATE_CHUNK, file_format: str = "parquet") -> StreamingQuery:
@@ -30,9 +57,6 @@ def upsert_stream(spark: SparkSession, source: str, schema: StructType, target:
     rows = spark.readStream.format(file_format).schema(schema).option("maxFilesPerTrigger", chunk).load(source)
 
     def merge(batch: DataFrame, number: int) -> None:
-        before = [n for n in snapshots(spark, target) if n < number]
-        held = spark.read.parquet(f"{target}/batch={before[-1]}") if before else None
-        merged = latest(batch if held is None else held.unionByName(batch), id_col=id_col, order=order)
-        merged.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        latest(batch, id_col=id_col, order=order).write.mode("overwrite").parquet(f"{target}/delta={number}")
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
