@@ -1,4 +1,4 @@
-"""LM scoring: the base by brute force, the tree as a distribution and by a plain walk."""
+"""LM scoring against a brute-force tree: own loops over whole texts, from words to scores."""
 
 import collections
 import math
@@ -12,7 +12,7 @@ import pytest
 from vicinal.llm import lm
 
 ROWS = [(i, " ".join(random.Random(i % 37).choices(["the", "Cat", "sat", "on", "a", "mat,", "dog"], k=5 + i % 50))) for i in range(400)]
-ROWS += [(1000, None), (1001, ""), (1002, " \n "), (1003, "unseen words here \x0b x"), (None, "null id"), (1004, "the cat " * 20000), (5, "same id other text"), (1005, "twice"), (1005, "twice")]
+ROWS += [(1000, None), (1001, ""), (1002, " \n "), (1003, "unseen words here \x0b x"), (None, "null id"), (1004, "the cat " * 20000), (5, "same id other text"), (1005, "twice"), (1005, "twice")]
 
 
 def tokens(text):
@@ -23,115 +23,130 @@ def held_out(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
 
 
-@pytest.fixture
-def docs(spark):
-    return spark.createDataFrame([(*r, 1) for r in ROWS], "doc_id bigint, text string, row int").repartition(3)
-
-
-@pytest.mark.parametrize("options", [{}, {"least_word": 0.02}])
-def test_counts_and_base(docs, options):
-    counts = collections.Counter(w for i, t in ROWS if not held_out(i) for w in tokens(t))
+def brute(rows, depth=3, least=2, gain=2.0):
+    """(id, held out, tokens, known, N, base, score) of each row: contexts of all lengths counted, tested and walked in plain dicts."""
+    texts = [tokens(t) for i, t in rows if not held_out(i)]
+    grams = collections.Counter(tuple(t[i : i + k]) for t in texts for k in range(1, depth + 2) for i in range(len(t) - k + 1))
+    counts = {g[0]: c for g, c in grams.items() if len(g) == 1}
     n, v = sum(counts.values()), len(counts)
-    want = sorted((str(i), held_out(i), len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 5)) for i, x in ROWS for t in [tokens(x)])
-    rows = lm.score_texts(docs, **options).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in rows) == want
-    assert all(r.score <= 0 for r in rows)
-    better = [r.score >= r.base_score for r in rows if r.n_tokens > 10 and r.held_out]
-    assert sum(better) > 0.9 * len(better)
-
-
-def grown(texts, least_context=0.01, least_pair=0.001, depth=3):
-    """A tree over coded texts, built by plain loops."""
-    counts = collections.Counter(w for t in texts for w in t)
-    n, width = sum(counts.values()), max(counts) + 1
-    tree = lm.Tree(n, len(counts), np.array([counts[w] for w in range(1, width)]))
-    contexts = {(w,): c for w, c in counts.items() if c >= least_context * n}
-    codes = {c: c[0] for c in contexts}
-    for _ in range(depth):
-        order = sorted(contexts, key=lambda c: codes[c])
-        tree.add_level(np.array([codes[c] for c in order], np.int64), np.array([contexts[c] for c in order], np.int64))
-        number = {c: i for i, c in enumerate(order)}
-        pairs = collections.Counter((number[tuple(t[i - len(order[0]) : i])], t[i]) for t in texts for i in range(len(order[0]), len(t)) if tuple(t[i - len(order[0]) : i]) in number)
-        pairs = {k: c for k, c in sorted(pairs.items()) if c >= max(2, least_pair * n)}
-        tree.fill_level(np.array([a * tree.width + w for a, w in pairs], np.int64), np.array([*pairs.values()], np.int64))
-        contexts = {(*order[a], w): c for (a, w), c in pairs.items() if c >= least_context * n and w != 1}
-        codes = {(*order[a], w): a * tree.width + w for a, w in pairs}
-        if not contexts:
-            break
-    return tree
-
-
-TEXTS = [[*random.Random(i).choices([2, 3, 4, 5], k=3), 2, 3, 4, 2, 3, 4, 1] for i in range(300)]
-
-
-def test_each_state_is_a_distribution():
-    tree = grown(TEXTS)
-    assert len(tree.levels) > 1 and any(x["kept"].any() for x in tree.levels)
-    every = np.arange(1, tree.width)
-    for history in ([], [2], [2, 3], [4, 2, 3], [5, 5, 5]):
-        p = 0.0
-        for w in every:
-            ids = np.array([*history, w])
-            p += 10 ** tree.log10(ids, np.array([len(ids)]))[-1]
-        unknown = 10 ** tree.log10(np.array([*history, 0]), np.array([len(history) + 1]))[-1] / (tree.n + tree.v + 1)
-        assert p + unknown == pytest.approx(1)
-
-
-def test_scores_are_those_of_the_longest_kept_suffix():
-    tree = grown(TEXTS)
-
-    def number(context):
-        at = 0
-        for d, w in enumerate(context):
-            found = np.flatnonzero(tree.levels[d]["contexts"] == at * tree.width + w)
-            if not len(found):
-                return None
-            at = int(found[0])
-        return at
+    follow = collections.defaultdict(list)
+    for g, c in grams.items():
+        if len(g) > 1 and c >= 2:
+            follow[g[:-1]].append((g[-1], c))
+    kept = {}
 
     def p(context, w):
         if not context:
-            return tree.root[w]
-        below, level = p(context[1:], w), tree.levels[len(context) - 1] if len(context) <= len(tree.levels) else None
-        at = number(context) if level else None
-        if at is None or not level["kept"][at]:
+            return (counts.get(w, 0) + 1) / (n + v + 1)
+        below = p(context[1:], w)
+        if context not in kept or not kept[context][0]:
             return below
-        hit = np.flatnonzero(level["pairs"] == at * tree.width + w)
-        listed = level["pairs"] // tree.width == at
-        n = level["times"][hit[0]] - lm.D if len(hit) else 0
-        rest = level["totals"][at] - (level["times"][listed] - lm.D).sum()
-        return (n + (rest + lm.K) * below) / (level["totals"][at] + lm.K)
+        c = grams[context + (w,)]
+        return (max(c - 0.75 if c >= 2 else 0, 0) + (kept[context][1] + 1) * below) / (grams[context] + 1)
+
+    for size in range(1, depth + 1):
+        for s in [g for g, c in grams.items() if len(g) == size and c >= least and None not in g]:
+            total, listed = grams[s], follow.get(s, [])
+            mass = sum(c for _, c in listed)
+            rest = total - mass + 0.75 * len(listed)
+            won = -mass * math.log(total) + (rest * math.log(rest / total) if rest else 0)
+            for w, c in listed:
+                steps = min(255, max(0, round(-math.log(p(s[1:], w)) / (math.log(2) / 8))))
+                won += c * (math.log(c - 1.75) + steps * math.log(2) / 8)
+            kept[s] = (bool(listed) and won >= gain * len(listed), rest)
+    out = []
+    for i, x in rows:
+        t = tokens(x)
+        score = 0.0
+        for k, w in enumerate(t):
+            score += math.log10(p(tuple(t[max(0, k - depth) : k]), w))
+        out.append((str(i), held_out(i), len(t), sum(counts.get(w, 0) > 0 for w in t), n, sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in t), score))
+    return sorted(out), kept, p
+
+
+def check(rows, got, **options):
+    want, kept, _ = brute(rows, **options)
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert np.array([g[5:] for g in got]) == pytest.approx(np.array([w[5:] for w in want]), rel=1e-9, abs=1e-9)
+    return kept
 
-    ids, ends = np.array([w for t in TEXTS[:20] for w in t]), np.cumsum([len(t) for t in TEXTS[:20]])
-    want = [math.log10(p(t[max(0, i - 3) : i], t[i])) for t in TEXTS[:20] for i in range(len(t))]
-    assert tree.log10(ids, ends) == pytest.approx(want)
+
+@pytest.fixture
+def frame(spark):
+    return lambda rows, parts=3: spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, row int").repartition(parts)
+
+
+@pytest.mark.parametrize("options", [{}, {"depth": 1}, {"least_context": 5}])
+def test_equals_brute_force(frame, options):
+    kept = check(ROWS, lm.score_texts(frame(ROWS), **options).collect(), **{"least" if k == "least_context" else k: x for k, x in options.items()})
+    assert sum(k for k, _ in kept.values()) > 5
+
+
+def prose(n, seed, words=400):
+    """Zipf-like words, one of them a third of all, with passages that repeat."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(words)]
+    weights = [1 / (i + 1) for i in range(words)]
+    passages = [rnd.choices(vocabulary, weights, k=12) for _ in range(10)]
+    out = []
+    for i in range(n):
+        t = rnd.choices(vocabulary, weights, k=rnd.randrange(1, 120))
+        t = [x for w in t for x in ((w, "of") if rnd.random() < 0.4 else (w,))]
+        if i % 3 == 0:
+            t[len(t) // 2 : len(t) // 2] = rnd.choice(passages)
+        out.append((i, " ".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0.001, 0.02, 2.0])
+def test_hot_contexts_small_chunks_and_many_buckets(frame, monkeypatch, hot):
+    """Chunks of some texts, texts of several chunks, buckets of some contexts, contexts in parts or whole: the same scores."""
+    for name, value in (("CHUNK", 300), ("BUCKET", 700), ("HOT", hot), ("SALTS", 5)):
+        monkeypatch.setattr(lm, name, value)
+    rows = [*prose(150, 3), (500, " ".join(random.Random(9).choices([f"w{i}" for i in range(30)], k=2500))), (501, None)]
+    kept = check(rows, lm.score_texts(frame(rows)).collect())
+    assert {len(s) for s, (k, _) in kept.items() if k} == {1, 2, 3}
+
+
+def test_texts_that_occur_twice_score_apart(frame):
+    """Both copies are in the training rows: every context of theirs is seen twice, in a corpus of any size."""
+    train = [i for i in range(4000) if not held_out(i)]
+    fresh = lambda i: " ".join(random.Random(i).choices([f"v{k}" for k in range(3000)], k=60))
+    rows = [(i, fresh(i)) for i in train[:1000]] + [(train[1000 + i], fresh(train[i])) for i in range(40)]
+    gained = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score_texts(frame(rows)).collect()}
+    twice = [gained[i] for i in [*train[:40], *train[1000:1040]]]
+    assert min(twice) > 1 > max(gained[i] for i in train[40:1000])
+
+
+def test_each_state_is_a_distribution():
+    rows = prose(200, 5, words=20)
+    _, kept, p = brute(rows)
+    words = {w for i, t in rows if not held_out(i) for w in tokens(t)}
+    for s in [(), ("w0",), *[s for s, (k, _) in kept.items() if k][:200]]:
+        assert sum(p(s, w) for w in words) + p(s, "unknownword") == pytest.approx(1)
 
 
-def test_empty_tables_and_no_training_rows(spark, docs):
-    assert lm.score_texts(docs.limit(0)).count() == 0
+def test_empty_tables_and_no_training_rows(spark, frame):
+    assert lm.score_texts(frame(ROWS).limit(0)).count() == 0
     i = next(i for i in range(100) if held_out(i))
     r = lm.score_texts(spark.createDataFrame([(i, "a b")], "doc_id bigint, text string")).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0, 0)
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 10_000])
-def test_parts_of_texts_score_alike(size):
-    tree = grown(TEXTS)
-    ids, ends = np.array([w for t in TEXTS[:30] for w in t]), np.cumsum([len(t) for t in TEXTS[:30]])
-    got = np.concatenate([tree.log10(x, e)[lead:] for x, e, lead in lm.windows(ids, ends, 3, size)])
-    assert got == pytest.approx(tree.log10(ids, ends))
+def test_nothing_is_left_behind(spark, frame):
+    import os
 
+    from vicinal.sources.shared import shared_dir
 
-def test_the_tree_grows_with_the_corpus(spark):
-    """A context of 25 occurrences counts in a corpus of any size: here it is less than 1e-5 of all tokens."""
-    train, held = ([i for i in range(300) if held_out(i) is x] for x in (False, True))
-    rows = [(i, "the cat " * 20_000) for i in train[:80]] + [(i, "odd pair") for i in train[80:105]] + [(held[0], "odd pair")]
-    r = lm.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).filter("held_out").first()
-    assert 25 < 1e-5 * r.train_tokens
-    assert r.score > r.base_score + 4
+    before = {*os.listdir(shared_dir(spark))}
+    df = lm.score_texts(frame(ROWS[:50]))
+    left = {*os.listdir(shared_dir(spark))} - before
+    assert df.count() == 50 and len(left) == 1 and not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
 
 
-def test_merged_sums():
-    pair, n = lm.merged([np.array([3, 5, 9]), np.zeros(0, np.int64), np.array([1, 5])], [np.array([1, 2, 3]), np.zeros(0, np.int64), np.array([4, 5])])
-    assert (pair.tolist(), n.tolist()) == ([1, 3, 5, 9], [4, 1, 7, 3])
-    assert [len(a) for a in lm.merged([np.zeros(0, np.int64)], [np.zeros(0, np.int64)])] == [0, 0]
+@pytest.mark.parametrize("kind", ["u1", "u4", "u8"])
+def test_packed_numbers(kind):
+    rnd = np.random.default_rng(1)
+    for x in (np.zeros(0, kind), rnd.integers(0, 200, 1000).astype(kind), np.array([np.iinfo(kind).max, 0, 1], kind)):
+        assert lm.unpacked(lm.packed(x), kind).tolist() == x.tolist()

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.readers import table
-from ..sources.shared import new_path, remove, staged
+from ..sources.shared import discard, new_path, remove, staged
 
-__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "fold", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
+__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "discard", "fold", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
 
 #: The name of the column that with_result() adds.
 RESULT = "__r"

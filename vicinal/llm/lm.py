@@ -1,351 +1,407 @@
 r"""LM scoring with a probabilistic suffix tree over words.
 
 Tokens: A-Z lower-cased, words `[^\x20\x09-\x0D]+`, then one end. Root: the add-one unigram (c + 1) / (N + V + 1), where one class
-stands for all unknown words. A context is the last 1 to `depth` words; candidates are contexts seen `least_context` times or more in the
-training texts, found level by level. A candidate is kept when its next-symbol distribution diverges from that of its suffix: the log
-likelihood it gains, each occurrence judged by the others, is `gain_per_symbol` nats for each next symbol that it lists, or more. Next
-symbols are listed from `least_pair` occurrences, and two, on. Smoothing: P(w | s) = (n(s, w) + (rest(s) + k) P(w | suffix of s)) / (n(s) + k), where rest(s) are the
-occurrences of s whose next symbol is not listed and D of each listed one (absolute discounting; n(s, w) is less D); it sums to 1 over
-the vocabulary and the unknown class. A token is scored by the
-longest kept suffix of what precedes it in its text.
-
-The bounds are numbers of occurrences, the same for any corpus, so words, contexts and listed symbols grow with it; a bound below 1 is a
-share of all training tokens. Words seen `least_word` times or more have numbers that are broadcast; the others cannot be contexts or
-listed symbols, and meet their counts in a shuffle by word.
+stands for all unknown words. A context s is the last 1 to `depth` words, seen `least_context` times or more in the training texts;
+n(s) is how often, and the next symbols seen `least_pair` times or more after it are listed, L of them with C occurrences.
+
+Divergence test: s is kept when its listed symbols gain `gain` nats each, or more, against the state of its suffix:
+sum of c(s,w) ln((c(s,w) - 1 - D) / P(w | suffix)) - C ln n(s) + rest ln(rest / n(s)) >= gain * L, where rest = n(s) - C + D L. Each
+occurrence is so judged by the others; P(w | suffix) enters in steps of an eighth of a bit.
+
+Smoothing: P(w | s) = (max(c(s,w) - D, 0) + (rest + K) P(w | suffix)) / (n(s) + K), with c(s,w) = 0 where w is not listed; it sums to 1
+over the vocabulary and the unknown class. A token is scored by the longest kept suffix of what precedes it in its text. All
+bounds are numbers of occurrences, the same for any corpus, so contexts, symbols and what is shuffled grow with it.
 
 Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Null or empty texts are the end alone. Rows that repeat, or share an
 id, are scored each for itself. Without training rows N is 0 and every token is unknown. Empty tables give empty tables; extra
-columns are ignored.
-
-Scale: coded texts are staged once in the shared folder; counts are summed within a task before they are shuffled, those of pairs in packed buckets. The tree is built
-on the driver and broadcast, so the memory of both grows with it; symbols of contexts that are not kept never leave the driver.
+columns are ignored. Words and contexts are known by hashes of 64 bits, symbols of a context by 32, so two may be taken for one.
+
+Scale: no table of words or contexts is ever whole in one place. Texts become chunks of about `CHUNK` tokens, written once, bucketed by
+chunk. A level is a question and an answer: each chunk sends its distinct pairs (context, symbol) with their counts, packed, to the
+buckets of their contexts; a bucket of about `BUCKET` tokens adds them up, tests its contexts, and answers each chunk in the
+order it was asked. A pair whose shorter form is not listed cannot be, so it is asked for as "other". Answers join the chunks by
+their bucketing, which moves answers and no texts. A context with `HOT` or more of all tokens is dealt out by symbol to `SALTS` parts;
+there are at most 1 / HOT of them a level, so the driver adds up their parts and broadcasts the sums. A text longer than a chunk
+is several, each led by the words that precede it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, fold, give_back, pieces, raw, sliced, staged, table
+from .common import SPACED, discard, fold, give_back, new_path, pieces, raw, remove, staged, table
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
-LEAST_WORD, LEAST_CONTEXT, LEAST_PAIR = 20, 20, 3
-GAIN_PER_SYMBOL, K, D = 2.0, 1.0, 0.75
-#: Words, and tokens, of a step inside a task.
-AT_ONCE, TOKENS = 250_000, 200_000
-#: Training tokens for each bucket of pairs that is summed at once.
-BUCKET = 2_000_000
+LEAST_CONTEXT, LEAST_PAIR = 2, 2
+GAIN, K, D = 2.0, 1.0, 0.75
+#: Tokens of a chunk, and for each bucket of pairs.
+CHUNK, BUCKET = 1_000_000, 4_000_000
+#: Share of all tokens from which a context is dealt out to parts, and the parts.
+HOT, SALTS = 0.001, 64
+#: Steps of ln P in the divergence test: an eighth of a bit, up to 255 of them.
+STEP = math.log(2) / 8
 #: The end of a text as a word; no word holds a space.
 END = b" "
 
 
-def words_of(data: bytes | None) -> Iterator[list[bytes]]:
-    for p in pieces((data or b"").translate(SPACED)):
-        yield p.split()
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which every bit depends on every other."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def steps(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-    """Texts in groups of about AT_ONCE words: the first one's number, all words with ends, and where each text ends."""
-    words, ends, first = [], [], 0
-    for k, data in enumerate(texts):
-        for part in words_of(data):
-            words += part
-        words.append(END)
-        ends.append(len(words))
-        if len(words) >= AT_ONCE:
-            yield first, words, np.array(ends)
-            words, ends, first = [], [], k + 1
-    if ends:
-        yield first, words, np.array(ends)
+def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """The hash of a context and what follows it, as a context itself; symbols are 32 bits."""
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """word, c over a text column."""
+def packed(x: np.ndarray) -> bytes:
+    """Numbers by their bytes, the lowest of all first, so that leading zeros cost nothing; compressed."""
+    planes = np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
-    def run(batches):
-        for b in batches:
-            for _, words, _ in steps(raw(b.column(0))):
-                got = pc.value_counts(pa.array(words, pa.binary()))
-                yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["word", "c"])
-        give_back()
 
-    return texts.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data[8:], decompressed_size=n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
 
 
-def code_texts(docs: DataFrame, head: pa.Array) -> DataFrame:
-    """docs (row, doc_id, held_out, text) with numbers of words from 1 (0: not in head), and the other words with their counts."""
-    sent = docs.sparkSession.sparkContext.broadcast(head)
-    lists = lambda ends, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
+# Chunks
 
-    def run(batches):
-        known = sent.value
-        for b in batches:
-            for first, words, ends in steps(raw(b.column("text"))):
-                coded = pa.array(words, pa.binary()).dictionary_encode()
-                at = coded.indices.to_numpy()
-                number = pc.fill_null(pc.index_in(coded.dictionary, known), -1).to_numpy() + 1
-                ids = number[at]
-                # The words without a number, each once a text.
-                rare = np.flatnonzero(ids == 0)
-                text = np.searchsorted(ends, rare, "right")
-                pair, n = np.unique(text.astype(np.int64) * len(coded.dictionary) + at[rare], return_counts=True)
-                rare_ends = np.searchsorted(pair, np.arange(1, len(ends) + 1) * len(coded.dictionary))
-                own = b.slice(first, len(ends))
-                yield pa.RecordBatch.from_arrays(
-                    [*(own.column(c) for c in ("row", "doc_id", "held_out")), lists(ends, pa.array(ids, pa.int32())), lists(rare_ends, coded.dictionary.take(pa.array(pair % max(1, len(coded.dictionary))))), lists(rare_ends, pa.array(n, pa.int32()))],
-                    names=["row", "doc_id", "held_out", "ids", "rare", "times"],
-                )
-        give_back()
 
+def chunks(docs: DataFrame, depth: int) -> DataFrame:
+    """docs (pid, row, doc_id, held_out, text) as chunks: distinct hashes of words, tokens as places among them, and the segments of texts."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"row bigint, doc_id {kind}, held_out boolean, ids array<int>, rare array<binary>, times array<int>")
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of a batch, and where each text ends."""
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64), offsets[1:] - offsets[0]
-
-
-def windows(ids: np.ndarray, ends: np.ndarray, depth: int, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """ids in parts of `size`, where texts end in each, and how many of its first ids only precede it: a long text is no long array."""
-    size = size or TOKENS
-    for a in range(0, len(ids), size):
-        z = min(len(ids), a + size)
-        text = np.searchsorted(ends, a, "right")
-        lead = min(depth, a - (int(ends[text - 1]) if text else 0))
-        inner = ends[(ends > a) & (ends < z)] - (a - lead)
-        yield ids[a - lead : z], np.append(inner, z - a + lead), lead
-
-
-def find(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Places of codes in sorted keys; -1 where absent."""
-    if not len(keys):
-        return np.full(len(codes), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-    return np.where(keys[at] == codes, at, -1)
-
-
-class Tree:
-    """Levels 1, 2, ...: contexts as (context of the level above, word), and the listed next symbols as (context, word)."""
-
-    def __init__(self, n: int, v: int, counts: np.ndarray):
-        self.n, self.v, self.width = n, v, len(counts) + 1
-        self.root = np.concatenate([[1.0], (counts + 1) / (n + v + 1)])  # of number 0: the rest is added by word
-        self.levels: list[dict] = []
-
-    def walk(self, ids: np.ndarray, ends: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-        """For each token, the numbers of the 1, 2, ... `depth` words before it among those levels' contexts; -1 if none."""
-        starts = np.concatenate([[0], ends[:-1]])
-        now = np.zeros(len(ids), np.int64)
-        for d in range(depth):
-            before, word = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-            before[1:], word[1:] = now[:-1], ids[:-1]
-            before[starts], word[starts] = -1, 0
-            ok = np.flatnonzero((before >= 0) & (word > 0))
-            now = np.full(len(ids), -1, np.int64)
-            now[ok] = find(self.levels[d]["contexts"], before[ok] * self.width + word[ok])
-            yield now
-
-    def contexts(self, ids: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-        """For each token, the number of the `depth` words before it among that level's contexts; -1 if none."""
-        now = np.zeros(len(ids), np.int64)
-        for now in self.walk(ids, ends, depth):
-            pass
-        return now
-
-    def add_level(self, contexts: np.ndarray, totals: np.ndarray) -> None:
-        self.levels.append({"contexts": contexts, "totals": totals, "pairs": np.zeros(0, np.int64), "times": np.zeros(0, np.int64), "rest": totals.astype(float), "kept": np.zeros(len(contexts), bool)})
-
-    def fill_level(self, pairs: np.ndarray, times: np.ndarray) -> None:
-        """The listed next symbols of the last level, and which of its contexts diverge enough from their suffixes."""
-        level, d = self.levels[-1], len(self.levels)
-        level["pairs"], level["times"] = pairs, times
-        of, word = pairs // self.width, pairs % self.width
-        listed = np.bincount(of, minlength=len(level["contexts"]))
-        level["rest"] = level["totals"] - np.bincount(of, weights=times, minlength=len(level["contexts"])) + D * listed
-        # The suffix of context (a b) c is the context b c one level up.
-        suffix = np.zeros(len(level["contexts"]), np.int64)
-        if d > 1:
-            above = self.levels[-2]
-            up, last = level["contexts"] // self.width, level["contexts"] % self.width
-            suffix = np.where(above["suffix"][up] >= 0, find(above["contexts"], np.maximum(above["suffix"][up], 0) * self.width + last), -1)
-        level["suffix"] = suffix
-        # Each occurrence is judged by the counts without it.
-        parent = self.given(word, suffix[of], d - 1)
-        own = (np.maximum(times - 1 - D, 0) + (level["rest"][of] + K) * parent) / (level["totals"][of] - 1 + K)
-        unlisted = (level["rest"] - D * listed) * np.log((level["rest"] + K) / (level["totals"] + K))
-        gain = np.bincount(of, weights=times * np.log(own / parent), minlength=len(suffix)) + unlisted
-        level["kept"] = (listed > 0) & (gain >= GAIN_PER_SYMBOL * listed)
-        # No other context is asked for its symbols.
-        use = level["kept"][of]
-        level["pairs"], level["times"] = pairs[use], times[use]
-
-    def given(self, word: np.ndarray, context: np.ndarray, depth: int) -> np.ndarray:
-        """P(word | context) for contexts of one level, with the suffixes below."""
-        chain = [context]
-        for d in range(depth, 1, -1):
-            chain.append(np.where(chain[-1] >= 0, self.levels[d - 1]["suffix"][np.maximum(chain[-1], 0)], -1))
-        p = self.root[word]
-        for d, c in enumerate(reversed(chain[:depth] if depth else []), 1):
-            p = self.smooth(d, c, word, p)
-        return p
-
-    def smooth(self, d: int, context: np.ndarray, word: np.ndarray, p: np.ndarray) -> np.ndarray:
-        level = self.levels[d - 1]
-        if not len(level["contexts"]):
-            return p
-        use = np.flatnonzero((context >= 0) & level["kept"][np.maximum(context, 0)])
-        if not len(use):
-            return p
-        c, word, out = context[use], word[use], p.copy()
-        at = find(level["pairs"], c * self.width + word)
-        n = np.where((at >= 0) & (word > 0), level["times"][np.maximum(at, 0)] - D, 0)
-        out[use] = (n + (level["rest"][c] + K) * p[use]) / (level["totals"][c] + K)
-        return out
-
-    def log10(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The tokens' log10 probabilities; rare words' own root probabilities are left out."""
-        p = self.root[ids]
-        for d, c in enumerate(self.walk(ids, ends, len(self.levels)), 1):
-            p = self.smooth(d, c, ids, p)
-        return np.log10(p)
-
-
-def merged(pairs: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs in order and the sums of their times."""
-    pair, n = np.concatenate(pairs), np.concatenate(times)
-    order = np.argsort(pair)
-    pair, n = pair[order], n[order]
-    first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
-    return pair[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def _summed(coded: DataFrame, tree: Tree, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (context of the last level, next word) of the training texts seen `least` times or more, in order, and their counts."""
-    sent = coded.sparkSession.sparkContext.broadcast({"width": tree.width, "levels": [{"contexts": x["contexts"]} for x in tree.levels]})
-    depth, buckets = len(tree.levels), max(1, tree.n // BUCKET)
-
-    def packed(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        """A row for each bucket: steps from pair to pair, compressed, and counts."""
-        of = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(buckets)
-        order = np.argsort(of, kind="stable")
-        cuts = np.searchsorted(of[order], np.arange(buckets + 1))
-        rows = []
-        for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if s < e:
-                own = order[s:e]
-                rows.append((k, e - s, *(pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in (np.diff(pair[own], prepend=0), n[own].astype(np.int64)))))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "m", "pairs", "times"])
+    schema = f"chunk bigint, n_tokens bigint, tokens binary, hashes binary, rows array<bigint>, ids array<{kind}>, held array<boolean>, ends array<int>, leads array<int>"
 
     def run(batches):
-        t = Tree.__new__(Tree)
-        vars(t).update(sent.value)
-        held, size = [], 0
-        for part in (x for b in batches for x in sliced(b)):
-            for ids, ends, lead in windows(*flat(part.column("ids")), depth):
-                at, ids = t.contexts(ids, ends, depth)[lead:], ids[lead:]
-                ok = (at >= 0) & (ids > 0)
-                held.append(np.unique(at[ok] * t.width + ids[ok], return_counts=True))
-                size += len(held[-1][0])
-                if size >= BUCKET:
-                    yield packed(*merged(*zip(*held, strict=True)))
-                    held, size = [], 0
-        if size:
-            yield packed(*merged(*zip(*held, strict=True)))
-        give_back()
+        from xxhash import xxh3_64_intdigest
+
+        number, id_type = 0, None
+        words: list[bytes] = []
+        segments: list[tuple] = []  # row, id, held out, end, words that only lead
+
+        def flush() -> pa.RecordBatch:
+            nonlocal words, segments, number
+            coded = pa.array(words, pa.binary()).dictionary_encode()
+            hashes = np.fromiter(map(xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+            order = np.argsort(hashes)
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order))
+            tokens = place[coded.indices.to_numpy()]
+            one = lambda x, t: pa.array([x], t)
+            row, ids, held, ends, leads = ([*x] for x in zip(*segments, strict=True))
+            out = pa.RecordBatch.from_arrays(
+                [one((pid << 32) + number, pa.int64()), one(len(tokens), pa.int64()), one(packed(tokens.view(np.uint32)), pa.binary()), one(packed(np.diff(hashes[order], prepend=np.uint64(0))), pa.binary()), one(row, pa.list_(pa.int64())), one(ids, pa.list_(id_type)), one(held, pa.list_(pa.bool_())), one(ends, pa.list_(pa.int32())), one(leads, pa.list_(pa.int32()))],
+                names=["chunk", "n_tokens", "tokens", "hashes", "rows", "ids", "held", "ends", "leads"],
+            )
+            number, words, segments = number + 1, [], []
+            return out
 
-    def add(batches):
-        held: dict[int, list] = {}
         for b in batches:
-            for r in b.to_pylist():
-                own = held.setdefault(r["bucket"], [])
-                own.append(tuple(np.frombuffer(pa.decompress(r[c], decompressed_size=8 * r["m"], codec="zstd"), np.int64) for c in ("pairs", "times")))
-                own[-1] = (np.cumsum(own[-1][0]), own[-1][1])
-                if sum(len(x[0]) for x in own) > 2 * BUCKET and len(own) > 8:
-                    held[r["bucket"]] = [merged(*zip(*own, strict=True))]
-        for own in held.values():
-            pair, n = merged(*zip(*own, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[n >= least]), pa.array(n[n >= least])], names=["pair", "n"])
+            id_type, pid = b.schema.field("doc_id").type, b.column("pid")[0].as_py() if b.num_rows else 0
+            for row, doc, held, data in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("held_out").to_pylist(), raw(b.column("text")), strict=True):
+                lead = 0
+                for part in pieces((data or b"").translate(SPACED)):
+                    own = part.split()
+                    while len(words) + len(own) > 2 * CHUNK:
+                        take = 2 * CHUNK - len(words)
+                        words += own[:take]
+                        own, before = own[take:], words[-depth:]
+                        segments.append((row, doc, held, len(words), lead))
+                        yield flush()
+                        words, lead = [*before], len(before)
+                    words += own
+                words.append(END)
+                segments.append((row, doc, held, len(words), lead))
+                if len(words) >= CHUNK:
+                    yield flush()
+        if segments:
+            yield flush()
         give_back()
 
-    parts = coded.filter("not held_out").select("ids").mapInArrow(run, "bucket int, m bigint, pairs binary, times binary")
-    got = parts.repartition(buckets, "bucket").mapInArrow(add, "pair bigint, n bigint").toArrow()
-    sent.destroy()
-    pairs, times = (got.column(c).to_numpy().astype(np.int64) for c in ("pair", "n"))
-    order = np.argsort(pairs)
-    return pairs[order], times[order]
+    return docs.mapInArrow(run, schema)
+
+
+class Levels:
+    """A chunk level by level: what it asks for, and what the answers so far make of it."""
+
+    def __init__(self, row: dict, n: int, v: int, shift: int, hot: list[np.ndarray], known: list[dict[str, np.ndarray]], least_context: int):
+        self.tokens, self.hashes = unpacked(row["tokens"], "u4").view(np.int32), np.cumsum(unpacked(row["hashes"], "u8"), dtype=np.uint64)
+        self.n, self.v, self.shift, self.hot, self.known, self.least = n, v, np.uint64(shift), hot, known, least_context
+        ends = np.array(row["ends"], np.int64)
+        self.starts = np.concatenate([[0], ends[:-1]])
+        size = ends - self.starts
+        self.depth = np.arange(len(self.tokens)) - np.repeat(self.starts, size)  # words before a token in its text
+        self.leads = np.array(row["leads"], np.int64)
+        self.active = self.depth >= np.repeat(self.leads, size)
+        self.trained = (~np.repeat(np.array(row["held"], bool), size) & self.active).astype(np.int64)
+        self.symbols = np.maximum(self.hashes.astype(np.uint32), 1)
+        self.level = 0
+        self.times = np.bincount(self.tokens, weights=self.trained, minlength=len(self.hashes)).astype(np.uint32)
+
+    def ask_words(self) -> tuple[np.ndarray, ...]:
+        none = np.zeros(len(self.hashes), np.uint32)
+        return self.hashes, none, self.times, none.astype(np.uint8)
+
+    def take_words(self, counts: np.ndarray) -> None:
+        """The answer to ask_words(): the root's probabilities, and words as contexts."""
+        count = counts.astype(np.int64)
+        self.count = count[self.tokens]
+        self.seen = self.count > 0
+        self.root = (self.count + 1) / (self.n + self.v + 1)
+        self.p = self.root.copy()
+        self.gram, self.totals = np.where(count >= self.least, np.arange(len(count)), -1)[self.tokens], count
+        self.next = joined(self.hashes, np.zeros(len(count), np.uint32)) >> self.shift
+
+    def ask(self) -> tuple[np.ndarray, ...]:
+        """Contexts, symbols, counts and suffix probabilities of the next level's distinct pairs, in order of context."""
+        self.level += 1
+        context = np.full(len(self.tokens), -1, np.int64)
+        context[1:] = self.gram[:-1]
+        context[self.depth < self.level] = -1
+        real = self.count >= LEAST_PAIR
+        hot_here = np.isin(self.next, self.hot[self.level - 1]) if len(self.hot[self.level - 1]) else np.zeros(len(self.next), bool)
+        is_hot = (context >= 0) & hot_here[np.maximum(context, 0)]
+        self.at = np.flatnonzero((context >= 0) & (real | ~is_hot))
+        self.hot_at = np.flatnonzero(is_hot)
+        self.hot_context = context[self.hot_at]
+        c, real = context[self.at], real[self.at]
+        symbol = np.where(real, self.tokens[self.at].astype(np.int64) + 1, 0)
+        width = len(self.hashes) + 1
+        key, first, self.pair = np.unique(c * width + symbol, return_index=True, return_inverse=True)
+        c, w = key // width, key % width
+        symbol = np.where(w > 0, self.symbols[np.maximum(w - 1, 0)], 0).astype(np.uint32)
+        salt = np.where(hot_here[c], symbol % SALTS + 1, 0).astype(np.uint64)
+        routed = np.where(salt > 0, joined(self.next[c], salt) >> self.shift, self.next[c])
+        steps = np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255).astype(np.uint8)
+        times = np.bincount(self.pair, weights=self.trained[self.at], minlength=len(key)).astype(np.uint32)
+        order = np.argsort(routed, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair, self.key_context, self.key_symbol = place[self.pair], c[order], symbol[order]
+        return routed[order], symbol[order], times[order], steps[order]
+
+    def take(self, counts: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray) -> None:
+        """The answer to ask(): counts of the pairs, and by pair what its context is."""
+        counts = counts.astype(np.int64)
+        size = len(self.tokens)
+        self.count = np.zeros(size, np.int64)
+        self.count[self.at] = counts[self.pair]
+        context, use, rest = np.full(size, -1, np.int64), np.zeros(size, bool), np.zeros(size)
+        context[self.at], use[self.at] = self.key_context[self.pair], kept[self.pair].astype(bool)
+        left = self.totals[self.key_context] - mass.astype(np.int64) + D * listed
+        rest[self.at] = left[self.pair]
+        if len(self.hot_at):  # what the driver added up
+            told = self.known[self.level - 1]
+            context[self.hot_at] = self.hot_context
+            i = np.searchsorted(told["context"], self.next[self.hot_context])
+            use[self.hot_at], rest[self.hot_at] = told["kept"][i] & (told["context"][i] == self.next[self.hot_context]), told["rest"][i]
+        use = np.flatnonzero(use)
+        held = np.maximum(self.count[use] - D, 0)
+        self.p[use] = (held + (rest[use] + K) * self.p[use]) / (self.totals[context[use]] + K)
+        grams = np.where((counts >= self.least) & (self.key_symbol > 0), np.arange(len(counts)), -1)
+        self.gram = np.full(size, -1, np.int64)
+        self.gram[self.at] = grams[self.pair]
+        self.next = joined(self.next[self.key_context], self.key_symbol) >> self.shift
+        self.totals = counts
+
+    def answered(self, answers: list[dict]) -> None:
+        """Take all answers there are, level by level."""
+        by: dict[int, list[dict]] = {}
+        for a in answers:
+            by.setdefault(a["level"], []).append(a)
+        for level in sorted(by):
+            own = sorted(by[level], key=lambda a: a["bucket"])
+            counts = np.concatenate([unpacked(a["counts"], "u8") for a in own])
+            if level == 0:
+                self.take_words(counts)
+                continue
+            self.ask()
+            of = [np.repeat(unpacked(a["contexts"], "u8").reshape(3, -1), unpacked(a["runs"], "u4"), axis=1) for a in own]
+            self.take(counts, *np.concatenate(of, axis=1))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """By segment, over the tokens that are its own."""
+        return np.add.reduceat(np.where(self.active, x, 0), self.starts)
+
+
+ASKED = "bucket int, chunk bigint, contexts binary, symbols binary, times binary, steps binary"
+ANSWER = "chunk bigint, level int, bucket int, counts binary, runs binary, contexts binary, kind string, context bigint, numbers array<double>"
+
+
+def questions(rows: DataFrame, level: int, buckets: int, bits: int, options: dict) -> DataFrame:
+    """What the chunks ask for at a level, by bucket."""
 
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                chunk = Levels(row, **options)
+                chunk.answered(row["answers"] or [])
+                contexts, symbols, times, steps = chunk.ask() if level else chunk.ask_words()
+                bucket = ((contexts >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+                out = [(i, row["chunk"], packed(np.diff(contexts[s:e], prepend=np.uint64(0))), packed(symbols[s:e]), packed(times[s:e]), packed(steps[s:e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if s < e]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "contexts", "symbols", "times", "steps"])
+        give_back()
 
-def occurrences(bound: float, n: int) -> float:
-    """A bound as a number of occurrences among n tokens."""
-    return bound if bound >= 1 else bound * n
+    return rows.mapInArrow(run, ASKED)
+
+
+def tested(n: np.ndarray, listed: np.ndarray, mass: np.ndarray, gained: np.ndarray, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts diverge enough from their suffixes, and their rest."""
+    rest = n - mass + D * listed
+    total = gained - mass * np.log(np.maximum(n, 1)) + rest * np.log(np.maximum(rest, 1e-300) / np.maximum(n, 1))
+    return (listed > 0) & (total >= gain * listed), rest
+
+
+def answers(asked: DataFrame, level: int, shift: int, least_hot: float, hot: np.ndarray, gain: float) -> DataFrame:
+    """For each bucket: answers to its chunks, and rows for the driver: totals of level 0, contexts that will be hot, parts of those that are."""
+
+    def run(key, t):
+        def column(name: str, kind: str) -> list[np.ndarray]:
+            return [unpacked(x, kind) for x in t.column(name).to_pylist()]
+
+        contexts = [np.cumsum(x, dtype=np.uint64) for x in column("contexts", "u8")]
+        sizes = [len(x) for x in contexts]
+        context, symbol = np.concatenate(contexts), np.concatenate(column("symbols", "u4"))
+        times, steps = np.concatenate(column("times", "u4")), np.concatenate(column("steps", "u1"))
+        order = np.lexsort((symbol, context))
+        c, w = context[order], symbol[order]
+        new_context = np.append(True, c[1:] != c[:-1])
+        new = new_context | np.append(True, w[1:] != w[:-1])
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(times[order].astype(np.int64), first)
+        of = np.cumsum(new_context[first]) - 1  # the context of each pair
+        c, w, parent = c[first], w[first], steps[order][first] * STEP
+        driver: list[tuple] = []
+        if level:
+            use = (count >= LEAST_PAIR) & (w > 0)
+            n = np.bincount(of, weights=count)
+            listed, mass = np.bincount(of, weights=use), np.bincount(of, weights=count * use)
+            gained = np.bincount(of, weights=np.where(use, count * (np.log(np.maximum(count - 1 - D, 0.1)) + parent), 0))
+            kept, _ = tested(n, listed, mass, gained, gain)
+            count = np.where(use, count, 0)
+            own = c.copy()
+            if len(hot):
+                part = (joined(np.repeat(hot, SALTS), np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(hot))) >> np.uint64(shift)).reshape(-1)
+                back = np.argsort(part)
+                i = np.minimum(np.searchsorted(part[back], c), len(back) - 1)
+                is_part = part[back][i] == c
+                own[is_part] = np.repeat(hot, SALTS)[back][i[is_part]]
+                heads = np.flatnonzero(is_part & np.append(True, of[1:] != of[:-1]))
+                driver += [("part", int(own[h].view(np.int64)), [float(listed[of[h]]), float(mass[of[h]]), float(gained[of[h]])]) for h in heads]
+            follow = joined(own, w) >> np.uint64(shift)
+        else:
+            driver.append(("total", 0, [float(count.sum()), float((count > 0).sum())]))
+            follow = None
+        for h in np.flatnonzero(count >= least_hot):
+            context_hash = follow[h] if level else joined(c[h : h + 1], w[h : h + 1])[0]
+            driver.append(("hot", int(context_hash.view(np.int64)), [float(count[h])]))
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        rows, at = [], 0
+        for chunk, size in zip(t.column("chunk").to_pylist(), sizes, strict=True):
+            p, at = pair[at : at + size], at + size
+            runs = told = None
+            if level:
+                heads = np.flatnonzero(np.append(True, of[p[1:]] != of[p[:-1]]))
+                o = of[p[heads]]
+                runs, told = packed(np.diff(heads, append=size).astype(np.uint32)), packed(np.stack([kept[o], np.where(kept[o], listed[o], 0), np.where(kept[o], mass[o], 0)]).astype(np.uint64).reshape(-1))
+            rows.append((chunk, level, key[0].as_py(), packed(count[p].astype(np.uint64)), runs, told, None, None, None))
+        rows += [(None, level, key[0].as_py(), None, None, None, *x) for x in driver]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.float64())]
+        give_back()
+        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_word: float = LEAST_WORD, least_context: float = LEAST_CONTEXT, least_pair: float = LEAST_PAIR) -> DataFrame:
+def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, least_context: int = LEAST_CONTEXT, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
     spark = docs.sparkSession
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
-    counts = staged(count_words(own.filter("not held_out").select("text")), "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    least_word, least_context, least_pair = (occurrences(x, n) for x in (least_word, least_context, least_pair))
-    got = counts.filter(F.col("c") >= least_word).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
-    head = got.column("word").combine_chunks() if got.num_rows else pa.array([], pa.binary())
-    c = got.column("c").to_numpy().astype(np.int64)
-    coded = staged(code_texts(own, head), "coded")
-
-    tree = Tree(n, v, c)
-    contexts, totals = np.flatnonzero(c >= least_context) + 1, c[c >= least_context]  # code 0 * width + word
-    for d in range(depth):
-        tree.add_level(contexts, totals)
-        if not len(contexts):
-            tree.fill_level(np.zeros(0, np.int64), np.zeros(0, np.int64))
-            break
-        pairs, times = _summed(coded, tree, max(2.0, min(least_pair, least_context)))
-        tree.fill_level(pairs, times)
-        end = np.isin(pairs % tree.width, np.flatnonzero([w == END for w in head.to_pylist()]) + 1)  # nothing follows an end
-        contexts, totals = pairs[~end & (times >= least_context)], times[~end & (times >= least_context)]
-    for level in tree.levels:
-        del level["suffix"]  # scores need none
-        level["times"] = level["times"].astype(np.int32 if n < 1 << 31 else np.int64)
-    sent = spark.sparkContext.broadcast(vars(tree))
+    own = docs.select(F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    path = new_path(spark, "chunks")
+    name = f"chunks_{path[-32:]}"
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
+    chunks(own, depth).write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
+    held = spark.table(name)
+    n_tokens = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    buckets = -(-n_tokens // BUCKET) or 1
+    bits = 64
+    options = {"n": 0, "v": 0, "shift": 0, "hot": [], "known": [], "least_context": least_context}
+    told: list[DataFrame] = []
+
+    def answered() -> DataFrame:
+        """Chunks with all answers so far; only the answers move."""
+        if not told:
+            return held.withColumn("answers", F.lit(None).cast("array<struct<level: int>>"))
+        rows = told[0]
+        for x in told[1:]:
+            rows = rows.unionByName(x)
+        rows = rows.filter("chunk is not null").groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("level", "bucket", "counts", "runs", "contexts")).alias("answers"))
+        return held.join(rows.hint("merge"), F.col("chunk") == F.col("of"), "left").drop("of")
+
+    def hashes(values) -> np.ndarray:
+        return np.unique(np.array([*values], np.int64).view(np.uint64))
+
+    least_hot = max(LEAST_PAIR, HOT * n_tokens)
+    for level in range(depth + 1):
+        hot = options["hot"][level - 1] if level else np.zeros(0, np.uint64)
+        told.append(staged(answers(questions(answered(), level, buckets, bits, dict(options)), level, options["shift"], least_hot, hot, gain), "answers"))
+        mine = told[-1].filter("kind is not null")
+        if level == 0:
+            n, v = (int(x) for x in mine.filter("kind = 'total'").agg(F.coalesce(F.sum(F.col("numbers")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("numbers")[1]), F.lit(0.0))).first())
+            bits = min(64, max(48, 2 * max(1, n).bit_length()))
+            options |= {"n": n, "v": v, "shift": 64 - bits}
+        else:
+            sums = mine.filter("kind = 'part'").groupBy("context").agg(*(F.sum(F.col("numbers")[i]).alias(f"x{i}") for i in range(3))).collect()
+            totals = dict(zip(*next_totals, strict=True))
+            order = sorted(sums, key=lambda r: int(np.int64(r.context).view(np.uint64)))
+            context = np.array([r.context for r in order], np.int64).view(np.uint64)
+            listed, mass, gained = (np.array([r[f"x{i}"] for r in order], float) for i in range(3))
+            kept, rest = tested(np.array([totals[int(c)] for c in context], float), listed, mass, gained, gain)
+            options["known"] = [*options["known"], {"context": np.append(context, np.uint64(2**64 - 1)), "kept": np.append(kept, False), "rest": np.append(rest, 0.0)}]
+        found = [(r.context, r.numbers[0]) for r in mine.filter("kind = 'hot'").select("context", "numbers").collect()]
+        codes = np.array([c for c, _ in found], np.int64).view(np.uint64)
+        codes = codes >> np.uint64(options["shift"]) if level == 0 else codes
+        next_totals = ([int(c) for c in codes], [x for _, x in found])
+        options["hot"] = [*options["hot"], np.unique(codes)]
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    final = dict(options)
 
     def score(batches):
-        t = Tree.__new__(Tree)
-        vars(t).update(sent.value)
-        for b in (x for b in batches for x in sliced(b)):
-            ids, ends = flat(b.column("ids"))
-            starts = np.concatenate([[0], ends[:-1]])
-            total = lambda x: np.add.reduceat(x, starts)
-            scores = np.concatenate([t.log10(x, e)[lead:] for x, e, lead in windows(ids, ends, len(t.levels))])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(x) for x in ("row", "doc_id", "held_out")), pa.array(ends - starts, pa.int64()), pa.array(total((ids > 0).astype(np.int64)), pa.int64()), pa.array(total(np.log10(t.root[ids]))), pa.array(total(scores))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_head", "head_base", "head_score"],
-            )
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                chunk = Levels(row, **final)
+                chunk.answered(row["answers"])
+                id_type = b.schema.field("ids").type.value_type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["rows"], pa.int64()), pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(chunk.sums(np.ones(len(chunk.tokens), np.int64))), pa.array(chunk.sums(chunk.seen.astype(np.int64))), pa.array(chunk.sums(np.log10(chunk.root))), pa.array(chunk.sums(np.log10(chunk.p)))],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                )
         give_back()
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = coded.select("row", "doc_id", "held_out", "ids").mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_base double, head_score double")
-    rare = coded.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("own_word"), F.col("x.times").alias("times"))
-    few = counts.filter(F.col("c") < least_word)
-    each = F.coalesce("c", F.lit(0))
-    tail = (
-        rare.join(few, F.col("own_word") == F.col("word"), "left")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10((each + 1) / F.lit(float(n + v + 1)))).alias("tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("tail_known"))
-        .withColumnRenamed("row", "tail_row")
-    )
-    rest = F.coalesce("tail", F.lit(0.0))
-    return scored.join(tail, F.col("row") == F.col("tail_row"), "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("head_base") + rest).alias("base_score"), (F.col("head_score") + rest).alias("score"),
-    )
+    scored = answered().mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
+    whole = staged(whole, "scored")
+    spark.sql(f"drop table {name}")
+    remove(spark, path)
+    discard(*told)
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
