@@ -51,8 +51,8 @@ def brute(rows, depth=3, least=2, gain=2.0):
             rest = total - mass + 0.75 * len(listed)
             won = -mass * math.log(total) + (rest * math.log(rest / total) if rest else 0)
             for w, c in listed:
-                steps = min(255, max(0, round(-math.log(p(s[1:], w)) / (math.log(2) / 8))))
-                won += c * (math.log(c - 1.75) + steps * math.log(2) / 8)
+                steps = min(255, max(0, round(-math.log(p(s[1:], w)) / (math.log(2) / 2))))
+                won += c * (math.log(c - 1.75) + steps * math.log(2) / 2)
             kept[s] = (bool(listed) and won >= gain * len(listed), rest)
     out = []
     for i, x in rows:

@@ -6,7 +6,7 @@ n(s) is how often, and the next symbols seen `least_pair` times or more after it
 
 Divergence test: s is kept when its listed symbols gain `gain` nats each, or more, against the state of its suffix:
 sum of c(s,w) ln((c(s,w) - 1 - D) / P(w | suffix)) - C ln n(s) + rest ln(rest / n(s)) >= gain * L, where rest = n(s) - C + D L. Each
-occurrence is so judged by the others; P(w | suffix) enters in steps of an eighth of a bit.
+occurrence is so judged by the others; P(w | suffix) enters in steps of half a bit.
 
 Smoothing: P(w | s) = (max(c(s,w) - D, 0) + (rest + K) P(w | suffix)) / (n(s) + K), with c(s,w) = 0 where w is not listed; it sums to 1
 over the vocabulary and the unknown class. A token is scored by the longest kept suffix of what precedes it in its text. All
@@ -14,13 +14,14 @@ bounds are numbers of occurrences, the same for any corpus, so contexts, symbols
 
 Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Null or empty texts are the end alone. Rows that repeat, or share an
 id, are scored each for itself. Without training rows N is 0 and every token is unknown. Empty tables give empty tables; extra
-columns are ignored. Words and contexts are known by hashes of 64 bits, symbols of a context by 32, so two may be taken for one.
+columns are ignored. Words are told apart by hashes of 64 bits, contexts of two words or more by twice the bits of N, 48 at least.
 
 Scale: no table of words or contexts is ever whole in one place. Texts become chunks of about `CHUNK` tokens, written once, bucketed by
 chunk. A level is a question and an answer: each chunk sends its distinct pairs (context, symbol) with their counts, packed, to the
 buckets of their contexts; a bucket of about `BUCKET` tokens adds them up, tests its contexts, and answers each chunk in the
-order it was asked. A pair whose shorter form is not listed cannot be, so it is asked for as "other". Answers join the chunks by
-their bucketing, which moves answers and no texts. A context with `HOT` or more of all tokens is dealt out by symbol to `SALTS` parts;
+order it was asked. Words get numbers with the first answer, frequent ones small numbers, which is what later levels send. A pair whose shorter
+form is not listed cannot be, so it is asked for as "other". Answers are shuffled to their chunks once, and bucketed alike, so that levels are
+read side by side and no text moves. A context with `HOT` or more of all tokens is dealt out by symbol to `SALTS` parts;
 there are at most 1 / HOT of them a level, so the driver adds up their parts and broadcasts the sums. A text longer than a chunk
 is several, each led by the words that precede it.
 """
@@ -45,8 +46,8 @@ GAIN, K, D = 2.0, 1.0, 0.75
 CHUNK, BUCKET = 1_000_000, 4_000_000
 #: Share of all tokens from which a context is dealt out to parts, and the parts.
 HOT, SALTS = 0.001, 64
-#: Steps of ln P in the divergence test: an eighth of a bit, up to 255 of them.
-STEP = math.log(2) / 8
+#: Steps of ln P in the divergence test: half a bit, up to 255 of them.
+STEP = math.log(2) / 2
 #: The end of a text as a word; no word holds a space.
 END = b" "
 
@@ -59,7 +60,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a context and what follows it, as a context itself; symbols are 32 bits."""
+    """The hash of a context and what follows it, as a context itself."""
     return mixed(context * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
 
 
@@ -132,12 +133,17 @@ def chunks(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def in_bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bucket of a hash of `bits` bits, by its highest."""
+    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 class Levels:
     """A chunk level by level: what it asks for, and what the answers so far make of it."""
 
-    def __init__(self, row: dict, n: int, v: int, shift: int, hot: list[np.ndarray], known: list[dict[str, np.ndarray]], least_context: int):
+    def __init__(self, row: dict, n: int, v: int, bits: int, buckets: int, hot: list[np.ndarray], known: list[dict[str, np.ndarray]], least_context: int):
         self.tokens, self.hashes = unpacked(row["tokens"], "u4").view(np.int32), np.cumsum(unpacked(row["hashes"], "u8"), dtype=np.uint64)
-        self.n, self.v, self.shift, self.hot, self.known, self.least = n, v, np.uint64(shift), hot, known, least_context
+        self.n, self.v, self.bits, self.buckets, self.shift, self.hot, self.known, self.least = n, v, bits, buckets, np.uint64(64 - bits), hot, known, least_context
         ends = np.array(row["ends"], np.int64)
         self.starts = np.concatenate([[0], ends[:-1]])
         size = ends - self.starts
@@ -145,23 +151,22 @@ class Levels:
         self.leads = np.array(row["leads"], np.int64)
         self.active = self.depth >= np.repeat(self.leads, size)
         self.trained = (~np.repeat(np.array(row["held"], bool), size) & self.active).astype(np.int64)
-        self.symbols = np.maximum(self.hashes.astype(np.uint32), 1)
         self.level = 0
         self.times = np.bincount(self.tokens, weights=self.trained, minlength=len(self.hashes)).astype(np.uint32)
 
     def ask_words(self) -> tuple[np.ndarray, ...]:
-        none = np.zeros(len(self.hashes), np.uint32)
-        return self.hashes, none, self.times, none.astype(np.uint8)
+        none = np.zeros(len(self.hashes), np.uint64)
+        return in_bucket(self.hashes, 64, self.buckets), self.hashes, none, self.times, none.astype(np.uint8)
 
-    def take_words(self, counts: np.ndarray) -> None:
-        """The answer to ask_words(): the root's probabilities, and words as contexts."""
-        count = counts.astype(np.int64)
+    def take_words(self, counts: np.ndarray, numbers: np.ndarray) -> None:
+        """The answer to ask_words(): the root's probabilities, and words as symbols and as contexts by their numbers."""
+        count, self.symbols = counts.astype(np.int64), numbers
         self.count = count[self.tokens]
         self.seen = self.count > 0
         self.root = (self.count + 1) / (self.n + self.v + 1)
         self.p = self.root.copy()
         self.gram, self.totals = np.where(count >= self.least, np.arange(len(count)), -1)[self.tokens], count
-        self.next = joined(self.hashes, np.zeros(len(count), np.uint32)) >> self.shift
+        self.next = numbers
 
     def ask(self) -> tuple[np.ndarray, ...]:
         """Contexts, symbols, counts and suffix probabilities of the next level's distinct pairs, in order of context."""
@@ -171,7 +176,8 @@ class Levels:
         context[self.depth < self.level] = -1
         real = self.count >= LEAST_PAIR
         hot_here = np.isin(self.next, self.hot[self.level - 1]) if len(self.hot[self.level - 1]) else np.zeros(len(self.next), bool)
-        is_hot = (context >= 0) & hot_here[np.maximum(context, 0)]
+        is_hot, there = np.zeros(len(context), bool), np.flatnonzero(context >= 0)
+        is_hot[there] = hot_here[context[there]]
         self.at = np.flatnonzero((context >= 0) & (real | ~is_hot))
         self.hot_at = np.flatnonzero(is_hot)
         self.hot_context = context[self.hot_at]
@@ -180,16 +186,19 @@ class Levels:
         width = len(self.hashes) + 1
         key, first, self.pair = np.unique(c * width + symbol, return_index=True, return_inverse=True)
         c, w = key // width, key % width
-        symbol = np.where(w > 0, self.symbols[np.maximum(w - 1, 0)], 0).astype(np.uint32)
-        salt = np.where(hot_here[c], symbol % SALTS + 1, 0).astype(np.uint64)
+        symbol = np.where(w > 0, self.symbols[np.maximum(w - 1, 0)], np.uint64(0))
+        salt = np.where(hot_here[c], symbol % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
         routed = np.where(salt > 0, joined(self.next[c], salt) >> self.shift, self.next[c])
-        steps = np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255).astype(np.uint8)
+        bucket = in_bucket(routed, self.bits, self.buckets)
+        if self.level == 1:  # numbers of words are dense: those of a bucket are near each other
+            bucket = np.where(salt > 0, bucket, routed % np.uint64(self.buckets))
+        steps = np.where(w > 0, np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255), 0).astype(np.uint8)
         times = np.bincount(self.pair, weights=self.trained[self.at], minlength=len(key)).astype(np.uint32)
-        order = np.argsort(routed, kind="stable")
+        order = np.lexsort((routed, bucket))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair, self.key_context, self.key_symbol = place[self.pair], c[order], symbol[order]
-        return routed[order], symbol[order], times[order], steps[order]
+        return bucket[order], routed[order], symbol[order], times[order], steps[order]
 
     def take(self, counts: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray) -> None:
         """The answer to ask(): counts of the pairs, and by pair what its context is."""
@@ -215,20 +224,17 @@ class Levels:
         self.next = joined(self.next[self.key_context], self.key_symbol) >> self.shift
         self.totals = counts
 
-    def answered(self, answers: list[dict]) -> None:
-        """Take all answers there are, level by level."""
-        by: dict[int, list[dict]] = {}
-        for a in answers:
-            by.setdefault(a["level"], []).append(a)
-        for level in sorted(by):
-            own = sorted(by[level], key=lambda a: a["bucket"])
-            counts = np.concatenate([unpacked(a["counts"], "u8") for a in own])
+    def answered(self, answers: list[dict], levels: int) -> None:
+        """Take the answers of `levels` levels. A chunk that asked nothing at a level got no answer and goes on without."""
+        for level in range(levels):
+            own = sorted((a for a in answers if a["level"] == level), key=lambda a: a["bucket"])
+            counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a["counts"], "u8") for a in own)])
             if level == 0:
-                self.take_words(counts)
+                self.take_words(counts, np.concatenate([unpacked(a["contexts"], "u8") for a in own]))
                 continue
             self.ask()
             of = [np.repeat(unpacked(a["contexts"], "u8").reshape(3, -1), unpacked(a["runs"], "u4"), axis=1) for a in own]
-            self.take(counts, *np.concatenate(of, axis=1))
+            self.take(counts, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1))
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """By segment, over the tokens that are its own."""
@@ -239,7 +245,7 @@ ASKED = "bucket int, chunk bigint, contexts binary, symbols binary, times binary
 ANSWER = "chunk bigint, level int, bucket int, counts binary, runs binary, contexts binary, kind string, context bigint, numbers array<double>"
 
 
-def questions(rows: DataFrame, level: int, buckets: int, bits: int, options: dict) -> DataFrame:
+def questions(rows: DataFrame, level: int, options: dict) -> DataFrame:
     """What the chunks ask for at a level, by bucket."""
 
     def run(batches):
@@ -247,10 +253,9 @@ def questions(rows: DataFrame, level: int, buckets: int, bits: int, options: dic
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 chunk = Levels(row, **options)
-                chunk.answered(row["answers"] or [])
-                contexts, symbols, times, steps = chunk.ask() if level else chunk.ask_words()
-                bucket = ((contexts >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+                chunk.answered(row["answers"] or [], level)
+                bucket, contexts, symbols, times, steps = chunk.ask() if level else chunk.ask_words()
+                cuts = np.searchsorted(bucket, np.arange(options["buckets"] + 1, dtype=np.uint64))
                 out = [(i, row["chunk"], packed(np.diff(contexts[s:e], prepend=np.uint64(0))), packed(symbols[s:e]), packed(times[s:e]), packed(steps[s:e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if s < e]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "chunk", "contexts", "symbols", "times", "steps"])
@@ -266,16 +271,18 @@ def tested(n: np.ndarray, listed: np.ndarray, mass: np.ndarray, gained: np.ndarr
     return (listed > 0) & (total >= gain * listed), rest
 
 
-def answers(asked: DataFrame, level: int, shift: int, least_hot: float, hot: np.ndarray, gain: float) -> DataFrame:
+def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: float, hot: np.ndarray, gain: float) -> DataFrame:
     """For each bucket: answers to its chunks, and rows for the driver: totals of level 0, contexts that will be hot, parts of those that are."""
 
+    shift = 64 - bits
+
     def run(key, t):
         def column(name: str, kind: str) -> list[np.ndarray]:
             return [unpacked(x, kind) for x in t.column(name).to_pylist()]
 
         contexts = [np.cumsum(x, dtype=np.uint64) for x in column("contexts", "u8")]
         sizes = [len(x) for x in contexts]
-        context, symbol = np.concatenate(contexts), np.concatenate(column("symbols", "u4"))
+        context, symbol = np.concatenate(contexts), np.concatenate(column("symbols", "u8"))
         times, steps = np.concatenate(column("times", "u4")), np.concatenate(column("steps", "u1"))
         order = np.lexsort((symbol, context))
         c, w = context[order], symbol[order]
@@ -305,16 +312,16 @@ def answers(asked: DataFrame, level: int, shift: int, least_hot: float, hot: np.
             follow = joined(own, w) >> np.uint64(shift)
         else:
             driver.append(("total", 0, [float(count.sum()), float((count > 0).sum())]))
-            follow = None
-        for h in np.flatnonzero(count >= least_hot):
-            context_hash = follow[h] if level else joined(c[h : h + 1], w[h : h + 1])[0]
-            driver.append(("hot", int(context_hash.view(np.int64)), [float(count[h])]))
+            follow = np.empty(len(count), np.uint64)  # numbers: by count, those of all buckets in turns
+            follow[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint64) * np.uint64(buckets) + np.uint64(key[0].as_py() + 1)
+            follow[count < LEAST_PAIR] = 0
+        driver += [("hot", int(follow[h].view(np.int64)), [float(count[h])]) for h in np.flatnonzero(count >= least_hot)]
         pair = np.empty(len(order), np.int64)
         pair[order] = np.cumsum(new) - 1
         rows, at = [], 0
         for chunk, size in zip(t.column("chunk").to_pylist(), sizes, strict=True):
             p, at = pair[at : at + size], at + size
-            runs = told = None
+            runs, told = None, None if level else packed(follow[p])
             if level:
                 heads = np.flatnonzero(np.append(True, of[p[1:]] != of[p[:-1]]))
                 o = of[p[heads]]
@@ -339,45 +346,41 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     held = spark.table(name)
     n_tokens = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = -(-n_tokens // BUCKET) or 1
-    bits = 64
-    options = {"n": 0, "v": 0, "shift": 0, "hot": [], "known": [], "least_context": least_context}
-    told: list[DataFrame] = []
+    options = {"n": 0, "v": 0, "bits": 64, "buckets": buckets, "hot": [], "known": [], "least_context": least_context}
+    told: list[str] = []
 
     def answered() -> DataFrame:
-        """Chunks with all answers so far; only the answers move."""
-        if not told:
-            return held.withColumn("answers", F.lit(None).cast("array<struct<level: int>>"))
-        rows = told[0]
-        for x in told[1:]:
-            rows = rows.unionByName(x)
-        rows = rows.filter("chunk is not null").groupBy(F.col("chunk").alias("of")).agg(F.collect_list(F.struct("level", "bucket", "counts", "runs", "contexts")).alias("answers"))
-        return held.join(rows.hint("merge"), F.col("chunk") == F.col("of"), "left").drop("of")
-
-    def hashes(values) -> np.ndarray:
-        return np.unique(np.array([*values], np.int64).view(np.uint64))
+        """Chunks with all answers so far, read side by side."""
+        none = F.array().cast("array<struct<level: int, bucket: int, counts: binary, runs: binary, contexts: binary>>")
+        rows, every = held, none
+        for level, t in enumerate(told):
+            one = spark.table(t).select(F.col("of").alias(f"of{level}"), F.col("answers").alias(f"answers{level}"))
+            rows = rows.join(one.hint("merge"), F.col("chunk") == F.col(f"of{level}"), "left")
+            every = F.concat(every, F.coalesce(f"answers{level}", none))
+        return rows.select(*held.columns, every.alias("answers"))
 
     least_hot = max(LEAST_PAIR, HOT * n_tokens)
     for level in range(depth + 1):
         hot = options["hot"][level - 1] if level else np.zeros(0, np.uint64)
-        told.append(staged(answers(questions(answered(), level, buckets, bits, dict(options)), level, options["shift"], least_hot, hot, gain), "answers"))
-        mine = told[-1].filter("kind is not null")
+        rows = staged(answers(questions(answered(), level, dict(options)), level, options["bits"], buckets, least_hot, hot, gain), "answers")
+        to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "runs", "contexts").alias("a"))
+        told.append(f"{name}_{level}")
+        to_chunks.repartition(parts, "of").groupBy("of").agg(F.collect_list("a").alias("answers")).write.bucketBy(parts, "of").option("path", f"{path}-{level}").saveAsTable(told[-1])
+        mine = rows.filter("kind is not null")
         if level == 0:
             n, v = (int(x) for x in mine.filter("kind = 'total'").agg(F.coalesce(F.sum(F.col("numbers")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("numbers")[1]), F.lit(0.0))).first())
-            bits = min(64, max(48, 2 * max(1, n).bit_length()))
-            options |= {"n": n, "v": v, "shift": 64 - bits}
+            options |= {"n": n, "v": v, "bits": min(64, max(48, 2 * max(1, n).bit_length()))}
         else:
             sums = mine.filter("kind = 'part'").groupBy("context").agg(*(F.sum(F.col("numbers")[i]).alias(f"x{i}") for i in range(3))).collect()
-            totals = dict(zip(*next_totals, strict=True))
             order = sorted(sums, key=lambda r: int(np.int64(r.context).view(np.uint64)))
             context = np.array([r.context for r in order], np.int64).view(np.uint64)
             listed, mass, gained = (np.array([r[f"x{i}"] for r in order], float) for i in range(3))
             kept, rest = tested(np.array([totals[int(c)] for c in context], float), listed, mass, gained, gain)
             options["known"] = [*options["known"], {"context": np.append(context, np.uint64(2**64 - 1)), "kept": np.append(kept, False), "rest": np.append(rest, 0.0)}]
-        found = [(r.context, r.numbers[0]) for r in mine.filter("kind = 'hot'").select("context", "numbers").collect()]
-        codes = np.array([c for c, _ in found], np.int64).view(np.uint64)
-        codes = codes >> np.uint64(options["shift"]) if level == 0 else codes
-        next_totals = ([int(c) for c in codes], [x for _, x in found])
-        options["hot"] = [*options["hot"], np.unique(codes)]
+        found = mine.filter("kind = 'hot'").select("context", F.col("numbers")[0].alias("count")).collect()
+        totals = {int(np.int64(r.context).view(np.uint64)): r["count"] for r in found}
+        options["hot"] = [*options["hot"], np.array(sorted(totals), np.uint64)]
+        discard(rows)
 
     kind = docs.schema[id_col].dataType.simpleString()
     final = dict(options)
@@ -387,7 +390,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 chunk = Levels(row, **final)
-                chunk.answered(row["answers"])
+                chunk.answered(row["answers"] or [], depth + 1)
                 id_type = b.schema.field("ids").type.value_type
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["rows"], pa.int64()), pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(chunk.sums(np.ones(len(chunk.tokens), np.int64))), pa.array(chunk.sums(chunk.seen.astype(np.int64))), pa.array(chunk.sums(np.log10(chunk.root))), pa.array(chunk.sums(np.log10(chunk.p)))],
@@ -398,9 +401,9 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scored = answered().mapInArrow(score, f"row bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     whole = scored.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
     whole = staged(whole, "scored")
-    spark.sql(f"drop table {name}")
-    remove(spark, path)
-    discard(*told)
+    for t, at in ((name, path), *((t, f"{path}-{k}") for k, t in enumerate(told))):
+        spark.sql(f"drop table {t}")
+        remove(spark, at)
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
