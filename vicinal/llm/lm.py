@@ -43,7 +43,7 @@ DEPTH = 3
 LEAST_CONTEXT, LEAST_PAIR = 2, 2
 GAIN, K, D = 2.0, 1.0, 0.75
 #: Tokens of a chunk, and for each bucket of pairs.
-CHUNK, BUCKET = 1_000_000, 4_000_000
+CHUNK, BUCKET = 750_000, 1_500_000
 #: Share of all tokens from which a context is dealt out to parts, and the parts.
 HOT, SALTS = 0.001, 64
 #: Steps of ln P in the divergence test: half a bit, up to 255 of them.
@@ -147,10 +147,10 @@ class Levels:
         ends = np.array(row["ends"], np.int64)
         self.starts = np.concatenate([[0], ends[:-1]])
         size = ends - self.starts
-        self.depth = np.arange(len(self.tokens)) - np.repeat(self.starts, size)  # words before a token in its text
+        self.depth = (np.arange(len(self.tokens)) - np.repeat(self.starts, size)).astype(np.int32)  # words before a token in its text
         self.leads = np.array(row["leads"], np.int64)
         self.active = self.depth >= np.repeat(self.leads, size)
-        self.trained = (~np.repeat(np.array(row["held"], bool), size) & self.active).astype(np.int64)
+        self.trained = (~np.repeat(np.array(row["held"], bool), size) & self.active).astype(np.int8)
         self.level = 0
         self.times = np.bincount(self.tokens, weights=self.trained, minlength=len(self.hashes)).astype(np.uint32)
 
@@ -286,6 +286,7 @@ def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: fl
         times, steps = np.concatenate(column("times", "u4")), np.concatenate(column("steps", "u1"))
         order = np.lexsort((symbol, context))
         c, w = context[order], symbol[order]
+        del contexts, context, symbol
         new_context = np.append(True, c[1:] != c[:-1])
         new = new_context | np.append(True, w[1:] != w[:-1])
         first = np.flatnonzero(new)
