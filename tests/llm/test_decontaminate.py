@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vicinal.llm import decontaminate as D
-from vicinal.llm.common import RESULT
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -50,13 +49,13 @@ def frame(spark, docs):
 def test_equals_brute_force(spark, options):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     rows = D.find_matches(frame(spark, DOCS), items, **options).orderBy("doc_id").collect()
-    got = [(r[RESULT].n_words, r[RESULT].n_hit, r[RESULT]["items"]) for r in rows]
+    got = [(r["found"].n_words, r["found"].n_hit, r["found"]["items"]) for r in rows]
     assert got == brute(DOCS, ITEMS, options.get("window", 10))
 
 
 def test_longest_matches_and_places(spark):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    r = D.find_matches(frame(spark, ["q " + PASSAGE.lower() + " thirteen " + PASSAGE]), items).first()[RESULT]
+    r = D.find_matches(frame(spark, ["q " + PASSAGE.lower() + " thirteen " + PASSAGE]), items).first()["found"]
     assert {(m["item"], m.doc_word, m.item_word, m.n_words) for m in r.matches} == {("1", 1, 0, 12), ("10", 1, 0, 13)}
 
 
@@ -71,7 +70,7 @@ def test_removal_keeps_columns_and_clean_rows(spark):
 def test_empty_tables(spark):
     items, docs = spark.createDataFrame(ITEMS, "item_id bigint, text string"), frame(spark, DOCS)
     assert D.find_matches(docs.limit(0), items).count() == 0
-    assert D.find_matches(docs, items.limit(0)).filter(F.col(f"{RESULT}.n_hit") > 0).count() == 0
+    assert D.find_matches(docs, items.limit(0)).filter(F.col(f"found.n_hit") > 0).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -89,3 +88,25 @@ def test_contract_columns(spark, tmp_path):
     for i, (n, h, items) in enumerate(brute(DOCS, ITEMS)):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) == (n, h, len(items), h > 0)
         assert got[i].items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+def test_clashing_columns_are_kept(spark):
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, x, "a", "b", 1) for i, x in enumerate(DOCS)], "doc_id bigint, text string, `result` string, Result_ string, __r int")
+    kept = D.remove_contaminated(docs, items)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, n, _) in enumerate(brute(DOCS, ITEMS)) if not n}
+    with pytest.raises(ValueError, match="already"):
+        D.find_matches(docs, items, result_col="RESULT")
+
+
+def test_matches_beyond_the_window_and_over_many_blocks(spark):
+    """A match of 700 words is one match with its places, in whichever block its item is; shifted repeats give the longest."""
+    long = " ".join(f"w{i}" for i in range(700))
+    items = spark.createDataFrame([(i, f"x{i} {long} y{i}" if i % 3 else "again " * 30) for i in range(6)], "item_id bigint, text string")
+    docs = frame(spark, [f"z {long} z", "again " * 25, f"x1 {long}"])
+    for block_chars in (4_000_000, 5000, 1):
+        rows = D.find_matches(docs, items, block_chars=block_chars).orderBy("doc_id").collect()
+        got = [{m["item"]: (m.doc_word, m.item_word, m.n_words) for m in r.found.matches} for r in rows]
+        assert got[0] == {str(i): (1, 1, 700) for i in (1, 2, 4, 5)}
+        assert got[1] == {"0": (0, 0, 25), "3": (0, 0, 25)}
+        assert got[2] == {str(i): (0, 0, 701) if i == 1 else (1, 1, 700) for i in (1, 2, 4, 5)}

@@ -64,3 +64,16 @@ def test_empty_table(docs):
 def test_one_source_is_taken_once(spark):
     docs = spark.createDataFrame([(1, "a b", "x"), (2, "c", "x")], "doc_id bigint, text string, source string")
     assert sorted((r.doc_id, r.mix_copy) for r in M.mix(docs).collect()) == [(1, 1), (2, 1)]
+
+
+def test_many_sources_and_clashing_columns(spark):
+    """Ranks and sums of sources come from several ranges; columns of the input stay, whatever their names."""
+    rows = [(i, "w " * (1 + i * i % 97), f"src{i % 500:03d}" if i % 500 else None, i, 1.5, "x") for i in range(2500)]
+    df = spark.createDataFrame(rows, f"doc_id bigint, text string, source string, mix_copy int, {M.SIZE} double, __mix_source string").repartition(6)
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + len(r[1].split())
+    goal = M.targets(spark.createDataFrame([*sizes.items()], "source string, size bigint").repartition(5)).collect()
+    assert {r.own_source: r.target for r in goal} == pytest.approx(brute(sizes))
+    got = M.mix(df)
+    assert got.columns == [*df.columns, "mix_copy_"] and {r.doc_id: r.mix_copy for r in got.collect()}.items() <= {r[0]: r[3] for r in rows}.items()

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vicinal.llm import tokens as K
-from vicinal.llm.common import RESULT, loaded_tokenizer
+from vicinal.llm.common import loaded_tokenizer
 
 PATHS = {n: public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")}
 DATA = {n: open(p, encoding="utf-8").read() for n, p in PATHS.items()}
@@ -37,9 +37,9 @@ def test_counts_equal_the_library(spark, name):
     rows = [*texts(60, 2), None, "", " ", "a" * 70_000, "the cat " * 20_000, "the cat " * 20_000, "no space" * 6000]
     df = spark.createDataFrame([(i, x, 1) for i, x in enumerate(rows)], "doc_id bigint, text string, n_tokens int").repartition(3)
     got = K.count_tokens(df, PATHS[name])
-    assert got.columns == [*df.columns, RESULT]
+    assert got.columns == [*df.columns, "counts"]
     for r in got.collect():
-        assert (r[RESULT].n_bytes, r[RESULT].n_tokens) == (len((r.text or "").encode()), len(library(name, r.text)))
+        assert (r.counts.n_bytes, r.counts.n_tokens) == (len((r.text or "").encode()), len(library(name, r.text)))
 
 
 def test_white_space_rule():

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from vicinal.llm import topk as T
@@ -56,3 +57,30 @@ def test_fewer_rows_than_k_and_empty_tables(spark):
     check(spark, vectors(4, 3, 3), None)
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert T.top_k(df, df).count() == 0
+
+
+def test_integers_beyond_floats(spark):
+    """Products over 2**53, and over 2**63 whose sums fit 64 bits."""
+    rows = [(i, [float(2**30 + i), float(-(2**30) + 3 * i), 2.0**20]) for i in range(30)]
+    check(spark, [(i, [x / 1024 for x in v]) for i, v in rows], None, k=4)
+    rows = [(0, [2.0**40, 3.0, 1.0])] + [(i, [float(i), 2.0**40 + 4096 * (i % 4), float(-i)]) for i in range(1, 10)]
+    check(spark, [(i, [x / 1024 for x in v]) for i, v in rows], None, k=4)
+
+
+def test_few_pairs_are_scored_on_clustered_vectors():
+    """Exact scores are computed for survivors of the bounds alone; the answers are those of brute force."""
+    rng = np.random.default_rng(4)
+    shapes = np.repeat(rng.normal(size=(20, 16)), 4, axis=1)  # segments with means of their own
+    m = np.floor(1024 * (shapes[rng.integers(0, 20, 6000)] + 0.15 * rng.normal(size=(6000, 64))))
+    ids, asked = np.arange(6000), np.arange(0, 6000, 100)
+    search = T.Search(asked, m[asked], 10, T.LEVELS)
+    for a in range(0, 6000, 1000):
+        search.add(ids[a : a + 1000], m[a : a + 1000])
+    for r, q in enumerate(asked):
+        score = m @ m[q]
+        score[q] = -np.inf
+        assert search.best[r] == [(-int(score[i]), int(i)) for i in np.lexsort((ids, -score))[:10]]
+    assert search.pairs == 60 * 6000 and search.scored < 0.25 * search.pairs
+    seeded = T.Search(asked, m[asked], 10, T.LEVELS, search.least)
+    seeded.add(ids, m)
+    assert seeded.best == search.best and seeded.scored < search.scored

@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
 #: The contract's own conversation.
 CONTROL = [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
+#: Turns, and bytes of their texts, that are encoded at once; a longer text is encoded alone.
+TURNS, TURN_BYTES = 2000, 2 << 20
 FORMATTED = "conv_id bigint, turn bigint, formatted string, ids array<int>, mask array<tinyint>"
 
 
@@ -71,8 +74,11 @@ def format_turns(rows: DataFrame, tokenizer_path: str, *, loss_role: str = LOSS_
         t, start, end = load(sent.value)
         line = t.encode("\n", add_special_tokens=False).ids
         for b in batches:
-            for a in range(0, b.num_rows, 2000):
-                part = b.slice(a, 2000)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy())
+            a = 0
+            while a < b.num_rows:
+                e = max(a + 1, min(a + TURNS, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + TURN_BYTES, "right"))))
+                part, a = b.slice(a, e - a), e
                 roles = [(x or b"").decode() for x in raw(part.column("role"))]
                 heads = [escape_role(x) + "\n" for x in roles]
                 texts = [escape((x or b"").decode()) for x in raw(part.column("text"))]

@@ -12,10 +12,8 @@ from pyspark.sql import types as T
 from ..sources.readers import table
 from ..sources.shared import discard, new_path, remove, staged
 
-__all__ = ["ALNUM", "RESULT", "SPACED", "ascii_lower", "discard", "fold", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
+__all__ = ["ALNUM", "SPACED", "ascii_lower", "discard", "fold", "free_name", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
 
-#: The name of the column that with_result() adds.
-RESULT = "__r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,15 +44,24 @@ def loaded_tokenizer(data: str):
     return t
 
 
-def with_result(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.Array]], kind: str) -> DataFrame:
-    """df with a column RESULT of DDL type `kind`. start() runs once a task and returns the function of a batch."""
-    schema = T.StructType([*(f for f in df.schema.fields if f.name != RESULT), T.StructField(RESULT, T.DataType.fromDDL(kind))])
+def free_name(df: DataFrame, name: str = "result") -> str:
+    """A column name that df does not have, whatever it has; Spark's names differ by more than case."""
+    held = {c.lower() for c in df.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
+def with_result(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.Array]], kind: str, name: str) -> DataFrame:
+    """df with one more column of DDL type `kind`. start() runs once a task and returns the function of a batch."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"there is a column {name!r} already")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for b in batches:
-            keep = [i for i, n in enumerate(b.schema.names) if n != RESULT]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), work(b)], names=[*(b.schema.names[i] for i in keep), RESULT])
+            yield pa.RecordBatch.from_arrays([*b.columns, work(b)], names=[*b.schema.names, name])
         give_back()
 
     return df.mapInArrow(run, schema)

@@ -2,19 +2,22 @@ r"""Benchmark decontamination with suffix arrays.
 
 A shard is a run of documents inside one task. Its words become ids of the benchmark's vocabulary (0: not in it), its suffix
 array holds the suffixes that start in a run of known words long enough for a window, and every benchmark suffix is looked up in
-it by binary search. Runs of matches on one diagonal give the longest verbatim match of each document and item, with both places.
+it by binary search of its window. Where a match cannot be carried on to the left, the two suffixes are compared word by word
+beyond the window, which gives the longest verbatim match of each document and item, with both places.
 
 Words: A-Z lower-cased, then `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. A window is `window` consecutive item words; an item with fewer,
 but not none, is one window. Null or empty texts have no words: documents count as clean, items have no window. A null item id
 reads as the empty text. Repeated rows are judged alike, each for itself; of items that repeat an id, all windows count, the id
 once. Tables may be empty, extra columns are ignored (find_matches) or kept (remove_contaminated).
 
-Scale: the scan is one pass without a shuffle. The benchmark is collected in blocks of `block_chars` characters at most (a
-longer single item is a block of its own); each block is one more step of the same pass.
+Scale: the scan is one pass without a shuffle. The benchmark is collected and indexed in blocks of about `block_chars` characters (a
+longer single item is a block of its own), one after the other; a worker holds one block at a time and goes through all of them
+for each batch of documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -22,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, RESULT, pieces, raw, table, with_result
+from .common import ALNUM, free_name, pieces, raw, table, with_result
 
 WINDOW = 10
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 SHARD_WORDS = 1_000_000
 KIND = "struct<n_words: bigint, n_hit: bigint, items: array<string>, matches: array<struct<item: string, doc_word: bigint, item_word: bigint, n_words: bigint>>, spans: array<bigint>>"
 
@@ -34,26 +37,40 @@ def words_of(data: bytes | None) -> list[bytes]:
     return (data or b"").translate(ALNUM).split()
 
 
+def window_keys(words: np.ndarray, at: np.ndarray, sizes: np.ndarray, window: int, fill: int = 0) -> np.ndarray:
+    """The first words of the suffixes `at`, as many as `sizes` says, as keys that sort like the suffixes; the rest is `fill`."""
+    keys = np.full((len(at), window), fill, ">u4")
+    for k in range(window):
+        use = np.flatnonzero(k < sizes)
+        keys[use, k] = words[at[use] + k]
+    return keys.reshape(-1).view(f"S{4 * window}")
+
+
 class Index:
-    """The windows of a block of items: vocabulary, distinct windows as ids, and where each occurs."""
+    """A block of items: vocabulary, the words of all items as ids with a 0 after each, and the windows' suffixes in order."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.vocabulary, self.names = window, {}, sorted({n for n, _ in items})
-        number, seen, places = {n: i for i, n in enumerate(self.names)}, {}, []
+        number, parts, owners = {n: i for i, n in enumerate(self.names)}, [np.zeros(1, np.int64)], [-1]
         for name, data in items:
             words = words_of(data)
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            size = min(window, len(ids))
-            for q in range(len(ids) - size + 1 if ids else 0):
-                places.append((seen.setdefault(tuple(ids[q : q + size]), len(seen)), number[name], q))
-        self.sizes = np.array([len(w) for w in seen], np.int64)
-        low, high = np.zeros((len(seen), window), ">u4"), np.full((len(seen), window), 0xFFFFFFFF, ">u4")
-        for i, w in enumerate(seen):
-            low[i, : len(w)] = high[i, : len(w)] = w
-        self.low, self.high = (x.reshape(-1).view(f"S{4 * window}") for x in (low, high))
-        places = np.array(sorted(set(places)), np.int64).reshape(-1, 3)
-        self.first = np.searchsorted(places[:, 0], np.arange(len(seen) + 1))
-        self.item, self.at = places[:, 1], places[:, 2]
+            parts.append(np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int64, len(words)))
+            parts.append(np.zeros(1, np.int64))
+            owners += [number[name]] * (len(words) + 1)
+        self.words = np.concatenate(parts)
+        item, length = np.array(owners), np.array([len(p) for p in parts[1::2]], np.int64)
+        starts = np.concatenate([[1], 1 + np.cumsum(length + 1)[:-1]]).astype(np.int64) if len(length) else np.zeros(0, np.int64)
+        counts = np.where(length > 0, np.maximum(length - window, 0) + 1, 0)
+        at = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        sizes = np.repeat(np.minimum(length, window), counts)
+        low = window_keys(self.words, at, sizes, window)
+        order = np.lexsort((at, low))
+        at, sizes, low = at[order], sizes[order], low[order]
+        head = np.flatnonzero(np.append(True, low[1:] != low[:-1])[: len(low)])
+        self.first = np.append(head, len(low))  # the suffixes of each distinct window
+        self.at, self.item, self.place = at, item[at], at - np.repeat(starts, counts)[order]
+        self.sizes, self.low = sizes[head], low[head]
+        self.high = window_keys(self.words, at[head], sizes[head], window, 0xFFFFFFFF)
 
     def ids(self, data: bytes | None) -> np.ndarray:
         get = self.vocabulary.get
@@ -97,18 +114,24 @@ class Index:
         edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).view(np.int8), [0]]))
         s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         owner = np.searchsorted(starts, s, "right") - 1
-        # Matches: places of the windows in items, as diagonals.
+        # Matches: pairs of suffixes that cannot be carried on to the left, compared on beyond the window.
         each = self.first[which + 1] - self.first[which]
         at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.first[which], each)
-        p, size, item, q = np.repeat(place, each), np.repeat(self.sizes[which], each), self.item[at], self.at[at]
+        p, run = np.repeat(place, each), np.repeat(self.sizes[which], each)
+        left = words[np.maximum(p - 1, 0)]
+        new = (p == 0) | (left == 0) | (left != self.words[self.at[at] - 1])
+        p, run, at = p[new], run[new].copy(), at[new]
+        open_, step = np.arange(len(p)), np.arange(64)
+        while len(open_):
+            x = words[np.minimum(p[open_, None] + run[open_, None] + step, len(words) - 1)]
+            y = self.words[np.minimum(self.at[at[open_], None] + run[open_, None] + step, len(self.words) - 1)]
+            differs = (x != y) | (x == 0)
+            run[open_] += np.where(differs.any(1), differs.argmax(1), len(step))
+            open_ = open_[~differs.any(1)]
+        item, q = self.item[at], self.place[at]
         doc = np.searchsorted(starts, p, "right") - 1
-        by = np.lexsort((p, p - q, item, doc))
-        p, size, item, q, doc = p[by], size[by], item[by], q[by], doc[by]
-        new = np.ones(len(p), bool)
-        new[1:] = (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(p - q) != 0) | (np.diff(p) != 1)
-        head, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1
-        run = p[last] - p[head] + size[last]
-        best = np.lexsort((q[head], p[head], -run, item[head], doc[head]))
+        head = np.arange(len(p))
+        best = np.lexsort((q, p, -run, item, doc))
         head, run = head[best], run[best]
         one = np.ones(len(head), bool)
         one[1:] = (np.diff(doc[head]) != 0) | (np.diff(item[head]) != 0)
@@ -132,56 +155,53 @@ def merged(a: list[int], b: list[int]) -> list[int]:
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int):
     """The items in blocks of bounded size, collected one after the other."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    n = -(-total // block_chars) or 1
+    total, count = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.count(F.lit(1))).first()
+    n = min(-(-total // block_chars), count) or 1
     for k in range(n):
         part = items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield sorted((r.item, r.text.encode()) for r in part.collect())
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs, and RESULT: words, hit words, items with occurring windows, longest match with each, and the hit spans."""
-    out = docs
+def find_matches(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", result_col: str = "found", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs, and as a column that must not be there yet: words, hit words, items with occurring windows, longest match with each, and the hit spans."""
+    sent = []
     for items in blocks(benchmark, item_col, item_text_col, block_chars):
-        index = docs.sparkSession.sparkContext.broadcast(vars(Index(items, window)))  # plain values: executors need no class to read them
+        sent.append(docs.sparkSession.sparkContext.broadcast(vars(Index(items, window))))
 
-        def start(index=index):
-            ix = Index.__new__(Index)
+    def start():
+        def searched(index, texts) -> Iterator[tuple[int, np.ndarray, list]]:
+            ix, shard, size = Index.__new__(Index), [], 0
             vars(ix).update(index.value)
-
-            def work(b: pa.RecordBatch) -> pa.Array:
-                rows, shard, size = [], [], 0
-
-                def flush() -> None:
-                    for d, (spans, matches) in zip(shard, ix.search(shard), strict=True):
-                        rows.append((len(d), spans.tolist(), matches))
-                    shard.clear()
-
-                for data in raw(b.column(text_col)):
-                    shard.append(ix.ids(data))
-                    size += len(shard[-1])
-                    if size >= SHARD_WORDS:
-                        flush()
-                        size = 0
-                flush()
-                before = b.column(RESULT).to_pylist() if RESULT in b.schema.names else repeat(None)
-                got = []
-                for (n, spans, matches), old in zip(rows, before, strict=False):
-                    matches = [dict(zip(("item", "doc_word", "item_word", "n_words"), m, strict=True)) for m in matches]
-                    if old:
-                        spans, longest = merged(spans, old["spans"]), {}
-                        for m in [*old["matches"], *matches]:
-                            if m["item"] not in longest or m["n_words"] > longest[m["item"]]["n_words"]:
-                                longest[m["item"]] = m
-                        matches = [*longest.values()]
-                    matches.sort(key=lambda m: m["item"])
-                    got.append({"n_words": n, "n_hit": sum(spans[1::2]) - sum(spans[::2]), "items": [m["item"] for m in matches], "matches": matches, "spans": spans})
-                return pa.array(got, RESULT_TYPE)
-
-            return work
-
-        out = with_result(out, start, KIND)
-    return out
+            for data in texts:
+                shard.append(ix.ids(data))
+                size += len(shard[-1])
+                if size >= SHARD_WORDS:
+                    yield from ((len(d), *found) for d, found in zip(shard, ix.search(shard), strict=True))
+                    shard, size = [], 0
+            yield from ((len(d), *found) for d, found in zip(shard, ix.search(shard), strict=True))
+            if len(sent) > 1:
+                vars(index).pop("_value", None)  # one block at a time in memory; the next batch reads its file again
+
+        def work(b: pa.RecordBatch) -> pa.Array:
+            got: list[tuple[int, list[int], dict[str, tuple]]] = []
+            for k, index in enumerate(sent):
+                for i, (n, spans, matches) in enumerate(searched(index, raw(b.column(text_col)))):
+                    if k == 0:
+                        got.append((n, spans.tolist(), {m[0]: m for m in matches}))
+                    elif matches:
+                        held = got[i][2]
+                        held.update({m[0]: m for m in matches if m[0] not in held or m[3] > held[m[0]][3]})
+                        got[i] = (n, merged(got[i][1], spans.tolist()), held)
+            out = []
+            for n, spans, held in got:
+                names = sorted(held)
+                matches = [dict(zip(("item", "doc_word", "item_word", "n_words"), held[x], strict=True)) for x in names]
+                out.append({"n_words": n, "n_hit": sum(spans[1::2]) - sum(spans[::2]), "items": names, "matches": matches, "spans": spans})
+            return pa.array(out, RESULT_TYPE)
+
+        return work
+
+    return with_result(docs, start, KIND, result_col)
 
 
 RESULT_TYPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(pa.struct([("item", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))), ("spans", pa.list_(pa.int64()))])
@@ -189,19 +209,20 @@ RESULT_TYPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a hit word, with all their columns."""
-    return find_matches(docs, benchmark, **options).filter(F.col(f"{RESULT}.n_hit") == 0).drop(RESULT)
+    name = free_name(docs)
+    return find_matches(docs, benchmark, result_col=name, **options).filter(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    items = F.col(f"{RESULT}.items")
+    items = F.col("found.items")
     return r.select(
         "doc_id",
-        F.col(f"{RESULT}.n_words").alias("n_words"),
-        F.col(f"{RESULT}.n_hit").alias("n_hit"),
+        F.col("found.n_words").alias("n_words"),
+        F.col("found.n_hit").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.col(f"{RESULT}.n_hit") > 0).alias("contaminated"),
+        (F.col("found.n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -5,25 +5,29 @@ sequence is one shingle; without words the set is empty and linked with nothing.
 percent * union, and components of links are the classes.
 
 1. Equal sets become one node (its smallest doc_id), however many copies there are.
-2. In each of `trees` independent trees a node walks a path of minwise tokens. Path prefixes with few nodes are compared
-   exhaustively; larger ones branch by the next token, down to `depth` tokens. What is still large then (a group of near copies that
-   no token can split) is cut in blocks, first each block against one of them, later all pairs of blocks that still span
-   several components.
-3. In a path prefix, sketches of 64 minwise bytes pick pairs that may be linked; the groups of such pairs, the same from
+2. In each of `trees` independent trees every node starts on a path of minwise tokens, and at each step takes one more token as a
+   branch, and in `SECOND` of all cases a second one as another; which, the path so far decides, alike for all nodes on it. Paths with
+   few nodes are compared exhaustively, larger ones branch on, level by level, until they are small. A large path most of whose pairs are of one component
+   is compared without these: its few other nodes against blocks of all. What is still large after `LEVELS` levels is compared
+   as all pairs of blocks.
+3. On a path, sketches of 64 minwise bytes pick pairs that may be linked; the groups of such pairs, the same from
    whichever tree, get the full sets, and every pair of a group is confirmed or refused on the sets.
-4. A first round of `first` trees links most copies; the second round leaves out what is in one component already, and compares
-   the rest. Links inside a component change nothing, so no class is lost by that.
+4. A first round of `first` trees links most copies: it branches `depth` times at most, and then compares the blocks of a large path with one of them. The second round leaves out what
+   is in one component already, and compares the rest. Links inside a component change nothing, so no class is lost by that.
 
-Recall: two sets with a similarity of 0.85 share a token of one tree with probability 0.85, four with 0.52; over 12 trees at least
-1 - 0.48**12 > 0.9998 of such pairs meet, more the closer they are; at 0.80, one with probability 0.80 and four with 0.41, at least
-1 - 0.59**12 > 0.998. A sketch, the same for all trees, misses a pair at exactly `percent` with a probability of at most MISS.
+Recall: a pair of similarity s that shares a path shares a branch of it with probability s, and a second one with SECOND * s; so after
+four levels a tree of the second round still has a pair of 0.85 together with probability 0.71, one of 0.80 with 0.59, after twelve with 0.49 and 0.29. All ten trees of the second round lose a pair of 0.85 on paths of
+four levels with a probability of 4e-6, of twelve levels of 1e-3; pairs of 0.80 of 1e-4 and 0.03. Paths are that long only among thousands of documents that share most of their tokens and
+no component. A sketch, the same for all trees, misses a pair at exactly `percent` with a probability of at most MISS.
 
 Null ids: such rows are in no class (component null) and are kept. Rows that repeat an id are one document; if their texts differ,
 each text's set is its own but they share the id's class only by their sets. Null texts are empty. Ties go to the smallest
 doc_id. Empty tables give empty tables; extra columns are ignored.
 
 Scale: a signature row (280 bytes) per document is staged; paths move 8-byte keys; sketches and sets move only for nodes that share
-a path with a node of another component. Texts are read again for those nodes alone.
+a path with a node of another component. Texts are read again for those nodes alone. Branching multiplies the paths of documents that
+differ less than it divides them, so template pages cost in proportion to their number. A group whose sets are large is confirmed pair
+by pair. Tables of at most `BROADCAST_ROWS` rows of 16 bytes are broadcast, larger ones shuffled; the centres of large stars are dealt with apart.
 """
 
 from __future__ import annotations
@@ -33,17 +37,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, give_back, pieces, raw, staged, table
+from .common import SPACED, discard, give_back, pieces, raw, staged, table
 
 WIDTH, PERCENT = 5, 85
 TREES, FIRST, DEPTH = 12, 2, 4
+#: The probability of a second branch, and the levels after which what is left is compared in blocks.
+SECOND, LEVELS = 0.3, 30
 #: Nodes of a path prefix that are compared at once; hash functions; the probability that a sketch refuses a pair at the threshold.
 SMALL, HASHES, MISS = 256, 64, 1e-5
 AT_ONCE = 250_000
-BROADCAST_NODES = 1_000_000
+#: Rows of a table (two numbers each) that may be broadcast: some 4 MB.
+BROADCAST_ROWS = 100_000
+#: Shingles of a group beyond which it is confirmed pair by pair; share of all links from which a centre of a star counts as large.
+GROUP_SHINGLES, LARGE_STAR = 4_000_000, 0.001
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -137,50 +146,84 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def paths(nodes: DataFrame, trees: range, depth: int) -> DataFrame:
-    """node, and the keys k1 ... of its path's prefixes, in each tree."""
+def branched(rows: DataFrame, level: int) -> DataFrame:
+    """The next branches of paths. rows: node, comp, tree, key, signature; back come node, comp, tree and the keys one token longer."""
 
     def run(batches):
-        salt = constants(HASHES, 6)
+        salt, second = constants(HASHES, 6), np.uint64(int(SECOND * 2**64))
+        order = {}
         for b in batches:
-            node = b.column("node").to_numpy()
-            low = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u4").reshape(len(node), HASHES)
-            for t in trees:
-                key, keys = np.full(len(node), salt[t], np.uint64), []
-                for d in range(depth):
-                    key = mixed(key + low[:, (t * depth + d) % HASHES] + salt[d])
-                    keys.append(pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("node"), *keys], names=["node", *(f"k{d + 1}" for d in range(depth))])
-
-    return nodes.select("node", "signature").mapInArrow(run, "node bigint, " + ", ".join(f"k{d + 1} bigint" for d in range(depth)))
-
-
-def shared_prefixes(walks: DataFrame, depth: int, star: bool) -> DataFrame | None:
-    """key, node, comp: groups of at most SMALL nodes, of more than one component, that share a path prefix. walks: node, comp, k1 ..."""
-    out, now = [], walks
-    for d in range(1, depth + 1):
-        k = f"k{d}"
-        sizes = now.groupBy(F.col(k).alias("key")).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("m") > 1) & (F.col("low") != F.col("high"))).select("key", "m")
-        sizes = staged(sizes, f"sizes{d}")
-        few = sizes.count() <= BROADCAST_NODES  # then no walk moves, however many share a prefix; else Spark splits large ones
-        met = staged(now.join(F.broadcast(sizes) if few else sizes.hint("merge"), F.col(k) == F.col("key")), f"prefix{d}")
+            n, key = b.num_rows, b.column("key").to_numpy().view(np.uint64)
+            low = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u4").reshape(n, HASHES)
+            tree = b.column("tree").to_numpy()
+            pick = np.zeros((int(tree.max(initial=0)) + 1, 2), np.int64)
+            for t in np.unique(tree).tolist():
+                pick[t] = order.setdefault(t, np.argsort(constants(HASHES, 100 + t)))[[2 * level % HASHES, (2 * level + 1) % HASHES]]
+            for k in (0, 1):
+                at = np.arange(n) if k == 0 else np.flatnonzero(mixed(key ^ salt[level % HASHES]) < second)
+                grown = mixed(key[at] + low[at, pick[tree[at], k]] * np.uint64(0x9E3779B97F4A7C15) + salt[k])
+                if len(at):
+                    own = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([b.column("node").take(own), b.column("comp").take(own), b.column("tree").take(own), pa.array(grown.view(np.int64))], names=["node", "comp", "tree", "key"])
+
+    return rows.select("node", "comp", "tree", "key", "signature").mapInArrow(run, "node bigint, comp bigint, tree int, key bigint")
+
+
+def joined(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """A join that broadcasts the right side when its rows are counted and few; else Spark shuffles, and splits what is skewed."""
+    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("merge"), on, how)
+
+
+def in_blocks(rows: DataFrame, m: Column) -> DataFrame:
+    """Rows with the number of blocks of less than half of SMALL, but for chance, and their own."""
+    n = F.ceil(m * 2.5 / SMALL)
+    return rows.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("node"), n))
+
+
+def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """key, node, comp: bounded groups of more than one component that share a path; and the staged tables that they are read from.
+
+    comps: node and comp of what is linked already, in the second round.
+    """
+    starts = nodes.select("node", F.col("node").alias("comp"), "signature")
+    if comps is not None:
+        known = comps.select(F.col("node").alias("known"), F.col("comp").alias("known_comp"))
+        starts = joined(nodes.select("node", "signature"), known, F.col("node") == F.col("known"), "left").select("node", F.coalesce("known_comp", "node").alias("comp"), "signature")
+    now = starts.select("*", F.explode(F.array(*(F.lit(t) for t in trees))).alias("tree")).withColumn("key", F.xxhash64("tree"))
+    out, held = [], []
+    for level in range(LEVELS + 1):
+        now = branched(now, level)
+        sizes = now.groupBy(F.col("key").alias("own")).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("m") > 1) & (F.col("low") != F.col("high"))).select("own", "m")
+        sizes = staged(sizes, f"sizes{level}")
+        met = staged(joined(now, sizes, F.col("key") == F.col("own")).drop("own"), f"paths{level}")
+        discard(sizes)
+        held.append(met)
         out.append(met.filter(F.col("m") <= SMALL).select("key", "node", "comp"))
-        now = met.filter(F.col("m") > SMALL)
-        if now.isEmpty():
+        large = met.filter(F.col("m") > SMALL)
+        if large.isEmpty():
             break
-        if d == depth:
-            n = F.ceil(F.col("m") * 2.5 / SMALL)  # blocks of less than half of SMALL, but for chance
-            own = now.select("key", "node", "comp", n.alias("blocks"), F.pmod(F.xxhash64("node"), n).alias("block"))
-            others = F.sequence(F.lit(0), F.col("blocks") - 1)
-            if star:
-                others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
-            paired = own.select("node", "comp", "key", "block", F.explode(others).alias("other"))
-            out.append(paired.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "comp"))
-        now = now.drop("key", "m")
+        blocked = in_blocks(large, F.col("m"))
+        if comps is None and level + 1 >= depth or level == LEVELS:
+            # The first round: each block with one of them. The end of all levels: all pairs of blocks.
+            every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+            others = every if comps is not None else F.when(F.col("block") == 0, every).otherwise(F.array(F.lit(0).cast("bigint")))
+            pairs = blocked.select("node", "comp", "key", "block", F.explode(others).alias("other"))
+            out.append(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "comp"))
+            break
+        # Paths where few pairs are of different components: those of the largest in blocks, the others with each block.
+        parts = large.groupBy(F.col("key").alias("own"), "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        parts = parts.groupBy("own").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
+        parts = staged(parts.filter(F.col("all") * F.col("all") - F.col("same") <= 2 * SMALL * F.col("all")).select("own", "main"), f"main{level}")
+        held.append(parts)
+        lopsided = joined(blocked, parts, F.col("key") == F.col("own"))
+        every = F.when(F.col("m") <= 4 * SMALL, F.array(F.lit(0).cast("bigint"))).when(F.col("comp") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        out.append(lopsided.select("node", "comp", "key", F.explode(every).alias("at")).select(F.xxhash64("key", "at").alias("key"), "node", "comp"))
+        rest = joined(large, parts, F.col("key") == F.col("own"), "left_anti")
+        now = rest.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
     got = out[0]
     for x in out[1:]:
         got = got.unionByName(x)
-    return got
+    return got, held
 
 
 def grouped(batches, key: str) -> Iterator[tuple[int, dict[str, list]]]:
@@ -231,7 +274,7 @@ def plausible(percent: int) -> int:
 
 
 def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """job, node, comp: classes of nodes whose sketches may be linked across components; one job for the same class from any tree."""
+    """job, node, comp: classes of nodes whose sketches may be linked across components; one job for the same class from any tree. Of a class with many shingles each such pair is a job."""
     enough = plausible(percent)
 
     def run(batches):
@@ -243,6 +286,7 @@ def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> Data
             at = [first[x] for x in node.tolist()]
             comp = np.array([g["comp"][i] for i in at], np.int64)
             sketch = np.frombuffer(b"".join(g["signature"][i] for i in at), "<u4").reshape(len(node), HASHES).astype(np.uint8)
+            size = np.array([g["n_shingles"][i] for i in at], np.int64)
             jobs, who = [], []
             pairs: list[tuple[int, int]] = []
             for i in range(len(node) - 1):
@@ -253,12 +297,17 @@ def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> Data
             root = np.array(roots(len(node), iter(pairs)))
             for r in np.unique(root):
                 own = np.flatnonzero(root == r)
-                if len(own) > 1:
+                if len(own) > 2 and size[own].sum() > GROUP_SHINGLES:
+                    for i, j in pairs:
+                        if root[i] == r:
+                            jobs += [xxh3_64_intdigest(node[[i, j]].tobytes()) - (1 << 63)] * 2
+                            who += [i, j]
+                elif len(own) > 1:
                     jobs += [xxh3_64_intdigest(node[own].tobytes()) - (1 << 63)] * len(own)
                     who += own.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(node[who]), pa.array(comp[who])], names=["job", "node", "comp"])
 
-    carried = members.join(nodes.select(F.col("node").alias("own"), "signature"), F.col("node") == F.col("own")).drop("own")
+    carried = members.join(nodes.select(F.col("node").alias("own"), "signature", "n_shingles"), F.col("node") == F.col("own")).drop("own")
     found = carried.repartition("key").sortWithinPartitions("key").mapInArrow(run, "job bigint, node bigint, comp bigint")
     return found.groupBy("job", "node").agg(F.min("comp").alias("comp"))
 
@@ -287,7 +336,6 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, in
 def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """u, v: for each class of confirmed links inside a job, its members and the smallest of them."""
     asked = staged(jobs.select(F.col("node").alias("asked")).distinct().join(nodes.select("node", "a", "b"), F.col("node") == F.col("asked")).select("node", "a", "b"), "asked")
-    few = asked.count() <= BROADCAST_NODES
 
     def sets(batches):
         for batch in batches:
@@ -307,25 +355,39 @@ def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["u", "v"])
 
-    texts = docs.join(F.broadcast(asked) if few else asked.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "a", "b", "text")
+    texts = joined(docs, asked, F.col("doc_id") == F.col("node")).select("node", "a", "b", "text")
     full = texts.mapInArrow(sets, "of bigint, tokens binary")
     return jobs.join(full, F.col("node") == F.col("of")).select("job", "node", "tokens").repartition("job").sortWithinPartitions("job").mapInArrow(links, "u bigint, v bigint")
 
 
+def beside_least(edges: DataFrame, n: int) -> DataFrame:
+    """Links u, v, and low: the smallest v of each u. Centres with LARGE_STAR or more of all n links, at most 1 / LARGE_STAR of them, are broadcast; the others meet theirs in a shuffle."""
+    least = staged(edges.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("links")), "hubs")
+    large = F.col("links") >= max(64, LARGE_STAR * n)
+    wide = F.broadcast(least.filter(large).select(F.col("hub").alias("wide"), F.col("low").alias("wide_low")))
+    at = edges.join(wide, F.col("u") == F.col("wide"), "left")
+    light = at.filter("wide is null").select("u", "v").join(least.filter(~large).hint("merge"), F.col("u") == F.col("hub")).select("u", "v", "low")
+    out = staged(light.unionByName(at.filter("wide is not null").select("u", "v", F.col("wide_low").alias("low"))), "stars")
+    discard(least)
+    return out
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node of its component) for all nodes of edges, by alternating large and small stars."""
     now, before = staged(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            out.staged_at = now.staged_at
+            return out
         before = state
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy(F.col("u").alias("hub")).agg(F.least(F.min("v"), F.first("u")).alias("low"))
-        large = both.join(least, F.col("u") == F.col("hub")).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"))
-        small = large.join(least, F.col("u") == F.col("hub"))
-        now = staged(small.select("u", F.col("low").alias("v")).union(small.select(F.col("v").alias("u"), F.col("low").alias("v"))).filter("u <> v").distinct(), "edges")
+        both = beside_least(now.union(now.select("v", "u")), 2 * state[0])
+        large = staged(both.filter("v > u").select(F.col("v").alias("u"), F.least("low", "u").alias("v")).filter("u <> v").distinct(), "large")
+        small = beside_least(large, state[0])
+        new = staged(small.select("u", F.col("low").alias("v")).union(small.select(F.col("v").alias("u"), F.col("low").alias("v"))).filter("u <> v").distinct(), "edges")
+        discard(now, both, large, small)
+        now = new
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, trees: int = TREES, first: int = FIRST, depth: int = DEPTH) -> DataFrame:
@@ -333,21 +395,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(signatures(own, width), "signatures")
     full = signed.filter("doc_id is not null and n_shingles > 0")
-    nodes = staged(full.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature")), "nodes")
-    edges = None
+    nodes = staged(full.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"), F.min("n_shingles").alias("n_shingles")), "nodes")
+    edges = known = None
     for some in (range(first), range(first, trees)):
-        walks = paths(nodes, some, depth)
-        if edges is None:
-            walks = walks.withColumn("comp", F.col("node"))
-        else:
-            known = components(edges)
-            walks = walks.join(known.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").withColumn("comp", F.coalesce("comp", "node")).drop("known")
-        jobs = staged(plausible_groups(shared_prefixes(walks, depth, star=edges is None), nodes, percent), "jobs")
+        groups, read = shared_paths(nodes, known, some, depth)
+        jobs = staged(plausible_groups(groups, nodes, percent), "jobs")
+        discard(*read)
         found = staged(confirmed(jobs, own, nodes, width, percent), "links")
-        edges = found if edges is None else known.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found)
-    comps = components(edges)
-    of = nodes.join(comps.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select(F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.coalesce("comp", "node").alias("class"))
+        new = components(found if known is None else known.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
+        discard(jobs, found, known)
+        known = new
+    of = nodes.join(known.select(F.col("node").alias("known"), "comp"), F.col("node") == F.col("known"), "left").select(F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.coalesce("comp", "node").alias("class"))
     of = staged(of, "classes")
+    discard(nodes, known)
     placed = signed.join(of, (F.col("a") == F.col("own_a")) & (F.col("b") == F.col("own_b")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("class", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -356,8 +416,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents that near_duplicates() keeps, with all their columns."""
     gone = staged(near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
+    return joined(docs, gone, docs[id_col].cast("long") == gone["gone"], "left_anti")
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RESULT, loaded_tokenizer, raw, table, with_result
+from .common import loaded_tokenizer, raw, table, with_result
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -149,8 +149,8 @@ class Counter:
         return out
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """docs, and RESULT: n_bytes and n_tokens."""
+def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text", result_col: str = "counts", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """docs and a struct of n_bytes and n_tokens, as a column that must not be there yet."""
     with open(tokenizer_path, encoding="utf-8") as f:
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
@@ -164,12 +164,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, *, text_col: str = "text"
 
         return work
 
-    return with_result(docs, start, "struct<n_bytes: bigint, n_tokens: bigint>")
+    return with_result(docs, start, "struct<n_bytes: bigint, n_tokens: bigint>", result_col)
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     r = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
-    n = F.col(f"{RESULT}.n_tokens")
-    return r.select("doc_id", F.col(f"{RESULT}.n_bytes").alias("n_bytes"), n.alias("n_tokens"), (n > LIMIT).alias("over_limit"))
+    n = F.col("counts.n_tokens")
+    return r.select("doc_id", F.col("counts.n_bytes").alias("n_bytes"), n.alias("n_tokens"), (n > LIMIT).alias("over_limit"))

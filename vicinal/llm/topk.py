@@ -1,17 +1,20 @@
 """Exact top-k search by inner product, with segment statistics as bounds.
 
 Components become floor(1024 * x). A segment's inner product is at most length * (mean * mean + deviation * deviation); the sum over
-segments bounds the score from above (the distance from below). Levels of 1, 4, 16 ... segments are tried from coarse to fine;
-exact scores are computed for the pairs that survive. The k best scores of a query seen so far in the task are its threshold, and
-a bound equal to it survives: ties go to the smaller id.
+segments bounds the score from above (the distance from below). Levels of 1, 4, 16 ... segments are tried from coarse to fine, each on
+the pairs alone that the one before let through. Of what survives, a query's most promising rows come first, and exact scores are
+computed for those pairs only whose bound still reaches the query's threshold: its k-th best score so far. Thresholds start from the
+k-th best score among `seed_rows` rows, any rows at all, which saves work and changes nothing. A bound equal to the threshold
+survives: ties go to the smaller id.
 
 Vectors that are null, or hold a null or non-finite component, take no part, and rows with a null id neither. A query is not its
 own candidate; rows that repeat an id are candidates of other queries each for itself. Scores exist between vectors of one length
-only. Scores are exact: products are summed as floats while all partial sums stay below 2**53, else as integers. An empty table
-gives an empty table. Extra columns are ignored.
+only. Scores are exact: products are summed as floats while all partial sums stay below 2**53, else as integers; a score beyond
+64 bits is an error. An empty table gives an empty table. Extra columns are ignored.
 
-Scale: the queries are held in blocks of `query_block` rows; a block is broadcast and meets all rows, batch by batch, in one pass
-without a shuffle. Each task sends the k best of each query, and these few rows are ranked in a shuffle by query.
+Scale: the queries are held in blocks of `query_block` rows; a block is broadcast and meets all rows, batch by batch, in one job
+without a shuffle, and its broadcast goes when the job is done. Each task sends the k best of each query, and these few rows are
+ranked in a shuffle by query.
 """
 
 from __future__ import annotations
@@ -20,29 +23,32 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import discard, new_path, staged, table
 
 K = 10
 SCALE = 1024
 QUERY_BLOCK = 20_000
 LEVELS = (1, 4, 16)
+SEED_ROWS = 4096
 
 
 def scaled(column: pa.Array, ids: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length of vector: ids, and matrix of floor(SCALE * x), of the vectors that take part."""
-    by: dict[int, list] = {}
-    for i, v in zip(ids.to_pylist(), column.to_pylist(), strict=True):
-        if i is not None and v is not None and None not in v:
-            by.setdefault(len(v), []).append((i, v))
+    there = pa.compute.and_(column.is_valid(), ids.is_valid())
+    column, ids = column.filter(there), ids.filter(there).to_numpy(zero_copy_only=False)
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     out = {}
-    for n, rows in by.items():
-        m = np.array([v for _, v in rows], np.float64).reshape(len(rows), n)
-        ok = np.isfinite(m).all(1)
+    for n in np.unique(ends - starts).tolist():
+        rows = np.flatnonzero(ends - starts == n)
+        m = flat[starts[rows][:, None] + np.arange(n)]
+        ok = np.isfinite(m).all(1)  # nulls are NaN here
         if ok.any():
-            out[n] = (np.array([i for i, _ in rows], np.int64)[ok], np.floor(SCALE * m[ok]))
+            out[n] = (ids[rows][ok], np.floor(SCALE * m[ok]))
     return out
 
 
@@ -57,75 +63,109 @@ def statistics(m: np.ndarray, levels: tuple[int, ...]) -> list[np.ndarray]:
 
 
 class Search:
-    """The best of each query so far. Queries and candidates of one length."""
+    """The best of each query so far. Queries and candidates of one length; `least` are thresholds to start from."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, levels: tuple[int, ...]):
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int, levels: tuple[int, ...], least: np.ndarray | None = None):
         self.ids, self.m, self.k, self.levels = ids, matrix, k, levels
         self.stats, self.top = statistics(matrix, levels), float(np.abs(matrix).max(initial=0))
         self.best: list[list[tuple[int, int]]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
+        self.least = np.full(len(ids), -np.inf) if least is None else least.astype(float)
+        self.pairs = self.scored = 0  # pairs met, and pairs whose exact score was computed
 
     def add(self, ids: np.ndarray, m: np.ndarray) -> None:
-        for a in range(0, len(ids), 512):
-            self._add(ids[a : a + 512], m[a : a + 512])
+        step = max(64, 2**20 // max(1, len(self.ids)))
+        for a in range(0, len(ids), step):
+            self._add(ids[a : a + step], m[a : a + step])
 
     def _add(self, ids: np.ndarray, m: np.ndarray) -> None:
         high = self.top * float(np.abs(m).max(initial=0)) * max(1, m.shape[1])
+        slack, stats = 1e-9 * high + 1e-6, statistics(m, self.levels)
+        self.pairs += len(self.ids) * len(ids)
         alive = self.ids[:, None] != ids[None, :]
-        for own, other in zip(self.stats, statistics(m, self.levels), strict=True):
-            bound = own @ other.T
-            alive &= bound + 1e-9 * high + 1e-6 >= self.least[:, None]
-        if not alive.any():
+        if stats:  # the coarsest level meets every pair, by two numbers a vector
+            alive &= self.stats[0] @ stats[0].T + slack >= self.least[:, None]
+        for r in np.flatnonzero(alive.any(1)).tolist():
+            c, bound = np.flatnonzero(alive[r]), None
+            for own, other in zip(self.stats[1:], stats[1:], strict=True):
+                bound = other[c] @ own[r]
+                c, bound = (x[bound + slack >= self.least[r]] for x in (c, bound))
+            if bound is not None and len(c) > 4 * self.k:
+                order = np.argpartition(-bound, 2 * self.k)
+                first, rest = order[: 2 * self.k], order[2 * self.k :]
+                self._score(r, ids, m, c[first], high)
+                c = c[rest][bound[rest] + slack >= self.least[r]]
+            self._score(r, ids, m, c, high)
+
+    def _score(self, r: int, ids: np.ndarray, m: np.ndarray, c: np.ndarray, high: float) -> None:
+        if not len(c):
             return
+        self.scored += len(c)
         if high < 2**53:
-            rows = np.flatnonzero(alive.any(1))
-            score = np.full(alive.shape, -np.inf)
-            score[rows] = self.m[rows] @ m.T
-            score[~alive] = -np.inf
-            for r in rows[(score[rows] >= self.least[rows, None]).any(1)]:
-                c = np.flatnonzero(score[r] >= self.least[r])
-                c = c[np.lexsort((ids[c], -score[r, c]))[: self.k]]
-                self._keep(r, [(-int(score[r, x]), int(ids[x])) for x in c if score[r, x] > -np.inf])
-        else:
-            for r, c in zip(*np.nonzero(alive), strict=True):
-                self._keep(r, [(-sum(int(x) * int(y) for x, y in zip(self.m[r].tolist(), m[c].tolist(), strict=True)), int(ids[c]))])
-
-    def _keep(self, r: int, found: list[tuple[int, int]]) -> None:
+            score = m[c] @ self.m[r]
+        elif high < 2**63:
+            score = m[c].astype(np.int64) @ self.m[r].astype(np.int64)
+        else:  # integers of any size
+            whole = np.frompyfunc(int, 1, 1)
+            score = whole(m[c]) @ whole(self.m[r])
+        near = np.arange(len(c))
+        if high < 2**53:  # then comparisons of floats are exact as well
+            near = np.flatnonzero(score >= self.least[r])
+            near = near[np.lexsort((ids[c[near]], -score[near]))[: self.k]]
+        found = [(-int(score[x]), int(ids[c[x]])) for x in near]
         self.best[r] = sorted([*self.best[r], *found])[: self.k]
         if len(self.best[r]) == self.k:
-            self.least[r] = -self.best[r][-1][0]
+            self.least[r] = max(self.least[r], float(-self.best[r][-1][0]))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_block: int = QUERY_BLOCK, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def top_k(queries: DataFrame, rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, query_block: int = QUERY_BLOCK, levels: tuple[int, ...] = LEVELS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of `rows` for each of `queries`."""
     spark = queries.sparkSession
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter("id is not null and vector is not null").distinct()
     held = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     n = asked.count()
-    n_blocks = -(-n // query_block)
+    n_blocks = -(-n // query_block) or 1
     if n_blocks > 1:
         asked = staged(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks))), "queries")
-    best = None
-    for block in range(max(1, n_blocks)):
-        part = (asked.filter(F.col("block") == block) if n_blocks > 1 else asked).select("id", "vector").toArrow()
-        by = scaled(part.column("vector").combine_chunks(), part.column("id").combine_chunks()) if part.num_rows else {}
-        sent = spark.sparkContext.broadcast(by)
+    seeds = scaled(*columns(held.limit(seed_rows)))
+    schema, found, at = "query_id bigint, vec_id bigint, score bigint", None, None
+    for block in range(n_blocks):
+        by = scaled(*columns(asked.filter(F.col("block") == block).select("id", "vector") if n_blocks > 1 else asked))
+        least = {}
+        for w, (ids, m) in by.items():
+            first = Search(ids, m, k, levels)
+            if w in seeds:
+                first.add(*seeds[w])
+            least[w] = first.least
+        sent = spark.sparkContext.broadcast((by, least))
 
         def scan(batches, sent=sent):
-            search = {n: Search(i, m, k, levels) for n, (i, m) in sent.value.items()}
+            by, least = sent.value
+            search = {w: Search(i, m, k, levels, least[w]) for w, (i, m) in by.items()}
             for b in batches:
-                for n, (i, m) in scaled(b.column("vector"), b.column("id")).items():
-                    if n in search:
-                        search[n].add(i, m)
+                for w, (i, m) in scaled(b.column("vector"), b.column("id")).items():
+                    if w in search:
+                        search[w].add(i, m)
             for s in search.values():
-                found = [(q, v, -score) for q, best in zip(s.ids.tolist(), s.best, strict=True) for score, v in best]
-                for a in range(0, len(found), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found[a : a + 10_000], strict=True)], names=["query_id", "vec_id", "score"])
-
-        got = held.mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
-        best = got if best is None else best.unionByName(got)
+                best = [(q, v, -score) for q, best in zip(s.ids.tolist(), s.best, strict=True) for score, v in best]
+                for a in range(0, len(best), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*best[a : a + 10_000], strict=True)], names=["query_id", "vec_id", "score"])
+
+        found = held.mapInArrow(scan, schema)
+        if n_blocks > 1:
+            at = at or new_path(spark, "best")
+            found.write.mode("append").parquet(at)
+            sent.destroy()
+    if n_blocks > 1:
+        discard(asked)
+        found = spark.read.schema(schema).parquet(at)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def columns(df: DataFrame) -> tuple[pa.Array, pa.Array]:
+    """Vectors and ids of some rows, on the driver."""
+    got = df.select("vector", "id").toArrow()
+    return tuple(pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type) for x in got.columns)
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,17 @@ url that no rule fits gets `default`. Rules with a null host, path or verdict ar
 unless the url's host is empty too. Rows that repeat are judged alike and all returned. Extra columns are ignored.
 
 Scale: each url yields one expression for each (host labels, path length) that some rule has, so the work a url costs follows the
-rules' shapes and not its own length. The candidates of a row stay in its task up to the partial maximum, so the one shuffle moves
+rules' shapes and not its own length; the shapes are one literal of the plan, however many they are. The candidates of a row stay in its task
+up to the partial maximum of the rules' ranks, so the one shuffle moves
 about a row for each url; rows with the same id and url are pre-aggregated too. The rules are broadcast only when their count is
-at most `broadcast_rules`; beyond it both sides are shuffled by the hash prefix, and Spark splits large partitions of that join.
+at most `broadcast_rules`; beyond it both sides are shuffled by the hash prefix, where the rows' own entries have keys of their own, and
+Spark splits large partitions of that join.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_
         .agg(F.max("verdict").alias("verdict"))  # block before allow
         .withColumn("digest", F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256))
         .withColumn("short", F.substring("digest", 1, 8))
+        .withColumn("rank", F.length("rule").cast("long") * (1 << 32) + F.length("rule_host") * 2 + (F.col("verdict") == "block").cast("long"))
     )
     shapes = sorted((r.labels, r.chars) for r in own.select("labels", "chars").distinct().collect())
     n_rules = own.count() if shapes else 0
@@ -49,18 +54,21 @@ def judge_urls(df: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_
     )
     if not shapes:
         return urls.select(id_col, url_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    # The first entry stands for the row itself; it carries the row's count and has no expression.
+    # The first entry stands for the row itself; it carries the row's count and has no expression, but a key that no rule has.
     dots = F.size(F.split("host", "\\.", -1))
-    tried = [F.when((dots >= k) & (F.length("path") >= n), F.concat_ws("\n", F.substring_index("host", ".", -k) if k else F.lit(""), F.substring("path", 1, n) if n else F.lit(""))) for k, n in shapes]
-    tries = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array(*tried), lambda x: x.isNotNull()))
-    cand = urls.select(id_col, url_col, "host", "path", F.posexplode(tries).alias("pos", "expression")).withColumn("own_digest", F.sha2("expression", 256)).withColumn("own_short", F.substring("own_digest", 1, 8))
-    right = own.select("short", "digest", "rule", F.length("rule_host").alias("host_chars"), F.length("rule").alias("rule_chars"), "verdict")
+    literal = F.from_json(F.lit(json.dumps([{"labels": k, "chars": n} for k, n in shapes])), "array<struct<labels: int, chars: int>>")
+    fits = F.filter(literal, lambda x: (dots >= x["labels"]) & (F.length("path") >= x["chars"]))
+    tried = F.transform(fits, lambda x: F.concat_ws("\n", F.array_join(F.slice(F.split("host", "\\.", -1), F.greatest(dots - x["labels"] + 1, F.lit(1)), x["labels"]), "."), F.substr(F.col("path"), F.lit(1), x["chars"])))
+    tries = F.concat(F.array(F.lit(None).cast("string")), tried)
+    cand = urls.select(id_col, url_col, "host", "path", F.posexplode(tries).alias("pos", "expression")).withColumn("own_digest", F.sha2("expression", 256))
+    cand = cand.withColumn("own_short", F.coalesce(F.substring("own_digest", 1, 8), F.concat(F.lit("-"), F.hex(F.xxhash64(id_col, url_col)))))
+    right = own.select("short", "digest", "rule", "verdict", "rank")
     right = F.broadcast(right) if n_rules <= broadcast_rules else right.hint("merge")
-    best = F.when(F.col("digest") == F.col("own_digest"), F.struct(F.col("rule_chars"), F.col("host_chars"), (F.col("verdict") == "block").alias("blocks"), F.col("rule"), F.col("verdict")))
+    fit = F.col("digest") == F.col("own_digest")
     return (
         cand.join(right, cand.own_short == right.short if n_rules > broadcast_rules else F.col("own_short") == F.col("short"), "left")
         .groupBy(id_col, url_col, "host", "path")
-        .agg(F.max(best).alias("best"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"))
+        .agg(F.max_by(F.when(fit, F.struct("rule", "verdict")), F.when(fit, F.col("rank"))).alias("best"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"))
         .select(id_col, url_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
         .drop("copy")
     )

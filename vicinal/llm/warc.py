@@ -15,7 +15,8 @@ Between groups of members stands an empty gzip member (the writer's line end), w
 
 Scale: payloads are never shuffled while the ids of shared payloads are few (`broadcast_groups`); beyond it the join is a
 shuffle that Spark splits where one payload is large. Equal payloads are pre-aggregated to one digest a task. Files hold
-`records_per_file` records at most; a task holds one file's compressed bytes and one record.
+`records_per_file` records at most, and fewer where pages are so large that these would pass FILE_BYTES; a task holds one file's
+compressed bytes and one record. Digests of all pages are staged once, and what is staged goes when it has been read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, remove, table
+from .common import discard, new_path, remove, staged, table
 
 BLANK = "\r\n\r\n"
 #: A gzip member without content, as Latin-1.
@@ -37,6 +38,8 @@ EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x0
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS_PER_FILE = 20_000
+#: Payload bytes of a file, on average; compressed it is a fraction of that.
+FILE_BYTES = 256 << 20
 BROADCAST_GROUPS = 100_000
 #: Compressed bytes that are inflated at a step, and bytes of members that are written at once.
 STEP, AT_ONCE = 1 << 14, 1 << 20
@@ -50,10 +53,15 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_monolithic(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, broadcast_groups: int = BROADCAST_GROUPS) -> None:
+def write_monolithic(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, broadcast_groups: int = BROADCAST_GROUPS, records_per_file: int = RECORDS_PER_FILE) -> None:
     own = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html"))).withColumn("bytes", F.octet_length("html"))
-    shared = own.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("shared_digest"), "keeper")
-    few = shared.limit(broadcast_groups + 1).count()
+    known = staged(own.select("id", "digest", "bytes"), "digests")
+    n, total = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    records_per_file = max(1, min(records_per_file, FILE_BYTES * n // max(1, total)))
+    shared = known.filter(F.col("bytes") >= least).groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("shared_digest"), "keeper")
+    shared = staged(shared, "shared")
+    discard(known)
+    few = shared.count()
     if few:
         on = (F.col("digest") == F.col("shared_digest")) & (F.col("bytes") >= least)
         own = own.join(F.broadcast(shared) if few <= broadcast_groups else shared.hint("merge"), on, "left")
@@ -73,7 +81,8 @@ def write_monolithic(pages: DataFrame, path: str, *, id_col: str = "page_id", ur
         F.lit(BLANK), http,
     )
     record = F.concat(header, F.when(revisit, F.lit("")).otherwise(F.col("html")))
-    own.select(record.alias("value")).write.option("lineSep", BLANK).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    own.select(record.alias("value")).write.option("lineSep", BLANK).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    discard(shared)
 
 
 def inflated(data: memoryview) -> Iterator[bytes]:
