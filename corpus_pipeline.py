@@ -1,7 +1,11 @@
 """A training corpus from raw documents: clean, deduplicate, decontaminate, mix.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and reads it again for
-the next one. All but the last keep the columns of documents; the last adds mix_copy, the number of the copy.
+the next one. All but the last keep the columns of documents, whatever their names; the last adds mix_copy, the number of the copy.
+
+Rows with a null or empty text have no clause, no shingle and no window, so the first three stages keep them, and the last takes them at
+their source's rate. Rows with a null id are never a copy. Rows that repeat are judged alike by all stages; repeats of one id stay
+together, since one id is one document. Of near copies the smallest id stays. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vicinal.llm import decontaminate, mixing, neardup, toxicity
-from vicinal.llm.common import staged, table
+from vicinal.llm.common import discard, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,5 +45,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
