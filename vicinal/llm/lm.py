@@ -184,7 +184,9 @@ class Levels:
         c, real = context[self.at], real[self.at]
         symbol = np.where(real, self.tokens[self.at].astype(np.int64) + 1, 0)
         width = len(self.hashes) + 1
-        key, first, self.pair = np.unique(c * width + symbol, return_index=True, return_inverse=True)
+        key, self.pair = np.unique(c * width + symbol, return_inverse=True)
+        first = np.empty(len(key), np.int64)
+        first[self.pair] = np.arange(len(self.pair))  # one place of each pair, whichever
         c, w = key // width, key % width
         symbol = np.where(w > 0, self.symbols[np.maximum(w - 1, 0)], np.uint64(0))
         salt = np.where(hot_here[c], symbol % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
@@ -194,7 +196,9 @@ class Levels:
             bucket = np.where(salt > 0, bucket, routed % np.uint64(self.buckets))
         steps = np.where(w > 0, np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255), 0).astype(np.uint8)
         times = np.bincount(self.pair, weights=self.trained[self.at], minlength=len(key)).astype(np.uint32)
-        order = np.lexsort((routed, bucket))
+        order = np.argsort(routed)
+        if self.level == 1:  # elsewhere buckets are in order of their hashes
+            order = order[np.argsort(bucket[order].astype(np.uint16 if self.buckets < 1 << 16 else np.uint64), kind="stable")]
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.pair, self.key_context, self.key_symbol = place[self.pair], c[order], symbol[order]
@@ -284,7 +288,8 @@ def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: fl
         sizes = [len(x) for x in contexts]
         context, symbol = np.concatenate(contexts), np.concatenate(column("symbols", "u8"))
         times, steps = np.concatenate(column("times", "u4")), np.concatenate(column("steps", "u1"))
-        order = np.lexsort((symbol, context))
+        order = np.argsort(symbol)
+        order = order[np.argsort(context[order], kind="stable")]
         c, w = context[order], symbol[order]
         del contexts, context, symbol
         new_context = np.append(True, c[1:] != c[:-1])
