@@ -124,3 +124,51 @@ def test_sketches_refuse_few_links_at_any_threshold(percent):
     p = percent / 100 + (1 - percent / 100) / 256
     missed = sum(math.comb(N.HASHES, k) * p**k * (1 - p) ** (N.HASHES - k) for k in range(N.plausible(percent)))
     assert missed <= 1e-5
+
+
+def template_rows(spark, n):
+    """Groups that are compared among n pages of one template, none linked with another: 200 words, 5 of them a page's own."""
+    rnd = random.Random(n)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        w = [*base]
+        for k in rnd.sample(range(200), 5):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    signed = N.signatures(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 5)
+    nodes = N.staged(signed.selectExpr("doc_id as node", "a", "b", "signature", "n_shingles"), "nodes")
+    none = spark.createDataFrame([], "node bigint, comp bigint")
+    groups, _ = N.shared_paths(nodes, none, range(2, 6), N.DEPTH)
+    return groups.count(), groups.groupBy("key").count().agg({"count": "max"}).first()[0]
+
+
+def test_template_pages_cost_in_proportion(spark, monkeypatch):
+    """Four times the pages are some four times the rows, in groups that stay small; no group holds all pairs of blocks."""
+    monkeypatch.setattr(N, "SMALL", 32)
+    (few, _), (many, largest) = template_rows(spark, 400), template_rows(spark, 1600)
+    assert many < 7 * few and largest <= 4 * 32
+
+
+def test_large_stars_are_dealt_with_apart(spark, monkeypatch):
+    monkeypatch.setattr(N, "LARGE_STAR", 0.01)
+    edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 399) for i in range(300)] + [(5000, 5001)]
+    got = {r.node: r.comp for r in N.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3)).collect()}
+    assert got == {i: 0 for i in range(1, 400)} | {1000 + i: 0 for i in range(300)} | {5001: 5000}
+
+
+def test_long_sets_are_confirmed_pair_by_pair(frame, monkeypatch):
+    monkeypatch.setattr(N, "GROUP_SHINGLES", 100)
+    rows = texts()
+    assert classes(frame(rows)) == brute(rows)
+
+
+def test_nothing_but_the_result_is_left_behind(spark, frame):
+    import os
+
+    from vicinal.sources.shared import shared_dir
+
+    before = {*os.listdir(shared_dir(spark))}
+    df = N.near_duplicates(frame(texts()))
+    left = {x.rsplit("-", 1)[0] for x in {*os.listdir(shared_dir(spark))} - before}
+    assert left == {"signatures", "classes"} and df.count() > 0  # what the result is read from

@@ -76,3 +76,15 @@ def test_near_copies_from_0_80_are_dropped(spark):
         gone |= {2 * i + 1} if i % 3 < 2 else set()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert {r.doc_id for r in P.drop_copies(spark, docs, "").collect()} == {i for i, _ in rows} - gone
+
+
+def test_columns_of_any_name_stay(spark, folder):
+    """Names that stages use inside, and the last one's own, are kept with their values through every stage."""
+    at, docs = folder
+    df = table(spark, at, "documents").selectExpr("*", "1 as result", "2 as mix_copy", "3 as __mix_size", "4 as gone", "5 as comp", "6 as toxicity")
+    for _, stage in P.STAGES[:-1]:
+        df = stage(spark, df, at)
+        assert df.columns[5:] == ["result", "mix_copy", "__mix_size", "gone", "comp", "toxicity"]
+    got = P.STAGES[-1][1](spark, df, at)
+    assert got.columns == [*df.columns, "mix_copy_"]
+    assert {tuple(r) for r in got.select(*df.columns[5:]).distinct().collect()} == {(1, 2, 3, 4, 5, 6)}

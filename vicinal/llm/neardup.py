@@ -333,8 +333,8 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, in
     return zip(*(x.tolist() for x in np.nonzero(ok)), strict=True)
 
 
-def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """u, v: for each class of confirmed links inside a job, its members and the smallest of them."""
+def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """u, v: for each class of confirmed links inside a job, its members and the smallest of them; and the staged table it is read from."""
     asked = staged(jobs.select(F.col("node").alias("asked")).distinct().join(nodes.select("node", "a", "b"), F.col("node") == F.col("asked")).select("node", "a", "b"), "asked")
 
     def sets(batches):
@@ -357,7 +357,7 @@ def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
 
     texts = joined(docs, asked, F.col("doc_id") == F.col("node")).select("node", "a", "b", "text")
     full = texts.mapInArrow(sets, "of bigint, tokens binary")
-    return jobs.join(full, F.col("node") == F.col("of")).select("job", "node", "tokens").repartition("job").sortWithinPartitions("job").mapInArrow(links, "u bigint, v bigint")
+    return jobs.join(full, F.col("node") == F.col("of")).select("job", "node", "tokens").repartition("job").sortWithinPartitions("job").mapInArrow(links, "u bigint, v bigint"), asked
 
 
 def beside_least(edges: DataFrame, n: int) -> DataFrame:
@@ -401,9 +401,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         groups, read = shared_paths(nodes, known, some, depth)
         jobs = staged(plausible_groups(groups, nodes, percent), "jobs")
         discard(*read)
-        found = staged(confirmed(jobs, own, nodes, width, percent), "links")
+        links, asked = confirmed(jobs, own, nodes, width, percent)
+        found = staged(links, "links")
         new = components(found if known is None else known.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
-        discard(jobs, found, known)
+        discard(jobs, asked, found, known)
         known = new
     of = nodes.join(known.select(F.col("node").alias("known"), "comp"), F.col("node") == F.col("known"), "left").select(F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.coalesce("comp", "node").alias("class"))
     of = staged(of, "classes")
