@@ -5,11 +5,12 @@ Usage is one pass over the log: requests are pre-aggregated by user and request,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QuotaExceeded
 from ..functions.scalars import in_week_of, trace_id
+from ..sources.shared import file_system
 
 INCREASED_QUOTA = 200_000
 
@@ -19,6 +20,13 @@ def activity_rows(requests: DataFrame, event: str, finished: Column | None = Non
     return requests.select("user_id", trace_id(F.col("trace_header")).alias("request_id"), "model_name", "method", "cell_count", F.lit(event).alias("event"), (F.current_timestamp().cast("timestamp_ntz") if finished is None else finished).alias("finished_time"))
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The rows appended to a log so far; none where nothing was appended yet."""
+    fs, at = file_system(spark, path)
+    kind = "user_id bigint, request_id string, model_name string, method string, cell_count bigint, event string, finished_time timestamp_ntz"
+    return spark.read.schema(kind).parquet(path) if fs.exists(at) else spark.createDataFrame([], kind)
+
+
 def weekly_usage(activity: DataFrame, users: DataFrame, start: Column) -> DataFrame:
     """user_id and the cells of this week's requests, 0 without any. A request counts its largest count, unless it failed; one that
     is still running counts. start is an expression over users."""

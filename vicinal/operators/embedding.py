@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,18 @@ def linear_model(weights: np.ndarray) -> Model:
     return lambda x, total: x @ weights
 
 
+def checkpoint_model(spark: SparkSession, path: str) -> Model:
+    """The linear model whose weights (genes, dimension) a .npy file holds. The file is read once, and broadcast; a model has the size of one checkpoint."""
+    found = spark.read.format("binaryFile").load(path).select("content").limit(1).collect()
+    if not found:
+        raise InputError(f"no checkpoint at {path}")
+    weights = np.load(io.BytesIO(found[0].content), allow_pickle=False)
+    if weights.ndim != 2:
+        raise InputError(f"weights have {weights.ndim} dimensions, not 2")
+    sent = spark.sparkContext.broadcast(weights)
+    return lambda x, total: x @ sent.value
+
+
 def embed(matrix: DataFrame, model: Model, dimension: int, *, id_col: str = "query_cell_id", x_col: str = "x", total_col: str = "total_mrna_umis") -> DataFrame:
     """id and embedding of each row of a query matrix, in batches. The model travels with the tasks; Spark broadcasts it once it is large."""
     kind = matrix.schema[id_col].dataType

@@ -82,6 +82,22 @@ def longest_paths(edges: DataFrame, root: str = ROOT) -> DataFrame:
     raise OntologyError("the graph has a cycle")
 
 
+def topological(edges: DataFrame) -> DataFrame:
+    """term and depth, the most edges from any term without parents: in order of depth, and then of term, parents come before children."""
+    every = edges.select(F.col("parent").alias("term")).union(edges.select("child")).distinct()
+    most, children_of = every.count(), edges.select(F.col("child").alias("term")).distinct()
+    found = new = staged(every.join(children_of, "term", "left_anti").withColumn("depth", F.lit(0)), "topological")
+    for depth in range(1, most + 1):
+        new = staged(new.join(edges, F.col("term") == F.col("parent")).select(F.col("child").alias("term")).distinct().withColumn("depth", F.lit(depth)), "topological")
+        if new.isEmpty():
+            break
+        found = found.unionByName(new)
+    out = found.groupBy("term").agg(F.max("depth").alias("depth"))
+    if not new.isEmpty() and most or out.count() < most:
+        raise OntologyError("the graph has a cycle")
+    return out.orderBy("depth", "term")
+
+
 def resource(terms: DataFrame, edges: DataFrame, root: str = ROOT) -> DataFrame:
     """One row: the document of an ontology. terms: term, name. Its size is that of the ontology."""
     pairs = closure(edges)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +21,52 @@ def jdbc_table(spark: SparkSession, url: str, name: str, **options: str) -> Data
 
 
 def embedding_batches(spark: SparkSession, paths: str | list[str], dimension: int, *, id_name: str = "id") -> DataFrame:
-    """Headerless CSV files, plain or gzipped: id and embedding. The schema follows from the dimension and is never inferred."""
-    rows = spark.read.schema(embedding_file(dimension)).option("header", "false").csv(paths)
+    """Headerless CSV files, plain or gzipped: id and embedding. The schema follows from the dimension and is never inferred; a row that does not fit it is an error."""
+    rows = spark.read.schema(embedding_file(dimension)).option("header", "false").option("mode", "FAILFAST").csv(paths)
     return rows.select(F.col("_c0").alias(id_name), F.array(*(F.col(f"_c{i}") for i in range(1, dimension + 1))).alias("embedding"))
 
 
+def numbered_batches(spark: SparkSession, prefix: str, total: int, dimension: int) -> DataFrame:
+    """batch, id and embedding of the files batch_0.csv.gz to batch_(total - 1).csv.gz; a file that is missing is an error."""
+    paths = [f"{prefix.rstrip('/')}/batch_{i}.csv.gz" for i in range(total)]
+    rows = spark.read.schema(embedding_file(dimension)).option("header", "false").option("mode", "FAILFAST").csv(paths)
+    batch = F.regexp_extract("_metadata.file_name", r"batch_(\d+)\.csv\.gz$", 1).cast("int")
+    return rows.select(batch.alias("batch"), F.col("_c0").alias("id"), F.array(*(F.col(f"_c{i}") for i in range(1, dimension + 1))).alias("embedding"))
+
+
+OWL_CLASS = "ord bigint, name string, labels array<string>, parents array<string>"
+
+
+def owl_classes(spark: SparkSession, path: str) -> DataFrame:
+    """ord, name, labels and named parents of the classes of an OWL file in RDF/XML, in order of the file. A name is what follows the last / or # of an IRI.
+
+    A document is one task's, and streamed: it grows with an ontology and not with the data. Anonymous classes and restrictions are left out.
+    """
+
+    def run(batches):
+        import io
+        import xml.etree.ElementTree as ET
+
+        rdf, rdfs, owl = "{http://www.w3.org/1999/02/22-rdf-syntax-ns#}", "{http://www.w3.org/2000/01/rdf-schema#}", "{http://www.w3.org/2002/07/owl#}"
+        name = lambda iri: iri.replace("#", "/").rsplit("/", 1)[-1]
+        for b in batches:
+            for content in b.column("content"):
+                out, depth = [], 0
+                for event, x in ET.iterparse(io.BytesIO(content.as_py()), events=("start", "end")):
+                    depth += 1 if event == "start" else -1
+                    if event == "end" and depth == 1:
+                        if x.tag == f"{owl}Class" and (iri := x.get(f"{rdf}about")):
+                            labels = [t.text or "" for t in x.findall(f"{rdfs}label")]
+                            parents = [name(p) for t in x.findall(f"{rdfs}subClassOf") if (p := t.get(f"{rdf}resource"))]
+                            out.append((len(out), name(iri), labels, parents))
+                        x.clear()
+                if out:
+                    kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["ord", "name", "labels", "parents"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, OWL_CLASS)
+
+
 def checked_matrix(df: DataFrame) -> DataFrame:
     """A query matrix whose x and total_mrna_umis are float32, as models want them."""
     kinds = {f.name: f.dataType for f in df.schema.fields}

@@ -68,6 +68,12 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder copied between any two file systems that Hadoop knows: up to a store, down from it, or within."""
+    (from_fs, from_at), (to_fs, to_at) = file_system(spark, source), file_system(spark, target)
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_fs, from_at, to_fs, to_at, False, True, spark._jsc.hadoopConfiguration())
+
+
 def listed(spark: SparkSession, prefix: str) -> DataFrame:
     """path and length of the files below a folder, without their content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(prefix).select("path", "length", "modificationTime")
