@@ -315,6 +315,49 @@ def ontology_unreachable(spark: SparkSession, d: str) -> DataFrame:
     return every.join(O.shortest_paths(edges, "T:0"), "term", "left_anti")
 
 
+query("ontology_topological_depth", f"with recursive {TREE_SQL}, {EXTRA_SQL.split(chr(10), 1)[0]} w(term, n) as (select distinct parent, 0 from g where parent not in (select child from g) union all select g.child, n + 1 from w join g on g.parent = w.term) select term, cast(max(n) as integer) as depth from w group by term")(lambda spark, d: O.topological(dag(spark)))
+
+
+def customer_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of a tree over all customers: the parent of k is k // 8."""
+    return R.table(spark, d, "customer").filter("c_custkey >= 8").select(F.floor(F.col("c_custkey") / 8).alias("parent"), F.col("c_custkey").alias("child"))
+
+
+CUSTOMER_SQL = "with recursive g as (select c_custkey // 8 as parent, c_custkey as child from customer where c_custkey >= 8)"
+query("ontology_closure_of_customers", CUSTOMER_SQL + ", cl(term, ancestor) as (select child, parent from g union all select cl.term, g.parent from cl join g on g.child = cl.ancestor) select term, ancestor from cl")(lambda spark, d: O.closure(customer_tree(spark, d)))
+
+
+@query("ontology_edges_of_known_classes", "with k as (select c_custkey as term from customer where c_custkey % 5 <> 0), g as (select c_custkey // 8 as parent, c_custkey as child from customer where c_custkey >= 8) select parent, child from g where parent in (select term from k) and child in (select term from k)")
+def ontology_edges_of_known_classes(spark: SparkSession, d: str) -> DataFrame:
+    edges = customer_tree(spark, d)
+    known = R.table(spark, d, "customer").filter("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("term"))
+    return O.edges_of(known, edges.filter("child % 2 = 0"), edges)
+
+
+@query("ontology_classes_first_label", "select 'CL:' || k as term, arg_min(c_name, c_custkey) as label from (select c_custkey % 50 as k, c_custkey, c_name from customer where c_custkey % 3 = 0) group by k")
+def ontology_classes_first_label(spark: SparkSession, d: str) -> DataFrame:
+    """Of classes named CL_ with one label, the first of each id."""
+    labels = F.when(F.col("c_custkey") % 3 == 0, F.array("c_name")).otherwise(F.array("c_name", "c_mktsegment"))
+    return R.ontology_classes(R.table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.concat(F.lit("CL_"), (F.col("c_custkey") % 50).cast("string")).alias("name"), labels.alias("labels")))
+
+
+@query("densified_matrix", "with c as (select l_orderkey as id, l_linenumber as i, max(l_quantity) as q from lineitem group by 1, 2) select id as query_cell_id, " + ", ".join(f"coalesce(max(q) filter (where i = {i}), 0)::float::double as x{i}" for i in range(8)) + " from c group by id")
+def densified_matrix(spark: SparkSession, d: str) -> DataFrame:
+    cells = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_cell_id"), F.col("l_linenumber").cast("int").alias("feature_index")).agg(F.max("l_quantity").cast("float").alias("value"))
+    return R.densified(cells, 8).select("query_cell_id", *(F.col("x")[i].cast("double").alias(f"x{i}") for i in range(8)))
+
+
+@query("activity_log_appended", f"with a as (select user_id, event_id from events where user_id is not null) select user_id, cast(count(*) as bigint) as started, cast(sum(case when event_id % 3 = 0 then 1 else 0 end) as bigint) as failed from a group by user_id")
+def activity_log_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Two writes to a log, read again."""
+    path = new_path(spark, "log")
+    requests = R.table(spark, d, "events").filter("user_id is not null").select("user_id", "event_id", F.concat(F.lit("ab/"), F.hex("event_id")).alias("trace_header"), F.lit("m").alias("model_name"), F.lit("x").alias("method"), F.lit(1).cast("bigint").alias("cell_count"))
+    W.append(A.activity_rows(requests, "STARTED", at(NOW)), path)
+    W.append(A.activity_rows(requests.filter("event_id % 3 = 0"), "FAILED", at(NOW)), path)
+    count = lambda e: F.count_if(F.col("event") == e).cast("long")
+    return A.read_log(spark, path).groupBy("user_id").agg(count("STARTED").alias("started"), count("FAILED").alias("failed"))
+
+
 @query("ontology_resource_json_roundtrip", f"with recursive {TREE_SQL}, {EXTRA_SQL}, a as (select node, string_agg('T:' || anc, ',' order by 'T:' || anc) as x from cl where anc <> node group by node), k as (select par, string_agg('T:' || node, ',' order by 'T:' || node) as x from t where par is not null group by par), l as (select 'T:' || node as term, count(*) - 1 as n from cl group by node) select 'T:' || t.node as term, 'label ' || t.node as name, coalesce(a.x, '') as ancestors, coalesce(k.x, '') as children, cast(l.n as integer) as shortest, cast(l.n as integer) as longest from t left join a on a.node = t.node left join k on k.par = t.node join l on l.term = 'T:' || t.node")
 def ontology_resource_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     terms, edges = tree(spark)
