@@ -15,9 +15,10 @@ percent * union, and components of links are the classes.
 4. A first round of `first` trees links most copies: it branches `depth` times at most, and then compares the blocks of a large path with one of them. The second round leaves out what
    is in one component already, and compares the rest. Links inside a component change nothing, so no class is lost by that.
 
-Recall: a pair of similarity s that shares a path shares a branch of it with probability s, and a second one with SECOND * s; so after
-four levels a tree of the second round still has a pair of 0.85 together with probability 0.71, one of 0.80 with 0.59, after twelve with 0.49 and 0.29. All ten trees of the second round lose a pair of 0.85 on paths of
-four levels with a probability of 4e-6, of twelve levels of 1e-3; pairs of 0.80 of 1e-4 and 0.03. Paths are that long only among thousands of documents that share most of their tokens and
+Recall: a pair of similarity s that shares a path shares a branch of it with probability s, and a second one with SECOND * s. So a tree
+has a pair of 0.85 still together after four levels with probability 0.71, one of 0.80 with 0.61; after twelve with 0.55 and 0.39. All
+ten trees of the second round lose a pair of 0.85 on paths of four levels with a probability of 4e-6, of twelve levels of 3e-4; a
+pair of 0.80 of 8e-5 and 7e-3. Paths are that long only among thousands of documents that share most of their tokens and
 no component. A sketch, the same for all trees, misses a pair at exactly `percent` with a probability of at most MISS.
 
 Null ids: such rows are in no class (component null) and are kept. Rows that repeat an id are one document; if their texts differ,
@@ -45,9 +46,9 @@ from .common import SPACED, discard, give_back, pieces, raw, staged, table
 WIDTH, PERCENT = 5, 85
 TREES, FIRST, DEPTH = 12, 2, 4
 #: The probability of a second branch, and the levels after which what is left is compared in blocks.
-SECOND, LEVELS = 0.3, 30
+SECOND, LEVELS = 0.3, 16
 #: Nodes of a path prefix that are compared at once; hash functions; the probability that a sketch refuses a pair at the threshold.
-SMALL, HASHES, MISS = 256, 64, 1e-5
+SMALL, HASHES, MISS = 1024, 64, 1e-5
 AT_ONCE = 250_000
 #: Rows of a table (two numbers each) that may be broadcast: some 4 MB.
 BROADCAST_ROWS = 100_000
@@ -210,6 +211,9 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
             pairs = blocked.select("node", "comp", "key", "block", F.explode(others).alias("other"))
             out.append(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "comp"))
             break
+        if comps is None:  # nothing is linked yet, so no path is lopsided
+            now = large.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
+            continue
         # Paths where few pairs are of different components: those of the largest in blocks, the others with each block.
         parts = large.groupBy(F.col("key").alias("own"), "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
         parts = parts.groupBy("own").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
