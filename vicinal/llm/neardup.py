@@ -147,27 +147,29 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
-def branched(rows: DataFrame, level: int) -> DataFrame:
-    """The next branches of paths. rows: node, comp, tree, key, signature; back come node, comp, tree and the keys one token longer."""
+def branched(rows: DataFrame, level: int, trees: range | None = None) -> DataFrame:
+    """The next branches of paths. rows: node, comp, tree, key, signature; back come node, comp, tree and the keys one token longer. At the start rows have no tree and no key, and go on in all of `trees`."""
 
     def run(batches):
-        salt, second = constants(HASHES, 6), np.uint64(int(SECOND * 2**64))
-        order = {}
+        salt, roots, second = constants(HASHES, 6), constants(HASHES, 7), np.uint64(int(SECOND * 2**64))
+        order: dict[int, np.ndarray] = {}
         for b in batches:
-            n, key = b.num_rows, b.column("key").to_numpy().view(np.uint64)
+            n = b.num_rows
             low = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u4").reshape(n, HASHES)
-            tree = b.column("tree").to_numpy()
-            pick = np.zeros((int(tree.max(initial=0)) + 1, 2), np.int64)
-            for t in np.unique(tree).tolist():
-                pick[t] = order.setdefault(t, np.argsort(constants(HASHES, 100 + t)))[[2 * level % HASHES, (2 * level + 1) % HASHES]]
-            for k in (0, 1):
-                at = np.arange(n) if k == 0 else np.flatnonzero(mixed(key ^ salt[level % HASHES]) < second)
-                grown = mixed(key[at] + low[at, pick[tree[at], k]] * np.uint64(0x9E3779B97F4A7C15) + salt[k])
-                if len(at):
-                    own = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([b.column("node").take(own), b.column("comp").take(own), b.column("tree").take(own), pa.array(grown.view(np.int64))], names=["node", "comp", "tree", "key"])
-
-    return rows.select("node", "comp", "tree", "key", "signature").mapInArrow(run, "node bigint, comp bigint, tree int, key bigint")
+            held = b.column("tree").to_numpy() if trees is None else None
+            for t in trees or np.unique(held).tolist():
+                at = np.arange(n) if held is None else np.flatnonzero(held == t)
+                key = np.full(n, roots[t]) if held is None else b.column("key").to_numpy().view(np.uint64)[at]
+                pick = order.setdefault(t, np.argsort(constants(HASHES, 100 + t)))
+                for k in (0, 1):
+                    use = np.arange(len(at)) if k == 0 else np.flatnonzero(mixed(key ^ salt[level % HASHES]) < second)
+                    if len(use):
+                        grown = mixed(key[use] + low[at[use], pick[(2 * level + k) % HASHES]] * np.uint64(0x9E3779B97F4A7C15) + salt[k])
+                        own = pa.array(at[use])
+                        yield pa.RecordBatch.from_arrays([b.column("node").take(own), b.column("comp").take(own), pa.array(np.full(len(use), t, np.int32)), pa.array(grown.view(np.int64))], names=["node", "comp", "tree", "key"])
+
+    names = ["node", "comp", "signature"] if trees else ["node", "comp", "tree", "key", "signature"]
+    return rows.select(*names).mapInArrow(run, "node bigint, comp bigint, tree int, key bigint")
 
 
 def joined(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
@@ -190,10 +192,9 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
     if comps is not None:
         known = comps.select(F.col("node").alias("known"), F.col("comp").alias("known_comp"))
         starts = joined(nodes.select("node", "signature"), known, F.col("node") == F.col("known"), "left").select("node", F.coalesce("known_comp", "node").alias("comp"), "signature")
-    now = starts.select("*", F.explode(F.array(*(F.lit(t) for t in trees))).alias("tree")).withColumn("key", F.xxhash64("tree"))
-    out, held = [], []
+    now, out, held = starts, [], []
     for level in range(LEVELS + 1):
-        now = branched(now, level)
+        now = branched(now, level, None if level else trees)
         sizes = now.groupBy(F.col("key").alias("own")).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter((F.col("m") > 1) & (F.col("low") != F.col("high"))).select("own", "m")
         sizes = staged(sizes, f"sizes{level}")
         met = staged(joined(now, sizes, F.col("key") == F.col("own")).drop("own"), f"paths{level}")
