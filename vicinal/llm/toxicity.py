@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = staged(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")).join(F.broadcast(wanted), F.col("own_id") == F.col("label_id")).filter("text is not null").select("label", "text"), "labelled")
     words = texts.select("label", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("words"))
     words = words.withColumn("same", F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), 1, COPY))
-    words = words.groupBy("same").agg(F.max(F.struct("label", "words")).alias("r")).select("r.label", "r.words")
+    words = staged(words.groupBy("same").agg(F.max(F.struct("label", "words")).alias("r")).select("r.label", "r.words"), "words")
     toxic, n_texts = words.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     least = max(support, math.ceil(support_share * toxic))
     each = words.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).filter(F.length("word") >= SHORTEST)
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     held = words.filter("label = 1").select(F.xxhash64("words").alias("of"), F.explode("words").alias("word")).filter(F.length("word") >= SHORTEST).select("of", F.explode(stems).alias("own_stem"))
     held = held.join(counted.select("stem"), F.col("own_stem") == F.col("stem"), "left_semi").groupBy("own_stem").agg(F.count_distinct("of").alias("texts")).filter(F.col("texts") >= least)
     rows = [(r.stem, r.pos, r.n) for r in counted.join(held, F.col("stem") == F.col("own_stem")).select("stem", "pos", "n").collect()]
-    discard(counted)
+    discard(counted, words)
     model = {"stems": closed_stems(rows, prior, least, precision, most_stems, toxic / max(1, n_texts), evidence), "base": 0.0, "arcs": dict(ARCS)}
 
     def paths(batches):
