@@ -157,8 +157,10 @@ def test_large_stars_are_dealt_with_apart(spark, monkeypatch):
     assert got == {i: 0 for i in range(1, 400)} | {1000 + i: 0 for i in range(300)} | {5001: 5000}
 
 
-def test_long_sets_are_confirmed_pair_by_pair(frame, monkeypatch):
-    monkeypatch.setattr(N, "GROUP_SHINGLES", 100)
+@pytest.mark.parametrize(("name", "value"), [("GROUP_SHINGLES", 100), ("JOB", 3)])
+def test_classes_are_confirmed_in_parts(frame, monkeypatch, name, value):
+    """Pair by pair where sets are long, and in blocks where there are many."""
+    monkeypatch.setattr(N, name, value)
     rows = texts()
     assert classes(frame(rows)) == brute(rows)
 

@@ -52,8 +52,8 @@ SMALL, HASHES, MISS = 1024, 64, 1e-5
 AT_ONCE = 250_000
 #: Rows of a table (two numbers each) that may be broadcast: some 4 MB.
 BROADCAST_ROWS = 100_000
-#: Shingles of a group beyond which it is confirmed pair by pair; share of all links from which a centre of a star counts as large.
-GROUP_SHINGLES, LARGE_STAR = 4_000_000, 0.001
+#: Half of the nodes of a job; shingles of a group beyond which it is confirmed pair by pair; share of all links from which a centre of a star counts as large.
+JOB, GROUP_SHINGLES, LARGE_STAR = 128, 4_000_000, 0.001
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ def plausible(percent: int) -> int:
 
 
 def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """job, node, comp: classes of nodes whose sketches may be linked across components; one job for the same class from any tree. Of a class with many shingles each such pair is a job."""
+    """job, node, comp: classes of nodes whose sketches may be linked across components; one job for the same class from any tree. A large class is several jobs, and of one with many shingles each such pair is a job."""
     enough = plausible(percent)
 
     def run(batches):
@@ -307,6 +307,13 @@ def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> Data
                         if root[i] == r:
                             jobs += [xxh3_64_intdigest(node[[i, j]].tobytes()) - (1 << 63)] * 2
                             who += [i, j]
+                elif len(own) > 2 * JOB:  # blocks of it, two by two where a pair asks for it
+                    block = np.zeros(len(node), np.int64)
+                    block[own] = np.arange(len(own)) // JOB
+                    for p, q in sorted({(block[i], block[j]) for i, j in pairs if root[i] == r}):
+                        both = own[(block[own] == p) | (block[own] == q)]
+                        jobs += [xxh3_64_intdigest(node[both].tobytes()) - (1 << 63)] * len(both)
+                        who += both.tolist()
                 elif len(own) > 1:
                     jobs += [xxh3_64_intdigest(node[own].tobytes()) - (1 << 63)] * len(own)
                     who += own.tolist()
