@@ -149,18 +149,14 @@ for _m in V.METRICS:
     _short = {"dot_product": "dot"}.get(_m, _m)
     query(f"knn_exact_{_short}", f"with {knn_sql(_m)} select query_id, rank, neighbor_id, distance from {_m}_k")(lambda spark, d, m=_m: neighbours(spark, d, m))
 
-# Vectors moved by a common offset and shrunk: a product of matrices alone gets their distances wrong.
-def shifted(spark: SparkSession, d: str, metric: str) -> DataFrame:
+@query("knn_shifted_l2", f"with {knn_sql('l2')} select query_id, rank, neighbor_id, round(distance, 6) as distance from l2_k".replace("embedding::double[] as v", "list_transform(embedding, lambda x: x::double / 64 + 4096) as v"))
+def knn_shifted_l2(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors moved by a common offset and shrunk: a product of matrices alone gets their distances wrong."""
     move = lambda df: df.withColumn("embedding", F.transform(V.doubles("embedding"), lambda x: x / 64 + 4096))
     q, e = (move(df) for df in vectors(spark, d))
-    return N.exact_neighbours(q, e, K_NEAREST, metric, query_id="query_id", index_id="neighbor_id")
+    return N.exact_neighbours(q, e, K_NEAREST, "l2", query_id="query_id", index_id="neighbor_id").withColumn("distance", F.round("distance", 6))
 
 
-for _m in ("l2", "dot_product"):
-    _short = {"dot_product": "dot"}.get(_m, _m)
-    _sql = knn_sql(_m).replace("embedding::double[] as v", "list_transform(embedding, lambda x: x::double / 64 + 4096) as v")
-    query(f"knn_shifted_{_short}", f"with {_sql} select query_id, rank, neighbor_id, round(distance, 6) as distance from {_m}_k")(lambda spark, d, m=_m: shifted(spark, d, m).withColumn("distance", F.round("distance", 6)))
-
 query("knn_unique_neighbor_ids", f"with {knn_sql('cosine')} select distinct neighbor_id from cosine_k")(lambda spark, d: N.unique_ids(neighbours(spark, d), index_id="neighbor_id"))
 _l2 = "l2_d" + knn_sql("l2").split(",\nl2_d", 1)[1]
 query("match_concat", f"with {knn_sql('cosine')},\n{_l2} select query_id, rank, neighbor_id, distance from cosine_k union all select query_id, rank, neighbor_id, distance from l2_k")(lambda spark, d: N.concatenated(neighbours(spark, d), neighbours(spark, d, "l2")))
