@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, lm, mixing, neardup, tokens, topk, toxicity, urls, warc
+from . import audit, chat, decontaminate, lm, mixing, neardup, spelling, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op10_top_k": topk.op10_top_k,
     "op12_filter_audit": audit.op12_filter_audit,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLE_SQL = {
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op9_mix": mixing.SQL,
     "op10_top_k": topk.SQL,
     "op12_filter_audit": audit.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
