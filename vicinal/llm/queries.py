@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, lm, mixing, neardup, spelling, tokens, topk, toxicity, urls, warc
+from . import audit, chat, decontaminate, licenses, lm, mixing, neardup, spelling, tokens, topk, toxicity, urls, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_count": tokens.op8_token_count,
     "op9_mix": mixing.op9_mix,
     "op10_top_k": topk.op10_top_k,
+    "op11_license_scan": licenses.op11_license_scan,
     "op12_filter_audit": audit.op12_filter_audit,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -27,6 +28,7 @@ ORACLE_SQL = {
     "op7_warc": warc.SQL,
     "op9_mix": mixing.SQL,
     "op10_top_k": topk.SQL,
+    "op11_license_scan": licenses.SQL,
     "op12_filter_audit": audit.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
