@@ -35,7 +35,7 @@ ROUNDING = 1.1e-9
 
 @dataclass(frozen=True)
 class IndexSettings:
-    """A vector index, checked when it is made. VAMANA is served exactly; memory_budget is accepted and has no effect."""
+    """A vector index, checked when it is made. VAMANA is served through graphs or exactly; memory_budget is accepted and has no effect."""
 
     index_uri: str
     embedding_dimension: int
@@ -293,8 +293,8 @@ def probed_neighbours(queries: DataFrame, index: DataFrame, centroids: DataFrame
     return ranked(found.select(F.col("q").alias(query_id), F.col("n").alias(index_id), F.col("d").alias("distance")), k, query_id=query_id, index_id=index_id)
 
 
-def search(queries: DataFrame, index: DataFrame, settings: IndexSettings, centroids: DataFrame | Centroids | None = None, **columns: str) -> DataFrame:
-    """Neighbours as the settings ask for."""
+def search(queries: DataFrame, index: DataFrame, settings: IndexSettings, centroids: DataFrame | Centroids | None = None, graphs: DataFrame | None = None, **columns: str) -> DataFrame:
+    """Neighbours as the settings ask for. A VAMANA index is searched through its graphs (graph.py) where they are given, else exactly."""
     vector = columns.get("query_vector", "embedding")
     if not queries.filter(F.coalesce(F.size(vector), F.lit(-1)) != settings.embedding_dimension).isEmpty():
         raise SearchError(f"queries must have {settings.embedding_dimension} components")
@@ -302,6 +302,11 @@ def search(queries: DataFrame, index: DataFrame, settings: IndexSettings, centro
         if centroids is None:
             raise IndexConfigurationError("IVF_FLAT needs centroids")
         return probed_neighbours(queries, index, centroids, settings.num_neighbors, settings.nprobe, settings.distance_metric, **columns)
+    if settings.index_type == "VAMANA" and graphs is not None:
+        from .graph import graph_neighbours  # which needs this module
+
+        own = {k: v for k, v in columns.items() if k != "index_vector"}
+        return graph_neighbours(queries, graphs, settings.num_neighbors, settings.l_search, settings.distance_metric, **own)
     return exact_neighbours(queries, index, settings.num_neighbors, settings.distance_metric, dimension=settings.embedding_dimension, **columns)
 
 
