@@ -27,6 +27,7 @@ from ..operators import index_build as I
 from ..operators import lookup as L
 from ..operators import ontology as O
 from ..operators import search as N
+from ..sources import matrix as X
 from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.shared import new_path, staged
@@ -356,6 +357,24 @@ def densified_matrix(spark: SparkSession, d: str) -> DataFrame:
     return R.densified(cells, 8).select("query_cell_id", *(F.col("x")[i].cast("double").alias(f"x{i}") for i in range(8)))
 
 
+def order_matrix(spark: SparkSession, d: str, layout: str) -> str:
+    """Orders as rows and line numbers as features of a sparse matrix in the shared folder."""
+    path = new_path(spark, "matrix")
+    cells = R.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("query_cell_id"), F.col("l_linenumber").cast("int").alias("i")).agg(F.max("l_quantity").cast("float").alias("q"))
+    rows = cells.groupBy("query_cell_id").agg(F.array_sort(F.collect_list(F.struct("i", "q"))).alias("held"), F.sum("q").cast("float").alias("total_mrna_umis"))
+    X.write_matrix(rows.select("query_cell_id", "total_mrna_umis", F.col("held.i").alias("feature_indices"), F.col("held.q").alias("feature_values")), path, layout=layout, width=8, rowsPerPart=4000)
+    return path
+
+
+for _name, _layout in (("sparse_matrix_rows", "csr"), ("sparse_matrix_columns", "csc")):
+
+    @query(_name, "with c as (select l_orderkey as id, l_linenumber as i, max(l_quantity) as q from lineitem group by 1, 2) select id as query_cell_id, sum(q)::float::double as total, " + ", ".join(f"coalesce(max(q) filter (where i = {i}), 0)::float::double as x{i}" for i in range(8)) + " from c group by id")
+    def sparse_matrix(spark: SparkSession, d: str, layout: str = _layout) -> DataFrame:
+        """Read again as dense rows, in ranges of a part."""
+        rows = R.checked_matrix(X.read_matrix(spark, order_matrix(spark, d, layout), ["query_cell_id", "total_mrna_umis", "x"], rowsPerPartition=1500))
+        return rows.select("query_cell_id", F.col("total_mrna_umis").cast("double").alias("total"), *(F.col("x")[i].cast("double").alias(f"x{i}") for i in range(8)))
+
+
 @query("activity_log_appended", f"with a as (select user_id, event_id from events where user_id is not null) select user_id, cast(count(*) as bigint) as started, cast(sum(case when event_id % 3 = 0 then 1 else 0 end) as bigint) as failed from a group by user_id")
 def activity_log_appended(spark: SparkSession, d: str) -> DataFrame:
     """Two writes to a log, read again."""
