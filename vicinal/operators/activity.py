@@ -5,12 +5,16 @@ Usage is one pass over the log: requests are pre-aggregated by user and request,
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import QuotaExceeded
 from ..functions.scalars import in_week_of, trace_id
-from ..sources.shared import file_system
+from ..sources.shared import file_system, staged
 
 INCREASED_QUOTA = 200_000
 
@@ -83,6 +87,47 @@ def admitted(requests: DataFrame, left: DataFrame) -> DataFrame:
     return requests.join(left, "user_id").withColumn("admitted", F.col("cell_count") <= F.col("remaining"))
 
 
+def admitted_in_order(requests: DataFrame, left: DataFrame, *, order: Sequence[str], cells: str = "cell_count") -> DataFrame:
+    """Requests with `remaining` (what the user had before all of them) and `admitted`: whether they fit into what those admitted before them leave.
+
+    left: user_id, remaining, a row a user; requests of other users are left out, as are those without a user. A request of null, NaN or
+    fewer than 0 cells is never admitted. Requests that tie in `order` may come either way, so give columns that tell them apart.
+
+    Users whose requests fit together, and requests that are larger than all there was, need no order and stay in their tasks. The others
+    are sorted by user and time, a sort that spills, and pass through as a stream: a task holds one number, what the present user has left.
+    """
+    own = {c.lower() for c in requests.columns} & {"remaining", "admitted"}
+    if own:
+        raise ValueError(f"requests have columns of the names {sorted(own)}")
+    asked = F.col(cells).cast("double")
+    fair = F.coalesce((asked >= 0) & ~F.isnan(asked), F.lit(False))
+    wanted = requests.groupBy(F.col("user_id").alias("of")).agg(F.sum(F.when(fair, asked)).alias("__wanted"))
+    users = left.select(F.col("user_id").alias("of"), "remaining").join(wanted, "of").select(F.col("of").alias("__of"), "remaining", "__wanted")
+    met = requests.join(users, F.col("user_id") == F.col("__of")).drop("__of")
+    # Sums may differ in their last digits by order; what is that near goes the long way.
+    spare = F.col("__wanted") * (1 + 1e-9) <= F.col("remaining")
+    alone = fair & (asked <= F.col("remaining"))
+    held = staged(met.withColumn("__way", F.when(~F.coalesce(alone, F.lit(False)), 0).when(F.coalesce(spare, F.lit(False)), 1).otherwise(2)).drop("__wanted"), "requests")
+    easy = held.filter("__way < 2").withColumn("admitted", F.col("__way") == 1).drop("__way")
+    hard = held.filter("__way = 2").drop("__way")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, rest = None, 0.0
+        for b in batches:
+            out = np.zeros(b.num_rows, bool)
+            names, first, sizes = b.column("user_id").to_pylist(), b.column("remaining").to_pylist(), b.column(cells).to_pylist()
+            for k, (u, c) in enumerate(zip(names, sizes, strict=True)):
+                if u != user:
+                    user, rest = u, first[k]
+                if c <= rest:
+                    rest -= c
+                    out[k] = True
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, "admitted"])
+
+    sorted_ = hard.repartition("user_id").sortWithinPartitions("user_id", *order)
+    return easy.unionByName(sorted_.mapInArrow(fold, easy.schema))
+
+
 def require_quota(requests: DataFrame, left: DataFrame) -> DataFrame:
     got = admitted(requests, left)
     if not got.filter("not admitted").isEmpty():
@@ -96,6 +141,18 @@ def increased_once(users: DataFrame, who: Column) -> DataFrame:
     return users.withColumns({"lifetime_cell_quota": F.when(now, F.lit(INCREASED_QUOTA)).otherwise(F.col("lifetime_cell_quota")), "quota_increased": F.col("quota_increased") | now})
 
 
+def request_status_with_timeout(activity: DataFrame, timeout: Column, now: Column) -> DataFrame:
+    """Like request_status(), where a request that has started and not ended within `timeout` has FAILED once `now` is past that time."""
+    ended = F.col("event").isin("FAILED", "SUCCEEDED")
+    by = activity.filter("request_id is not null").groupBy("request_id").agg(
+        F.min(F.when(F.col("event") == "STARTED", F.col("finished_time"))).alias("start"), F.min(F.when(ended, F.col("finished_time"))).alias("end"),
+        F.bool_or(F.col("event") == "FAILED").alias("failed"), F.bool_or(F.col("event") == "SUCCEEDED").alias("succeeded"), F.max("cell_count").alias("cell_count"), F.count(F.lit(1)).alias("n_rows"),
+    )
+    late = F.coalesce(F.col("end"), now) > F.col("start") + timeout
+    status = F.when(F.coalesce("failed", F.lit(False)) | F.coalesce(late, F.lit(False)), "FAILED").when(F.col("succeeded"), "SUCCEEDED").otherwise("STARTED")
+    return by.select("request_id", status.alias("status"), "cell_count", "n_rows")
+
+
 def request_status(activity: DataFrame) -> DataFrame:
     """Per request: FAILED if any row failed, else SUCCEEDED if any did, else STARTED; and its cells."""
     return activity.filter("request_id is not null").groupBy("request_id").agg(

@@ -6,6 +6,7 @@ form a tree with parent (label - 1) // 2, labels 8 and 9 are unknown terms; `eve
 
 from __future__ import annotations
 
+import datetime
 import functools
 import uuid
 from collections.abc import Callable
@@ -31,6 +32,7 @@ from ..sources import matrix as X
 from ..sources import readers as R
 from ..sources import writers as W
 from ..sources.shared import new_path, staged
+from ..streaming.lifecycle import lifecycle_stream, statuses
 from ..streaming.upsert import current, upsert_stream
 from . import templates as T
 
@@ -453,6 +455,52 @@ def quota_admission(spark: SparkSession, d: str) -> DataFrame:
     return A.admitted(asked, left).select("user_id", "cell_count", "admitted")
 
 
+IN_ORDER_SQL = f"""with recursive {USAGE_SQL.format(start=ANCHORED)},
+lf2 as (select user_id, round({REMAINING}, 6)::double as remaining from u join us using (user_id) join lf using (user_id)),
+rq2 as materialized (select user_id, event_id, value as cells, row_number() over (partition by user_id order by ts, event_id) as n from events where user_id is not null),
+fold(user_id, n, event_id, admitted, rest) as (
+  select user_id, 0::bigint, null::bigint, false, remaining from lf2
+  union all select f.user_id, r.n, r.event_id, coalesce(r.cells >= 0 and r.cells <= f.rest, false), case when r.cells >= 0 and r.cells <= f.rest then f.rest - r.cells else f.rest end
+  from fold f join rq2 r on r.user_id = f.user_id and r.n = f.n + 1)
+select event_id, user_id, admitted from fold where n > 0"""
+
+
+@query("quota_admission_in_order", IN_ORDER_SQL)
+def quota_admission_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """Events as requests, in order of time: each against what those admitted before it have left."""
+    left = report(spark, d).select("user_id", F.round("remaining_weekly_quota", 6).alias("remaining"))
+    asked = R.table(spark, d, "events").select("event_id", "user_id", "ts", F.col("value").alias("cell_count"))
+    return A.admitted_in_order(asked, left, order=["ts", "event_id"]).select("event_id", "user_id", "admitted")
+
+
+LIFECYCLE_SQL = """with a as (
+  select user_id || '-' || (props->>'$.k') as request_id, value as cell_count, ts, case event_type when 'error' then 'FAILED' when 'purchase' then 'SUCCEEDED' else 'STARTED' end as event from events),
+b as (
+  select request_id, min(ts) filter (event = 'STARTED') as start, min(ts) filter (event <> 'STARTED') as stop, bool_or(event = 'FAILED') as failed, bool_or(event = 'SUCCEEDED') as succeeded, max(cell_count) as cell_count, count(*) as n_rows
+  from a where request_id is not null group by request_id),
+n as (select max(ts) as now from a where request_id is not null)
+select request_id, case when failed or coalesce(coalesce(stop, now) > start + interval 6 hour, false) then 'FAILED' when succeeded then 'SUCCEEDED' else 'STARTED' end as status, cell_count, n_rows from b, n"""
+
+
+def request_log(spark: SparkSession, d: str) -> DataFrame:
+    rows = log(spark, d)[0]
+    return rows.filter("user_id is not null and request_id is not null").select(F.concat_ws("-", "user_id", "request_id").alias("request_id"), "event", "cell_count", "finished_time")
+
+
+@query("request_lifecycle_stream", LIFECYCLE_SQL)
+def request_lifecycle_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The log in four files in order of time, through the stream; a request without an end has failed after six hours."""
+    at = new_path(spark, "lifecycle")
+    rows = request_log(spark, d)
+    edges = rows.select(F.percentile_approx(F.unix_micros(F.col("finished_time").cast("timestamp")), [0.25, 0.5, 0.75, 1.0]).alias("e")).first().e
+    quarter = F.size(F.filter(F.lit(edges[:3]), lambda x: x < F.unix_micros(F.col("finished_time").cast("timestamp"))))
+    for k in range(4):
+        rows.filter(quarter == k).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    lifecycle_stream(spark, f"{at}/in", rows.schema, f"{at}/out", f"{at}/state", timeout=datetime.timedelta(hours=6), keep=datetime.timedelta(days=3650), chunk=1).awaitTermination()
+    return statuses(spark, f"{at}/out")
+
+
+query("request_status_with_timeout", LIFECYCLE_SQL)(lambda spark, d: A.request_status_with_timeout(request_log(spark, d), F.expr("interval 6 hours"), F.lit(request_log(spark, d).agg(F.max("finished_time")).first()[0])))
 query("quota_reset_date", f"with {ACTIVITY_SQL}, x as (select user_id, isodow(timestamp '{NOW}') - isodow(created_at) as n from u) select user_id, cast(cast(timestamp '{NOW}' as date) + cast(case when n <= 0 then n + 7 else n end as integer) as timestamp) as quota_reset_date from x")(lambda spark, d: report(spark, d).select("user_id", "quota_reset_date"))
 query("request_lifecycle_status", f"with {ACTIVITY_SQL} select request_id, case when bool_or(event = 'FAILED') then 'FAILED' when bool_or(event = 'SUCCEEDED') then 'SUCCEEDED' else 'STARTED' end as status, max(cell_count) as cell_count, count(*) as n_rows from a where request_id is not null group by request_id")(lambda spark, d: A.request_status(log(spark, d)[0]))
 

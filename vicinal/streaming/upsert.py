@@ -23,8 +23,8 @@ def folders(spark: SparkSession, path: str, kind: str) -> list[int]:
     return sorted(n for n in found if fs.exists(file_system(spark, f"{path}/{kind}={n}/_SUCCESS")[1]))
 
 
-def current(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts") -> DataFrame | None:
-    """The newest compacted folder and the deltas behind it, the last write of each id."""
+def current(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts", by_turn: bool = False) -> DataFrame | None:
+    """The newest compacted folder and the deltas behind it, the last write of each id. by_turn: a later delta counts whatever `order` says."""
     base = folders(spark, path, "base")
     deltas = [n for n in folders(spark, path, "delta") if not base or n > base[-1]]
     parts = [f"{path}/base={base[-1]}"] if base else []
@@ -34,19 +34,20 @@ def current(spark: SparkSession, path: str, *, id_col: str = "id", order: str =
         return spark.read.parquet(*parts)
     held = [(spark.read.parquet(p), -1) for p in parts] + [(spark.read.parquet(f"{path}/delta={n}"), n) for n in deltas]
     names = held[0][0].columns
-    turned = [df.withColumn(order, F.struct(F.col(order).alias("time"), F.lit(n).alias("turn"))) for df, n in held]
+    turned_by = lambda time, turn: (turn, time) if by_turn else (time, turn)
+    turned = [df.withColumn(order, F.struct(*turned_by(F.col(order).alias("time"), F.lit(n).alias("turn")))) for df, n in held]
     rows = turned[0]
     for df in turned[1:]:
         rows = rows.unionByName(df)
     return latest(rows, id_col=id_col, order=order).withColumn(order, F.col(order)["time"]).select(*names)
 
 
-def compacted(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts") -> None:
+def compacted(spark: SparkSession, path: str, *, id_col: str = "id", order: str = "ts", by_turn: bool = False) -> None:
     """Fold all deltas into one folder, which counts once it is written; then what it replaces goes."""
     deltas, base = folders(spark, path, "delta"), folders(spark, path, "base")
     if not deltas or base and base[-1] >= deltas[-1]:
         return
-    current(spark, path, id_col=id_col, order=order).write.mode("overwrite").parquet(f"{path}/base={deltas[-1]}")
+    current(spark, path, id_col=id_col, order=order, by_turn=by_turn).write.mode("overwrite").parquet(f"{path}/base={deltas[-1]}")
     for kind, numbers in (("delta", deltas), ("base", base)):
         for n in numbers:
             remove(spark, f"{path}/{kind}={n}")
