@@ -258,6 +258,25 @@ def nearest_partitions(q: np.ndarray, centroids: Centroids, nprobe: int, metric:
     return [[n for _, n in best] for best in search.best]
 
 
+def probed_scan(rows: DataFrame, sent: Broadcast, metric: str, k: int, kind: str) -> DataFrame:
+    """q, n, d of the k nearest rows (part, id, v) a task, of what each query probes. sent: the queries' names, their vectors, and for each partition the places of those that probe it."""
+
+    def nearest(batches):
+        names, q, probes = sent.value
+        search = Nearest(metric, q, k)
+        for b in batches:
+            ok, m = arrays(b, q.shape[1] if len(q) else None)
+            ids, of = b.column("id").to_numpy()[ok], b.column("part").to_numpy()[ok]
+            order = np.argsort(of, kind="stable")
+            parts, first = np.unique(of[order], return_index=True)
+            for p, at in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
+                if p in probes:
+                    search.add(ids[at], m[at], probes[p])
+        yield from search.batches(names)
+
+    return rows.mapInArrow(nearest, f"q {kind}, n bigint, d double")
+
+
 def probed_neighbours(queries: DataFrame, index: DataFrame, centroids: DataFrame | Centroids, k: int, nprobe: int, metric: str = "cosine", *, query_id: str = "query_cell_id", query_vector: str = "embedding", index_id: str = "cas_cell_index", index_vector: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """Like exact_neighbours, among the rows of each query's `nprobe` nearest partitions. index has partition_id; of a table that is partitioned by it, only the probed partitions are read."""
     held = centroids if isinstance(centroids, Centroids) else Centroids.read(centroids)
@@ -272,22 +291,8 @@ def probed_neighbours(queries: DataFrame, index: DataFrame, centroids: DataFrame
             for p in found:
                 probes.setdefault(p, []).append(r)
         sent = queries.sparkSession.sparkContext.broadcast((names, q, {p: np.array(r) for p, r in probes.items()}))
-
-        def nearest(batches):
-            names, q, probes = sent.value
-            search = Nearest(metric, q, k)
-            for b in batches:
-                ok, m = arrays(b, q.shape[1] if len(q) else None)
-                ids, of = b.column("id").to_numpy()[ok], b.column("part").to_numpy()[ok]
-                order = np.argsort(of, kind="stable")
-                parts, first = np.unique(of[order], return_index=True)
-                for p, at in zip(parts.tolist(), np.split(order, first[1:]), strict=True):
-                    if p in probes:
-                        search.add(ids[at], m[at], probes[p])
-            yield from search.batches(names)
-
         met = rows if len(probes) == len(held.ids) else rows.filter(F.col("part").isin([*probes]))
-        return met.mapInArrow(nearest, f"q {kind}, n bigint, d double"), sent
+        return probed_scan(met, sent, metric, k, kind), sent
 
     found = _searched(asked, scan, query_block)
     return ranked(found.select(F.col("q").alias(query_id), F.col("n").alias(index_id), F.col("d").alias("distance")), k, query_id=query_id, index_id=index_id)

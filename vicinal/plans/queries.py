@@ -21,6 +21,7 @@ from ..functions import vectors as V
 from ..operators import activity as A
 from ..operators import backfill as B
 from ..operators import catalog as C
+from ..operators import cells as Y
 from ..operators import consensus as K
 from ..operators import embedding as M
 from ..operators import graph as G
@@ -219,6 +220,37 @@ def ivf_partition_assign(spark: SparkSession, d: str) -> DataFrame:
     return I.assigned(e.select("vec_id", "embedding"), I.mean_centroids(e, F.col("label"))).select("vec_id", "partition_id")
 
 
+TWO_LEVEL_SQL = """with e as (select vec_id, label, vec_id % 4 as part, embedding::double[] as v from embeddings),
+p as (select vec_id, label, part, unnest(v) as x, generate_subscripts(v, 1) as pos from e),
+cm as (select label, pos, avg(x) as m from p group by label, pos), c as (select label, list(m order by pos) as qv from cm group by label),
+lm as (select label, part, pos, avg(x) as m from p group by label, part, pos), l as (select label, label * 4 + part as leaf, list(m order by pos) as qv from lm group by label, part),
+a as (select vec_id, v, c.label, row_number() over (partition by vec_id order by round(list_distance(v, qv), 9), c.label) as n from e cross join c),
+b as (select vec_id, leaf, row_number() over (partition by vec_id order by round(list_distance(v, qv), 9), leaf) as n from a join l on l.label = a.label where n = 1)
+select vec_id, cast(leaf as int) as partition_id from b where n = 1"""
+
+
+def two_levels(e: DataFrame) -> DataFrame:
+    """A tree of cells by label, each with four partitions."""
+    cells = I.mean_centroids(e, F.col("label")).select(F.col("partition_id").alias("cell"), F.lit(None).cast("int").alias("partition_id"), "centroid")
+    leaves = I.mean_centroids(e, F.col("label") * 4 + F.col("vec_id") % 4).select(F.floor(F.col("partition_id") / 4).cast("int").alias("cell"), "partition_id", "centroid")
+    return Y.tree_of(cells.unionByName(leaves))
+
+
+@query("two_level_assign", TWO_LEVEL_SQL)
+def two_level_assign(spark: SparkSession, d: str) -> DataFrame:
+    e = R.table(spark, d, "embeddings")
+    return Y.assigned_by_tree(e.select("vec_id", "embedding"), staged(two_levels(e), "tree")).select("vec_id", "partition_id")
+
+
+# Training, assignment, files and two searches of one served index, all of whose partitions are probed: nothing is missed.
+@query("knn_served_all_probes", f"with {knn_sql('l2')} select query_id, rank, neighbor_id, distance from l2_k")
+def knn_served_all_probes(spark: SparkSession, d: str) -> DataFrame:
+    q, e = vectors(spark, d)
+    index = Y.create_served(e, new_path(spark, "served"), 100, id_col="neighbor_id")
+    even, odd = (index.search(q.filter(F.col("query_id") % (2 * EVERY) == r), K_NEAREST, index.leaves, breadth=index.leaves, query_id="query_id", index_id="neighbor_id") for r in (0, EVERY))
+    return even.unionByName(odd)
+
+
 query("ivf_partition_sizes", ASSIGN_SQL + "select c_label as partition_id, count(*) as n from a where n = 1 group by 1")(lambda spark, d: ivf_partition_assign(spark, d).groupBy("partition_id").agg(F.count(F.lit(1)).alias("n")))
 table_query("partition_count_chooser", "orders", "with t as (select o_orderkey, cast(greatest(4096, least(65536, (o_orderkey * 7919) // 1000)) as double) as t from orders), p as (select *, pow(2.0::double, ceil(log2(t))) as a from t) select o_orderkey, cast(case when a - t <= t - a / 2 then a else a / 2 end as bigint) as partitions from p", lambda df: df.select("o_orderkey", S.partition_count(F.col("o_orderkey") * 7919).alias("partitions")))
 table_query("l2_normalize", "embeddings", "with e as (select vec_id, embedding::double[] as v from embeddings), n as (select vec_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) as u from e) select vec_id, round(u[1], 6) as first, round(u[64], 6) as last, round(sqrt(list_dot_product(u, u)), 6) as norm from n", lambda df: I.prepared(df, True).select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[63], 6).alias("last"), F.round(F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm")))
