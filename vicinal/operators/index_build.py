@@ -4,10 +4,17 @@ An index is a folder of versions. A version holds its centroids and its rows by
 are there, which are written last. Updates add files and rewrite nothing; of rows with one id the latest update counts. Consolidation
 writes a version anew, with centroids trained on it, and then removes the older ones. Each step overwrites its own folder, so a
 step that failed is simply run again.
+
+A build keeps a log in its version: an entry for the training and for each finished update, put in place by a rename, with a
+fingerprint of the batches and settings. A build of the same batches and settings that finds such a log goes on behind its last entry;
+with other ones it begins anew. Publishing the centroids ends the build, and the log goes with it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -168,7 +175,8 @@ def last_of_batches(rows: DataFrame) -> DataFrame:
 
 def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, sample_size: int = TRAINING_SAMPLE, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, chunk: int = UPDATE_CHUNK) -> None:
     """An index of batches (batch, id, embedding), in order of batch: trained and created on the first whole batches that make the
-    sample, updated by the others `chunk` at a time, and consolidated if there were any. What was at the path goes when the new version is complete."""
+    sample, updated by the others `chunk` at a time, and consolidated if there were any. What was at the path goes when the new version is
+    complete. A build that failed goes on where it stopped when it is called again."""
     spark, kind = batches.sparkSession, build_metric(metric)
     before = versions(spark, path)
     version = before[-1] + 1 if before else 0
@@ -177,14 +185,25 @@ def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normal
     used = staged(training_batches(sizes, sample_size), "used")
     n_used, n_rows, last = used.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0)), F.max("batch")).first()
     rest = [r.batch for r in sizes.filter(F.col("batch") > F.lit(last)).orderBy("batch").collect()] if n_used else []  # names of files
-    first = staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
     n = partitions or partition_number(estimated_total(n_rows, n_used, n_used + len(rest)), max_partitions)
-    centroids = trained_centroids(first, n)
-    write_update(first, centroids, path, version, 0, kind)
+    log = BuildLog(spark, f"{path}/version={version}", sizes, (kind, normalise, n, sample_size, chunk))
+    first = None
+    if not log.done("trained"):
+        first = staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
+        trained_centroids(first, n).coalesce(1).write.mode("overwrite").parquet(log.centroids)
+        log.add("trained")
+    centroids = spark.read.parquet(log.centroids)
+    if not log.done("update-0"):
+        first = first or staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
+        write_update(first, centroids, path, version, 0, kind)
+        log.add("update-0")
     for k in range(0, len(rest), chunk):
-        own = ready.filter((F.col("batch") >= F.lit(rest[k])) & (F.col("batch") <= F.lit(rest[min(k + chunk, len(rest)) - 1])))
-        write_update(last_of_batches(own), centroids, path, version, k // chunk + 1, kind)
+        if not log.done(f"update-{k // chunk + 1}"):
+            own = ready.filter((F.col("batch") >= F.lit(rest[k])) & (F.col("batch") <= F.lit(rest[min(k + chunk, len(rest)) - 1])))
+            write_update(last_of_batches(own), centroids, path, version, k // chunk + 1, kind)
+            log.add(f"update-{k // chunk + 1}")
     centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/centroids")
+    log.close()
     discard(first, used, sizes)
     if rest:
         consolidate(spark, path, metric=metric, sample_size=sample_size, partitions=n)
@@ -192,6 +211,37 @@ def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normal
         vacuum(spark, path)
 
 
+class BuildLog:
+    """The finished steps of a build, as files in its version. What was written under another fingerprint goes when the log is opened."""
+
+    def __init__(self, spark: SparkSession, version: str, sizes: DataFrame, settings: tuple):
+        self.spark, self.path, self.centroids = spark, f"{version}/build", f"{version}/build/centroids"
+        # Order does not matter to a sum; one row comes back however many batches there are.
+        batches = sizes.agg(F.count(F.lit(1)), F.sum(F.xxhash64("batch", "n_rows").cast("decimal(38,0)"))).first()
+        self.mark = hashlib.sha256(json.dumps([[str(x) for x in batches], [str(x) for x in settings]]).encode()).hexdigest()[:16]
+        fs, at = file_system(spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        if not any(n.endswith(f".{self.mark}") for n in names):
+            remove(spark, version)
+
+    def _entry(self, step: str):
+        return file_system(self.spark, f"{self.path}/{step}.{self.mark}")
+
+    def done(self, step: str) -> bool:
+        fs, at = self._entry(step)
+        return fs.exists(at)
+
+    def add(self, step: str) -> None:
+        fs, at = self._entry(step)
+        half = at.suffix(".half")
+        fs.create(half, True).close()
+        if not fs.rename(half, at):
+            raise IndexConfigurationError(f"the step {step} could not be entered in {self.path}")
+
+    def close(self) -> None:
+        remove(self.spark, self.path)
+
+
 def consolidate(spark: SparkSession, path: str, *, metric: str = "COSINE", sample_size: int = TRAINING_SAMPLE, partitions: int | None = None) -> None:
     """A new version: the last write of each id, centroids trained on a sample of them, one update; then the older versions go."""
     rows, before = read_index(spark, path)
