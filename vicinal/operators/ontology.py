@@ -1,16 +1,18 @@
 """Ontology graphs as edges (parent, child): closure, children, path lengths, and the document made of them.
 
-Closures and paths grow level by level: a level is one join of the newest pairs with the edges, and only new pairs go on. So a dense
-graph costs its pairs and not its paths, and no recursion limit applies. Levels are staged in the shared folder.
+Closures and paths grow by doubling: beside the pairs that a route of fewer than 2^k edges joins, those that one of exactly 2^k edges
+joins are kept, and both are put together to what fewer than 2^(k+1) join. So a chain of thousands of terms takes a dozen rounds, and pairs
+are made distinct in each, for a dense graph to cost its pairs and not its paths. Rounds are staged in the shared folder, and what the
+next one replaces goes; what a round found is observed while it is written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..errors import OntologyError
-from ..sources.shared import staged
+from ..sources.shared import discard, staged
 
 ROOT = "CL:0000000"
 
@@ -22,20 +24,37 @@ def edges_of(classes: DataFrame, parents: DataFrame, children: DataFrame) -> Dat
     return both.join(known, F.col("parent") == F.col("term"), "left_semi").join(known, F.col("child") == F.col("term"), "left_semi")
 
 
-def closure(edges: DataFrame, *, most_levels: int = 10_000) -> DataFrame:
+def _observed(df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """df (term, ancestor, ...) staged, the number of its rows, and of those whose term is its own ancestor."""
+    seen = Observation()
+    out = staged(df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col("term") == F.col("ancestor")).alias("loops")), name)
+    return out, seen.get["n"], seen.get["loops"]
+
+
+def _doubled(exact: DataFrame) -> DataFrame:
+    """From pairs that a route of n edges joins, those that one of 2n edges joins."""
+    ahead = exact.select(F.col("term").alias("via"), F.col("ancestor").alias("beyond"))
+    return exact.join(ahead, F.col("ancestor") == F.col("via")).select("term", F.col("beyond").alias("ancestor")).distinct()
+
+
+def closure(edges: DataFrame) -> DataFrame:
     """term, ancestor: all pairs, without the term itself. A term that is its own ancestor is a cycle and an error."""
-    steps = edges.select(F.col("child").alias("step_child"), F.col("parent").alias("step_parent"))
-    new = staged(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "closure")
-    found = new
-    for _ in range(most_levels):
-        if not new.filter(F.col("term") == F.col("ancestor")).isEmpty():
-            raise OntologyError("the graph has a cycle")
-        met = new.join(steps, F.col("ancestor") == F.col("step_child")).select("term", F.col("step_parent").alias("ancestor")).distinct()
-        new = staged(met.join(found, ["term", "ancestor"], "left_anti"), "closure")
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-    raise OntologyError("the graph is too deep")
+    exact, n, loops = _observed(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "exact")
+    found = exact
+    while n and not loops:
+        twice, n, loops = _observed(_doubled(exact), "exact")
+        if n and not loops:
+            # What 2^k to 2^(k+1) - 1 edges join: exactly 2^k, or fewer and then exactly 2^k.
+            beyond = twice.select(F.col("term").alias("via"), F.col("ancestor").alias("beyond"))
+            longer = found.join(beyond, F.col("ancestor") == F.col("via")).select("term", F.col("beyond").alias("ancestor"))
+            after, _, loops = _observed(found.unionByName(twice).unionByName(longer).distinct(), "closure")
+            discard(found, exact)
+            found = after
+        exact = twice
+    if loops:
+        raise OntologyError("the graph has a cycle")
+    discard(exact if exact is not found else None)
+    return found
 
 
 def with_self(terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -54,48 +73,52 @@ def children(terms: DataFrame, edges: DataFrame) -> DataFrame:
     return terms.select("term").join(of, "term", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
 
 
+def _lengths(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, bool]:
+    """term, shortest, longest: the fewest and most edges of a route from a start (term); and whether routes go on without end.
+
+    A term's row after a round is about routes of fewer than 2^k edges. Rounds end when no route has 2^k edges, or 2^k is the number of
+    terms, which no route without a cycle reaches."""
+    most = edges.select(F.col("parent").alias("t")).union(edges.select("child")).distinct().count()
+    exact, n, _ = _observed(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct(), "exact")
+    now, step = staged(starts.select("term", F.lit(0).alias("shortest"), F.lit(0).alias("longest")).distinct(), "lengths"), 1
+    while n and step < max(2, 2 * most):
+        on = exact.join(now.withColumnRenamed("term", "via"), F.col("ancestor") == F.col("via")).select("term", (F.col("shortest") + step).alias("shortest"), (F.col("longest") + step).alias("longest"))
+        after = staged(now.unionByName(on).groupBy("term").agg(F.min("shortest").alias("shortest"), F.max("longest").alias("longest")), "lengths")
+        twice, n, _ = _observed(_doubled(exact), "exact")
+        discard(now, exact)
+        now, exact, step = after, twice, 2 * step
+    discard(exact)
+    return now, n > 0
+
+
+def _start(edges: DataFrame, root) -> DataFrame:
+    return edges.sparkSession.range(1).select(F.lit(root).cast(edges.schema["parent"].dataType).alias("term"))
+
+
 def shortest_paths(edges: DataFrame, root: str = ROOT) -> DataFrame:
-    """term and the fewest edges from the root; what it doesn't reach is absent."""
-    spark = edges.sparkSession
-    new = spark.range(1).select(F.lit(root).cast(edges.schema["parent"].dataType).alias("term"), F.lit(0).alias("length"))
-    found, length = new, 0
-    while True:
-        length += 1
-        met = new.join(edges, F.col("term") == F.col("parent")).select(F.col("child").alias("term")).distinct()
-        new = staged(met.join(found, "term", "left_anti").withColumn("length", F.lit(length)), "shortest")
-        if new.isEmpty():
-            return found
-        found = found.unionByName(new)
+    """term and the fewest edges from the root; what it doesn't reach is absent. Cycles do no harm."""
+    return _lengths(edges, _start(edges, root))[0].select("term", F.col("shortest").alias("length"))
 
 
 def longest_paths(edges: DataFrame, root: str = ROOT) -> DataFrame:
-    """term and the most edges from the root. Level n holds what some route of n edges reaches; the last level of a term counts."""
-    spark = edges.sparkSession
-    most = edges.select(F.col("parent").alias("t")).union(edges.select("child")).distinct().count()
-    new = spark.range(1).select(F.lit(root).cast(edges.schema["parent"].dataType).alias("term"), F.lit(0).alias("length"))
-    found = new
-    for length in range(1, most + 2):
-        new = staged(new.join(edges, F.col("term") == F.col("parent")).select(F.col("child").alias("term")).distinct().withColumn("length", F.lit(length)), "longest")
-        if new.isEmpty():
-            return found.groupBy("term").agg(F.max("length").alias("length"))
-        found = found.unionByName(new)
-    raise OntologyError("the graph has a cycle")
+    """term and the most edges from the root; what it doesn't reach is absent. A cycle that the root reaches is an error, others do no harm."""
+    found, endless = _lengths(edges, _start(edges, root))
+    if endless:  # is it the root's?
+        own = staged(edges.join(found, F.col("parent") == F.col("term"), "left_semi"), "edges")
+        discard(found)
+        found, endless = _lengths(own, _start(edges, root))
+        if endless:
+            raise OntologyError("the graph has a cycle")
+    return found.select("term", F.col("longest").alias("length"))
 
 
 def topological(edges: DataFrame) -> DataFrame:
     """term and depth, the most edges from any term without parents: in order of depth, and then of term, parents come before children."""
     every = edges.select(F.col("parent").alias("term")).union(edges.select("child")).distinct()
-    most, children_of = every.count(), edges.select(F.col("child").alias("term")).distinct()
-    found = new = staged(every.join(children_of, "term", "left_anti").withColumn("depth", F.lit(0)), "topological")
-    for depth in range(1, most + 1):
-        new = staged(new.join(edges, F.col("term") == F.col("parent")).select(F.col("child").alias("term")).distinct().withColumn("depth", F.lit(depth)), "topological")
-        if new.isEmpty():
-            break
-        found = found.unionByName(new)
-    out = found.groupBy("term").agg(F.max("depth").alias("depth"))
-    if not new.isEmpty() and most or out.count() < most:
+    found, endless = _lengths(edges, every.join(edges.select(F.col("child").alias("term")), "term", "left_anti"))
+    if endless:
         raise OntologyError("the graph has a cycle")
-    return out.orderBy("depth", "term")
+    return found.select("term", F.col("longest").alias("depth")).orderBy("depth", "term")
 
 
 def resource(terms: DataFrame, edges: DataFrame, root: str = ROOT) -> DataFrame:

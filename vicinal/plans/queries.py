@@ -327,39 +327,55 @@ def consensus_totals(spark: SparkSession, d: str) -> DataFrame:
 
 # Ontology
 
-@query("ontology_ancestors", f"with recursive {TREE_SQL} select 'T:' || t.node as term, coalesce(string_agg('T:' || anc, ',' order by 'T:' || anc) filter (where anc <> t.node), '') as ancestors from t join cl on cl.node = t.node group by t.node")
+def customer_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Terms and edges over all customers: the parent of k is k // 8, of every third k // 64 too; where k % 50 = 7 there is none, so that what lies below is out of the root's reach."""
+    c = R.table(spark, d, "customer").filter("c_custkey is not null")
+    name = lambda x: F.concat(F.lit("T:"), F.floor(x).cast("string"))
+    linked = c.filter("c_custkey > 0 and c_custkey % 50 <> 7")
+    own = linked.select(name(F.col("c_custkey") / 8).alias("parent"), name(F.col("c_custkey")).alias("child"))
+    short = linked.filter("c_custkey >= 64 and c_custkey % 3 = 0").select(name(F.col("c_custkey") / 64).alias("parent"), name(F.col("c_custkey")).alias("child"))
+    return c.select(name(F.col("c_custkey")).alias("term"), F.col("c_name").alias("name")), staged(own.unionByName(short), "edges")
+
+
+GRAPH_SQL = """with recursive k as (select c_custkey as k, c_name as name from customer where c_custkey is not null),
+g(parent, child) as (select 'T:' || k // 8, 'T:' || k from k where k > 0 and k % 50 <> 7 union all select 'T:' || k // 64, 'T:' || k from k where k >= 64 and k % 3 = 0 and k % 50 <> 7),
+cl(term, ancestor) as (select child, parent from g union select cl.term, g.parent from cl join g on g.child = cl.ancestor),
+w(term, n) as (select 'T:0', 0 union select g.child, n + 1 from w join g on g.parent = w.term)
+"""
+
+
+@query("ontology_ancestors", GRAPH_SQL + "select 'T:' || k as term, coalesce(string_agg(ancestor, ',' order by ancestor), '') as ancestors from k left join cl on cl.term = 'T:' || k group by k")
 def ontology_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    terms, edges = tree(spark)
+    terms, edges = customer_graph(spark, d)
     return O.ancestors(terms, O.closure(edges)).select("term", F.array_join("ancestors", ",").alias("ancestors"))
 
 
-@query("ontology_children", f"with recursive {TREE_SQL} select 'T:' || p.node as term, coalesce(string_agg('T:' || c.node, ',' order by 'T:' || c.node), '') as children from t p left join t c on c.par = p.node group by p.node")
+@query("ontology_children", GRAPH_SQL + "select 'T:' || k as term, coalesce(string_agg(distinct child, ',' order by child), '') as children from k left join g on parent = 'T:' || k group by k")
 def ontology_children(spark: SparkSession, d: str) -> DataFrame:
-    terms, edges = tree(spark)
+    terms, edges = customer_graph(spark, d)
     return O.children(terms, edges).select("term", F.array_join("children", ",").alias("children"))
 
 
-EXTRA_SQL = """g(parent, child) as (select 'T:' || par, 'T:' || node from t where par is not null union all values ('T:0', 'T:7'), ('T:2', 'T:4'), ('X:1', 'X:2')),
-w(term, n) as (select 'T:0', 0 union all select g.child, n + 1 from w join g on g.parent = w.term)"""
+query("ontology_shortest_path", GRAPH_SQL + "select term, cast(min(n) as integer) as length from w group by term")(lambda spark, d: O.shortest_paths(customer_graph(spark, d)[1], "T:0"))
+query("ontology_longest_path", GRAPH_SQL + "select term, cast(max(n) as integer) as length from w group by term")(lambda spark, d: O.longest_paths(customer_graph(spark, d)[1], "T:0"))
 
 
-def dag(spark: SparkSession) -> DataFrame:
-    """The tree with two short cuts and two terms out of reach."""
-    return tree(spark)[1].unionByName(spark.createDataFrame([("T:0", "T:7"), ("T:2", "T:4"), ("X:1", "X:2")], "parent string, child string"))
+@query("ontology_unreachable", GRAPH_SQL + "select 'T:' || k as term from k where 'T:' || k not in (select term from w)")
+def ontology_unreachable(spark: SparkSession, d: str) -> DataFrame:
+    terms, edges = customer_graph(spark, d)
+    return terms.select("term").join(O.shortest_paths(edges, "T:0"), "term", "left_anti")
 
 
-query("ontology_shortest_path", f"with recursive {TREE_SQL}, {EXTRA_SQL} select term, cast(min(n) as integer) as length from w group by term")(lambda spark, d: O.shortest_paths(dag(spark), "T:0"))
-query("ontology_longest_path", f"with recursive {TREE_SQL}, {EXTRA_SQL} select term, cast(max(n) as integer) as length from w group by term")(lambda spark, d: O.longest_paths(dag(spark), "T:0"))
+query("ontology_topological_depth", GRAPH_SQL.split("cl(term")[0] + "w(term, n) as (select distinct parent, 0 from g where parent not in (select child from g) union select g.child, n + 1 from w join g on g.parent = w.term) select term, cast(max(n) as integer) as depth from w group by term")(lambda spark, d: O.topological(customer_graph(spark, d)[1]))
 
 
-@query("ontology_unreachable", f"with recursive {TREE_SQL}, {EXTRA_SQL} select distinct x as term from (select parent as x from g union all select child from g) where x not in (select term from w)")
-def ontology_unreachable(spark: SparkSession, d: str) -> DataFrame:
-    edges = dag(spark)
-    every = edges.select(F.col("parent").alias("term")).union(edges.select("child")).distinct()
-    return every.join(O.shortest_paths(edges, "T:0"), "term", "left_anti")
+def customer_chains(spark: SparkSession, d: str, length: int) -> DataFrame:
+    """Edges from each customer to the next, in chains of `length`."""
+    return R.table(spark, d, "customer").filter(F.col("c_custkey") % length > 0).select((F.col("c_custkey") - 1).alias("parent"), F.col("c_custkey").alias("child"))
 
 
-query("ontology_topological_depth", f"with recursive {TREE_SQL}, {EXTRA_SQL.split(chr(10), 1)[0]} w(term, n) as (select distinct parent, 0 from g where parent not in (select child from g) union all select g.child, n + 1 from w join g on g.parent = w.term) select term, cast(max(n) as integer) as depth from w group by term")(lambda spark, d: O.topological(dag(spark)))
+query("ontology_closure_of_chains", "select a.c_custkey as term, b.c_custkey as ancestor from customer a join customer b on b.c_custkey < a.c_custkey and b.c_custkey // 300 = a.c_custkey // 300")(lambda spark, d: O.closure(customer_chains(spark, d, 300)))
+query("ontology_depth_of_a_chain", "select c_custkey as term, cast(c_custkey as integer) as depth from customer")(lambda spark, d: O.topological(customer_chains(spark, d, 1 << 62)))
 
 
 def customer_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -420,21 +436,28 @@ def activity_log_appended(spark: SparkSession, d: str) -> DataFrame:
     return A.read_log(spark, path).groupBy("user_id").agg(count("STARTED").alias("started"), count("FAILED").alias("failed"))
 
 
-@query("ontology_resource_json_roundtrip", f"with recursive {TREE_SQL}, {EXTRA_SQL}, a as (select node, string_agg('T:' || anc, ',' order by 'T:' || anc) as x from cl where anc <> node group by node), k as (select par, string_agg('T:' || node, ',' order by 'T:' || node) as x from t where par is not null group by par), l as (select 'T:' || node as term, count(*) - 1 as n from cl group by node) select 'T:' || t.node as term, 'label ' || t.node as name, coalesce(a.x, '') as ancestors, coalesce(k.x, '') as children, cast(l.n as integer) as shortest, cast(l.n as integer) as longest from t left join a on a.node = t.node left join k on k.par = t.node join l on l.term = 'T:' || t.node")
+@query(
+    "ontology_resource_json_roundtrip",
+    GRAPH_SQL
+    + """, a as (select term, string_agg(ancestor, ',' order by ancestor) as x from cl group by term), c as (select parent, string_agg(distinct child, ',' order by child) as x from g group by parent),
+l as (select term, cast(min(n) as integer) as least, cast(max(n) as integer) as most from w group by term)
+select 'T:' || k as term, name, coalesce(a.x, '') as ancestors, coalesce(c.x, '') as children, least as shortest, most as longest from k left join a on a.term = 'T:' || k left join c on parent = 'T:' || k left join l on l.term = 'T:' || k""",
+)
 def ontology_resource_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    terms, edges = tree(spark)
+    terms, edges = customer_graph(spark, d)
     path = new_path(spark, "ontology")
     W.write_document(O.resource(terms, edges, "T:0"), path)
     doc = R.ontology_resource(spark, path)
-    served = O.served(doc).select(F.explode("cl_names").alias("term"), "*")
     names = R.resource_terms(doc).select("term", "name")
     ancestors = R.resource_closure(doc).groupBy("term").agg(F.array_join(F.array_sort(F.collect_list("ancestor")), ",").alias("ancestors"))
-    return served.select(
-        "term",
-        F.array_join(F.col("children_dictionary")[F.col("term")], ",").alias("children"),
-        F.col("shortest_path_lengths_from_cell_root")[F.col("term")].alias("shortest"),
-        F.col("longest_path_lengths_from_cell_root")[F.col("term")].alias("longest"),
-    ).join(names, "term").join(ancestors, "term", "left").withColumn("ancestors", F.coalesce("ancestors", F.lit("")))
+    served = O.served(doc)
+    held = lambda c, value, kind: served.select(F.explode(c).alias("term", value)).withColumn(value, kind(F.col(value)))
+    same, joined = (lambda c: c), (lambda c: F.array_join(c, ","))
+    parts = [held("children_dictionary", "children", joined), held("shortest_path_lengths_from_cell_root", "shortest", same), held("longest_path_lengths_from_cell_root", "longest", same)]
+    out = served.select(F.explode("cl_names").alias("term")).join(names, "term").join(ancestors, "term", "left").withColumn("ancestors", F.coalesce("ancestors", F.lit("")))
+    for p in parts:
+        out = out.join(p, "term", "left")
+    return out
 
 
 # Activity and quotas
