@@ -6,8 +6,10 @@ import argparse
 
 from .operators.index_build import TRAINING_SAMPLE, UPDATE_CHUNK, build_index, build_metric
 from .functions.scalars import MOST_PARTITIONS
+from .retry import BUILD
 
 
+#: The names and defaults of the options.
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vicinal.build_index", description=__doc__)
     p.add_argument("--embeddings-prefix", required=True, help="folder or prefix of the batch files")
@@ -30,7 +32,7 @@ def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     batches = numbered_batches(spark, a.embeddings_prefix, a.total_batches, a.embedding_dim)
-    build_index(batches, a.index_path, metric=a.distance_metric, normalise=a.normalize, sample_size=a.training_sample_size, max_partitions=a.max_partitions, chunk=a.update_chunk_size)
+    build_index(batches, a.index_path, metric=a.distance_metric, normalise=a.normalize, sample_size=a.training_sample_size, max_partitions=a.max_partitions, chunk=a.update_chunk_size, retry=BUILD)
 
 
 if __name__ == "__main__":

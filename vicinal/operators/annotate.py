@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..retry import SEARCH, Retry
 from ..sources.readers import checked_matrix
 from ..sources.shared import staged
 from ..sources.writers import append
@@ -30,6 +31,8 @@ class Service:
     settings: N.IndexSettings
     centroids: DataFrame | N.Centroids | None = None
     columns: list[str] = field(default_factory=lambda: ["cell_type"])
+    graphs: DataFrame | None = None
+    retry: Retry = SEARCH
 
 
 def annotate(service: Service, matrix: DataFrame, model: Model, *, user_id: int, model_name: str, trace_header: str, now: Column, is_admin: bool = False, strategy: str = "summary_statistics", **options) -> DataFrame:
@@ -48,7 +51,8 @@ def annotate(service: Service, matrix: DataFrame, model: Model, *, user_id: int,
     append(A.activity_rows(request, "STARTED", now), service.log)
     try:
         queries = staged(embed(matrix, model, service.settings.embedding_dimension), "embedded")
-        near = staged(N.checked_response(queries, N.search(queries, service.index, service.settings, service.centroids)), "near")
+        near = service.retry.frame(lambda: N.search(queries, service.index, service.settings, service.centroids, service.graphs), "near")
+        near = N.checked_response(queries, near)
         out = staged(K.summarize(strategy, L.with_metadata(near, service.metadata, service.columns), **options), "annotated")
     except Exception:
         try:

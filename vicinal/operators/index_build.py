@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..errors import IndexConfigurationError
 from ..functions import vectors as V
 from ..functions.scalars import MOST_PARTITIONS, partition_number
+from ..retry import NONE, Retry
 from ..sources.shared import discard, file_system, remove, staged
 from ..sources.writers import write_index
 from .search import LARGEST, arrays, closest
@@ -173,15 +174,15 @@ def last_of_batches(rows: DataFrame) -> DataFrame:
     return latest(rows.select("id", "batch", "embedding"), order="batch").select("id", "embedding")
 
 
-def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, sample_size: int = TRAINING_SAMPLE, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, chunk: int = UPDATE_CHUNK) -> None:
+def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normalise: bool = True, sample_size: int = TRAINING_SAMPLE, max_partitions: int = MOST_PARTITIONS, partitions: int | None = None, chunk: int = UPDATE_CHUNK, retry: Retry = NONE) -> None:
     """An index of batches (batch, id, embedding), in order of batch: trained and created on the first whole batches that make the
     sample, updated by the others `chunk` at a time, and consolidated if there were any. What was at the path goes when the new version is
-    complete. A build that failed goes on where it stopped when it is called again."""
+    complete. A build that failed goes on where it stopped when it is called again, and each step is tried again as `retry` says."""
     spark, kind = batches.sparkSession, build_metric(metric)
     before = versions(spark, path)
     version = before[-1] + 1 if before else 0
     ready = prepared(batches.select("batch", "id", "embedding"), normalise)
-    sizes = staged(batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows")), "batches")
+    sizes = retry.frame(lambda: batches.groupBy("batch").agg(F.count(F.lit(1)).alias("n_rows")), "batches")
     used = staged(training_batches(sizes, sample_size), "used")
     n_used, n_rows, last = used.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0)), F.max("batch")).first()
     rest = [r.batch for r in sizes.filter(F.col("batch") > F.lit(last)).orderBy("batch").collect()] if n_used else []  # names of files
@@ -189,24 +190,24 @@ def build_index(batches: DataFrame, path: str, *, metric: str = "COSINE", normal
     log = BuildLog(spark, f"{path}/version={version}", sizes, (kind, normalise, n, sample_size, chunk))
     first = None
     if not log.done("trained"):
-        first = staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
-        trained_centroids(first, n).coalesce(1).write.mode("overwrite").parquet(log.centroids)
+        first = retry.frame(lambda: last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
+        retry.call(lambda: trained_centroids(first, n).coalesce(1).write.mode("overwrite").parquet(log.centroids))
         log.add("trained")
     centroids = spark.read.parquet(log.centroids)
     if not log.done("update-0"):
-        first = first or staged(last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
-        write_update(first, centroids, path, version, 0, kind)
+        first = first or retry.frame(lambda: last_of_batches(ready.filter(F.col("batch") <= F.lit(last))), "first")
+        retry.call(lambda: write_update(first, centroids, path, version, 0, kind))
         log.add("update-0")
     for k in range(0, len(rest), chunk):
         if not log.done(f"update-{k // chunk + 1}"):
             own = ready.filter((F.col("batch") >= F.lit(rest[k])) & (F.col("batch") <= F.lit(rest[min(k + chunk, len(rest)) - 1])))
-            write_update(last_of_batches(own), centroids, path, version, k // chunk + 1, kind)
+            retry.call(lambda own=own, k=k: write_update(last_of_batches(own), centroids, path, version, k // chunk + 1, kind))
             log.add(f"update-{k // chunk + 1}")
     centroids.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}/centroids")
     log.close()
     discard(first, used, sizes)
     if rest:
-        consolidate(spark, path, metric=metric, sample_size=sample_size, partitions=n)
+        retry.call(lambda: consolidate(spark, path, metric=metric, sample_size=sample_size, partitions=n))
     else:
         vacuum(spark, path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import MetadataError
+from ..sources.shared import staged
 
 
 def requested_ids(spark: SparkSession, ids: list[int]) -> DataFrame:
@@ -22,7 +23,11 @@ def metadata_by_ids(ids: DataFrame, metadata: DataFrame, names: list[str], *, id
 
 
 def with_metadata(neighbours: DataFrame, metadata: DataFrame, names: list[str], *, id_col: str = "cas_cell_index", check: bool = True) -> DataFrame:
-    """Neighbours with the named columns. Metadata is read once for each distinct id; a neighbour without any is an error."""
+    """Neighbours with the named columns. Metadata is read once for each distinct id; a neighbour without any is an error.
+
+    With the check the neighbours are staged first (k rows a query), so that their search runs once."""
+    if check and not hasattr(neighbours, "staged_at"):
+        neighbours = staged(neighbours, "near")
     wanted = neighbours.select(id_col).distinct()
     found = metadata.select(id_col, *[c for c in names if c != id_col]).join(wanted, id_col, "left_semi")
     if check and not wanted.join(metadata.select(id_col), id_col, "left_anti").isEmpty():

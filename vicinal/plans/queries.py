@@ -29,6 +29,7 @@ from ..operators import index_build as I
 from ..operators import lookup as L
 from ..operators import ontology as O
 from ..operators import search as N
+from ..sources import database as D
 from ..sources import matrix as X
 from ..sources import readers as R
 from ..sources import writers as W
@@ -648,6 +649,41 @@ def csv_gz_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return R.embedding_batches(spark, at, 64).select("id", F.size("embedding").cast("long").alias("n"), F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
 
 
+@query("csv_quarantine_good", "select vec_id as id, embedding[1]::double as first, embedding[64]::double as last from embeddings where vec_id % 100 not in (7, 33, 58)")
+def csv_quarantine_good(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = quarantined(spark, d)
+    return rows.select("id", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"))
+
+
+def quarantined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Embeddings as files of lines in order of id, of which three in a hundred are bad: one without a number, one too short, one without an id."""
+    at = new_path(spark, "lines")
+    e = R.table(spark, d, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
+    row = lambda n: F.array_join(F.transform(F.slice("v", 1, n), lambda x: x.cast("float").cast("string")), ",")
+    line = F.when(F.col("vec_id") % 100 == 7, F.concat_ws(",", "vec_id", F.lit("none"), row(63))).when(F.col("vec_id") % 100 == 33, F.concat_ws(",", "vec_id", row(60))).when(F.col("vec_id") % 100 == 58, F.concat(F.lit(","), row(64))).otherwise(F.concat_ws(",", "vec_id", row(64)))
+    e.repartitionByRange(4, "label").sortWithinPartitions("label", "vec_id").select(line.alias("value"), F.concat(F.lit("label_"), "label").alias("part")).write.partitionBy("part").text(at)
+    return R.quarantined_batches(spark, at, 64)
+
+
+@query("csv_quarantine_bad", "with n as (select vec_id, label, row_number() over (partition by label order by vec_id) as line from embeddings) select 'label_' || label as part, line, case vec_id % 100 when 7 then 'not a number' when 33 then '60 components of 64' else 'no id' end as reason from n where vec_id % 100 in (7, 33, 58)")
+def csv_quarantine_bad(spark: SparkSession, d: str) -> DataFrame:
+    _, bad = quarantined(spark, d)
+    return bad.select(F.regexp_extract("file", "part=([^/]*)", 1).alias("part"), "line", "reason")
+
+
+@query("database_upsert_roundtrip", "select o_orderkey, o_custkey, o_orderstatus, round(case when o_orderkey % 3 = 0 then o_totalprice + 1 else o_totalprice end, 2) as o_totalprice, o_orderdate from orders where o_orderkey >= 100 and o_orderstatus <> 'P'")
+def database_upsert_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Orders into a database, a third of them again with another price, the second write once more to no effect; read in ranges with pushed filters."""
+    url = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true"
+    o = R.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    again = o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    D.upsert_table(o, url, "orders", ["o_orderkey"], "first", bounded=["o_orderstatus"])
+    for _ in range(2):
+        D.upsert_table(again, url, "orders", ["o_orderkey"], "second", bounded=["o_orderstatus"])
+    got = D.read_table(spark, url, "orders", "o_orderkey", rows_per_partition=4000)
+    return got.filter("o_orderkey >= 100 and o_orderstatus <> 'P'").withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
 # Backfills
 
 table_query("backfill_insert_select", "supplier", "select s_name || ' metadata' as name, 'store/' || s_suppkey as soma_dataframe_uri, timestamp '2024-01-30 12:00:00' as created_date from supplier where s_acctbal >= 0", lambda df: B.metadata_from_models(df.select(F.col("s_name").alias("model_name"), F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("store/"), "s_suppkey")).alias("cell_metadata_uri")), at(NOW)))

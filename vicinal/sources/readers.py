@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from ..errors import InputError, OntologyError
 from ..schemas import embedding_file
+from .shared import staged
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,6 +35,36 @@ def numbered_batches(spark: SparkSession, prefix: str, total: int, dimension: in
     return rows.select(batch.alias("batch"), F.col("_c0").alias("id"), F.array(*(F.col(f"_c{i}") for i in range(1, dimension + 1))).alias("embedding"))
 
 
+def quarantined_batches(spark: SparkSession, paths: str | list[str], dimension: int, *, id_name: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Headerless CSV files in one scan: rows (file, id, embedding), and as a table of their own the lines that are none: file, line (from 1), value, reason.
+
+    A line is bad if it does not parse as an id and `dimension` numbers, or holds no id or an empty component; blank lines are left out. What
+    is parsed is staged, good and bad apart; files are read once, split or not: a line's number is its place in its block of the file, and
+    the lines of the blocks before it.
+    """
+    fields = embedding_file(dimension)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", _bad string"
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    parsed = lines.withColumn("r", F.from_csv("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    embedding = F.array(*(F.col(f"r._c{i}") for i in range(1, dimension + 1)))
+    reason = (
+        F.when(F.trim("value") == "", "blank")
+        .when(F.size(F.split("value", ",", -1)) != dimension + 1, F.concat((F.size(F.split("value", ",", -1)) - 1).cast("string"), F.lit(f" components of {dimension}")))
+        .when(F.col("r").isNull() | F.col("r._bad").isNotNull(), "not a number")
+        .when(F.col("r._c0").isNull(), "no id")
+        .when(F.exists(embedding, lambda x: x.isNull()), "an empty component")
+    )
+    told = parsed.select("file", "block", "turn", F.col("r._c0").alias(id_name), embedding.alias("embedding"), reason.alias("reason"), "value")
+    good = F.col("reason").isNull()
+    both = staged(told.select("file", "block", "turn", *(F.when(good, F.col(c)).alias(c) for c in (id_name, "embedding")), "reason", F.when(~good, F.col("value")).alias("value")), "batches")
+    # One row a block of a file; the lines of the blocks before it are a running sum.
+    blocks = both.groupBy("file", "block").agg(F.min("turn").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    bad = both.filter("reason <> 'blank'").join(offsets, ["file", "block"]).select("file", (F.col("before") + F.col("turn") - F.col("first") + 1).alias("line"), "value", "reason")
+    return both.filter("reason is null").select("file", id_name, "embedding"), bad
+
+
 OWL_CLASS = "ord bigint, name string, labels array<string>, parents array<string>"
 
 
