@@ -110,3 +110,67 @@ def test_matches_beyond_the_window_and_over_many_blocks(spark):
         assert got[0] == {str(i): (1, 1, 700) for i in (1, 2, 4, 5)}
         assert got[1] == {"0": (0, 0, 25), "3": (0, 0, 25)}
         assert got[2] == {str(i): (0, 0, 701) if i == 1 else (1, 1, 700) for i in (1, 2, 4, 5)}
+
+
+def longest(doc, item, window):
+    """n, p, q of the first longest match that holds a window."""
+    n = min(window, len(item))
+    best = (0, 0, 0)
+    for p in range(len(doc)):
+        for q in range(len(item)):
+            k = 0
+            while p + k < len(doc) and q + k < len(item) and doc[p + k] == item[q + k]:
+                k += 1
+            if k >= n > 0 and (-k, p, q) < (-best[0], best[1], best[2]):
+                best = (k, p, q)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc ", max_size=40), min_size=1, max_size=4), st.lists(st.text("abc ", max_size=24), max_size=4), st.integers(1, 4), st.sampled_from([None, 1, 3, 10_000]))
+def test_longest_matches_equal_brute_force(docs, items, window, most):
+    index = D.Index([(str(i), x.encode()) for i, x in enumerate(items)], window)
+    want = {(d, i): m for d, x in enumerate(docs) for i, y in enumerate(items) if (m := longest(words(x), words(y), window))[0]}
+    for at, part in ([(0, docs)] if most is None else [(k, [x]) for k, x in enumerate(docs)]):  # a single document is never refused, in however small parts its pairs come
+        got = index.scan([index.ids(x.encode()) for x in part], most)
+        found = {(at + d, int(index.names[i])): (n, p, q) for d, i, p, q, n in zip(*(x.tolist() for x in (got.doc, got.item, got.p, got.q, got.n)), strict=True)}
+        assert found == {k: v for k, v in want.items() if most is None or k[0] == at}
+
+
+def peak(job):
+    """The most memory that arrays of a job take, in MB; and its result."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return job(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_words_cost_places_and_not_pairs_of_places():
+    index = D.Index([("x", b"a " * 2000)], 10)
+    got, mb = peak(lambda: index.scan([index.ids(b"a " * 100_000), index.ids(b"b " + b"a " * 1500)], D.MOST_PAIRS))
+    assert mb < 500
+    assert (got.n.tolist(), got.p.tolist(), got.q.tolist()) == ([2000, 1500], [0, 1], [0, 0]) and got.spans.tolist() == [[0, 100_000], [1, 1501]]
+
+
+def test_a_shared_passage_is_halved_until_its_pairs_fit():
+    passage = " ".join(f"p{i}" for i in range(30))
+    index = D.Index([(str(i), f"i{i} {passage} j{i}".encode()) for i in range(5000)], 10)
+    docs = [index.ids(f"d{i} {passage} e{i}".encode()) for i in range(5000)]
+    refused, mb = peak(lambda: index.scan(docs, D.MOST_PAIRS))
+    assert refused is None and mb < 500
+    got, mb = peak(lambda: index.scan(docs[:90], D.MOST_PAIRS))
+    assert mb < 500 and len(got.doc) == 90 * 5000 and set(got.n.tolist()) == {30} and set(got.p.tolist()) == set(got.q.tolist()) == {1}
+
+
+@pytest.mark.parametrize("block_chars", [4_000_000, 12_000])
+def test_documents_and_items_that_share_a_passage(spark, block_chars):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.range(700).select(F.col("id").alias("doc_id"), F.concat(F.lit("x"), "id", F.lit(f" {passage} y")).alias("text")).repartition(2)
+    items = spark.range(700).select(F.col("id").alias("item_id"), F.concat(F.lit(f"{passage} z"), "id").alias("text"))
+    got = D.find_matches(docs, items, block_chars=block_chars, most_pairs=20_000)
+    rows = got.selectExpr("doc_id", "size(found.items) as n", "found.n_hit as hit", "found.spans as spans", "array_distinct(transform(found.matches, m -> struct(m.doc_word, m.item_word, m.n_words))) as m").collect()
+    assert len(rows) == 700 and {r.doc_id for r in rows} == set(range(700))
+    assert {(r.n, r.hit, tuple(r.spans), tuple(map(tuple, r.m))) for r in rows} == {(700, 12, (1, 13), ((1, 0, 12),))}
