@@ -174,3 +174,26 @@ def test_nothing_but_the_result_is_left_behind(spark, frame):
     df = N.near_duplicates(frame(texts()))
     left = {x.rsplit("-", 1)[0] for x in {*os.listdir(shared_dir(spark))} - before}
     assert left == {"signatures", "classes"} and df.count() > 0  # what the result is read from
+
+
+def test_recall_on_pages_of_one_template(frame, monkeypatch):
+    """Chains of pages, each three words from the one before and linked with it alone, among 900 pages that share most of their words: paths go deep."""
+    monkeypatch.setattr(N, "SMALL", 32)
+    rnd = random.Random(5)
+    base, rows, links = [f"t{i}" for i in range(220)], [], []
+    while len(rows) < 900:
+        own = [*base]
+        for k in rnd.sample(range(220), 6):
+            own[k] = f"c{len(rows)}x{k}"
+        for turn in range(rnd.choice([1, 1, 2, 4, 8])):
+            own = [*own]
+            for k in rnd.sample(range(220), 3):
+                own[k] = f"d{len(rows)}x{k}"
+            links += [(len(rows) - 1, len(rows))] * (turn > 0)
+            rows.append((len(rows), " ".join(own)))
+    sets = [shingles(t) for _, t in rows]
+    links = [(i, j) for i, j in links if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    got, want = classes(frame(rows)), brute(rows)
+    assert len(links) > 400 and sum(got[i][1] == got[j][1] for i, j in links) >= 0.99 * len(links)
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(rows)
+
