@@ -84,3 +84,20 @@ def test_few_pairs_are_scored_on_clustered_vectors():
     seeded = T.Search(asked, m[asked], 10, T.LEVELS, search.least)
     seeded.add(ids, m)
     assert seeded.best == search.best and seeded.scored < search.scored
+
+
+@pytest.mark.parametrize("rows", [T.BLOCK_ROWS, 7])
+def test_blocks_products_and_gathered_pairs_agree(monkeypatch, rows):
+    """Whether bounds let much pass or little, in blocks of any size, with ties and in any order of rows."""
+    monkeypatch.setattr(T, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(T, "BLOCK_PAIRS", 50)
+    rng = np.random.default_rng(8)
+    near = np.floor(100 * (np.repeat(rng.normal(size=(5, 4)), 4, axis=1)[rng.integers(0, 5, 400)] + 0.1 * rng.normal(size=(400, 16))))
+    for m in (near, rng.integers(-2, 3, (400, 16)).astype(float)):
+        search = T.Search(np.arange(0, 400, 40), m[::40], 6, (1, 4, 8))
+        for a in rng.permutation(np.arange(0, 400, 50)):
+            search.add(np.arange(a, a + 50), m[a : a + 50])
+        for q, best in zip(range(0, 400, 40), search.best, strict=True):
+            score = m @ m[q]
+            score[q] = -np.inf
+            assert best == [(-int(score[i]), int(i)) for i in np.lexsort((np.arange(400), -score))[:6]]
