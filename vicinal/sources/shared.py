@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Staged folders that nobody has discarded, with their sessions; they go when the program ends.
+#: Folders made here that nobody has discarded, with their sessions; they go when the program ends.
 _LEFT: dict[str, SparkSession] = {}
 
 
@@ -25,7 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder; what is written there goes when the program ends, if not before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _LEFT:
+        atexit.register(_discard_left)
+    _LEFT[path] = spark
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -35,9 +40,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
-    if not _LEFT:
-        atexit.register(_discard_left)
-    _LEFT[path] = spark
     return out
 
 
@@ -46,7 +48,6 @@ def discard(*frames: DataFrame | None) -> None:
     for df in frames:
         if path := getattr(df, "staged_at", None):
             remove(df.sparkSession, path)
-            _LEFT.pop(path, None)
 
 
 def _discard_left() -> None:
@@ -66,6 +67,7 @@ def file_system(spark: SparkSession, path: str):
 def remove(spark: SparkSession, path: str) -> None:
     fs, at = file_system(spark, path)
     fs.delete(at, True)
+    _LEFT.pop(path, None)
 
 
 def copied(spark: SparkSession, source: str, target: str) -> None:
