@@ -150,7 +150,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def branched(rows: DataFrame, level: int, trees: range | None = None) -> DataFrame:
-    """The next branches of paths. rows: node, comp, tree, key, signature; back come node, comp, tree and the keys one token longer. At the start rows have no tree and no key, and go on in all of `trees`."""
+    """The next branches of paths. rows: node, comp, signature and held, the trees and keys of the node's paths; back come node, comp, tree and the keys one token longer, a row a path. At the start rows have no paths, and go on in all of `trees`."""
 
     def run(batches):
         salt, roots, second = constants(HASHES, 6), constants(HASHES, 7), np.uint64(int(SECOND * 2**64))
@@ -158,10 +158,14 @@ def branched(rows: DataFrame, level: int, trees: range | None = None) -> DataFra
         for b in batches:
             n = b.num_rows
             low = np.frombuffer(b"".join(b.column("signature").to_pylist()), "<u4").reshape(n, HASHES)
-            held = b.column("tree").to_numpy() if trees is None else None
+            held = None
+            if trees is None:
+                paths = b.column("held")
+                owner, flat = np.repeat(np.arange(n), paths.value_lengths().to_numpy()), paths.flatten()
+                held, keys = flat.field("tree").to_numpy(), flat.field("key").to_numpy().view(np.uint64)
             for t in trees or np.unique(held).tolist():
-                at = np.arange(n) if held is None else np.flatnonzero(held == t)
-                key = np.full(n, roots[t]) if held is None else b.column("key").to_numpy().view(np.uint64)[at]
+                at = np.arange(n) if held is None else owner[held == t]
+                key = np.full(n, roots[t]) if held is None else keys[held == t]
                 pick = order.setdefault(t, np.argsort(constants(HASHES, 100 + t)))
                 for k in (0, 1):
                     use = np.arange(len(at)) if k == 0 else np.flatnonzero(mixed(key ^ salt[level % HASHES]) < second)
@@ -170,10 +174,16 @@ def branched(rows: DataFrame, level: int, trees: range | None = None) -> DataFra
                         own = pa.array(at[use])
                         yield pa.RecordBatch.from_arrays([b.column("node").take(own), b.column("comp").take(own), pa.array(np.full(len(use), t, np.int32)), pa.array(grown.view(np.int64))], names=["node", "comp", "tree", "key"])
 
-    names = ["node", "comp", "signature"] if trees else ["node", "comp", "tree", "key", "signature"]
+    names = ["node", "comp", "signature"] if trees else ["node", "comp", "held", "signature"]
     return rows.select(*names).mapInArrow(run, "node bigint, comp bigint, tree int, key bigint")
 
 
+def signed_again(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Paths (node, comp, tree, key) as a row a node with its signature. A node has at most trees * (1 + SECOND) ^ level paths, but for chance."""
+    own = paths.groupBy("node", "comp").agg(F.collect_list(F.struct("tree", "key")).alias("held"))
+    return own.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
+
+
 def joined(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """A join that broadcasts the right side when its rows are counted and few; else Spark shuffles, and splits what is skewed."""
     return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("merge"), on, how)
@@ -215,7 +225,7 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
             out.append(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "comp"))
             break
         if comps is None:  # nothing is linked yet, so no path is lopsided
-            now = large.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
+            now = signed_again(large, nodes)
             continue
         # Paths where few pairs are of different components: those of the largest in blocks, the others with each block.
         parts = large.groupBy(F.col("key").alias("own"), "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -226,7 +236,7 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
         every = F.when(F.col("m") <= 4 * SMALL, F.array(F.lit(0).cast("bigint"))).when(F.col("comp") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
         out.append(lopsided.select("node", "comp", "key", F.explode(every).alias("at")).select(F.xxhash64("key", "at").alias("key"), "node", "comp"))
         rest = joined(large, parts, F.col("key") == F.col("own"), "left_anti")
-        now = rest.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
+        now = signed_again(rest, nodes)
     got = out[0]
     for x in out[1:]:
         got = got.unionByName(x)
