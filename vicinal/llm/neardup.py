@@ -55,7 +55,7 @@ AT_ONCE = 250_000
 #: Rows of a table (two numbers each) that may be broadcast: some 4 MB.
 BROADCAST_ROWS = 100_000
 #: Half of the nodes of a job; shingles of a group beyond which it is confirmed pair by pair; share of all links from which a centre of a star counts as large.
-JOB, GROUP_SHINGLES, LARGE_STAR = 128, 4_000_000, 0.001
+JOB, GROUP_SHINGLES, LARGE_STAR = 512, 4_000_000, 0.001
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
