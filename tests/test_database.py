@@ -170,3 +170,18 @@ def test_bad_lines_are_put_apart(spark, tmp_path, split):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quarantined_lines_keep_the_order_of_ids(spark, tmp_path):
+    """Enough rows for the sort that a writer adds by its partitions to lose the order of ids."""
+    from vicinal.plans.queries import QUERIES
+
+    e = spark.range(12_000).repartition(7).select(F.col("id").alias("vec_id"), (F.xxhash64("id") % 5 + 5).cast("int").alias("label"), F.array_repeat(F.lit(0.5).cast("float"), 64).alias("embedding"))
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, QUERIES["csv_quarantine_bad"](spark, str(tmp_path)).collect()))
+    turns, want, why = {}, [], {7: "not a number", 33: "60 components of 64", 58: "no id"}
+    for r in spark.read.parquet(f"{tmp_path}/embeddings.parquet").select("vec_id", "label").orderBy("vec_id").collect():
+        turns[r.label] = turns.get(r.label, 0) + 1
+        if r.vec_id % 100 in why:
+            want.append((f"label_{r.label}", turns[r.label], why[r.vec_id % 100]))
+    assert got == sorted(want)

@@ -661,7 +661,9 @@ def quarantined(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = R.table(spark, d, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
     row = lambda n: F.array_join(F.transform(F.slice("v", 1, n), lambda x: x.cast("float").cast("string")), ",")
     line = F.when(F.col("vec_id") % 100 == 7, F.concat_ws(",", "vec_id", F.lit("none"), row(63))).when(F.col("vec_id") % 100 == 33, F.concat_ws(",", "vec_id", row(60))).when(F.col("vec_id") % 100 == 58, F.concat(F.lit(","), row(64))).otherwise(F.concat_ws(",", "vec_id", row(64)))
-    e.repartitionByRange(4, "label").sortWithinPartitions("label", "vec_id").select(line.alias("value"), F.concat(F.lit("label_"), "label").alias("part")).write.partitionBy("part").text(at)
+    # In order of the column that files are dealt by: else the writer sorts by it once more, and loses the order of ids.
+    lines = e.withColumn("part", F.concat(F.lit("label_"), "label")).repartitionByRange(4, "part").sortWithinPartitions("part", "vec_id")
+    lines.select(line.alias("value"), "part").write.partitionBy("part").text(at)
     return R.quarantined_batches(spark, at, 64)
 
 
