@@ -104,3 +104,29 @@ def test_settings_and_errors(spark):
     assert G.graph_neighbours(queries, graphs, 3, 4, query_block=1).count() == 6
     served = N.search(queries, rows.withColumnRenamed("id", "cas_cell_index"), N.IndexSettings("m", 3, 3, "VAMANA", "l2", l_search=30), graphs=graphs)
     assert pairs(served) == pairs(exact(spark, queries, rows, 3))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_an_exact_check_finds_what_beams_miss(spark, metric):
+    m = RNG.normal(size=(3000, 24))
+    rows, queries = frame(spark, m), asked(spark, m[::50])
+    found = G.graph_neighbours(queries, G.build_graphs(rows, metric, degree=4), 10, 10, metric).cache()
+    want = pairs(exact(spark, queries, rows, 10, metric))
+    assert not want <= pairs(found)
+    for known in (found, found.filter("hash(query_cell_id) % 3 = 0")):  # of some queries nothing is known
+        assert pairs(N.exact_neighbours(queries, rows.withColumnRenamed("id", "cas_cell_index"), 10, metric, found=known)) == want
+
+
+def test_queries_of_graphs_equal_their_sql_where_beams_miss(spark, tmp_path):
+    """Vectors enough for the driver's beams to miss some."""
+    import duckdb
+
+    from vicinal.plans.queries import ORACLE_SQL, QUERIES
+
+    kind = "vec_id bigint, embedding array<float>, label int"
+    data = [(i, v, 0) for i, v in enumerate(np.random.default_rng(5).normal(size=(6000, 64)).astype(np.float32).tolist())]
+    spark.createDataFrame(data, kind).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["knn_graph_l2"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE_SQL["knn_graph_l2"]).fetchall())
