@@ -185,3 +185,21 @@ def test_quarantined_lines_keep_the_order_of_ids(spark, tmp_path):
         if r.vec_id % 100 in why:
             want.append((f"label_{r.label}", turns[r.label], why[r.vec_id % 100]))
     assert got == sorted(want)
+
+
+def test_an_embedded_database_of_a_cluster_goes_by_files(spark, tmp_path, monkeypatch):
+    """No executor may open it: reads and writes by JDBC are errors here, as they are between processes."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    odd = ["", " a ", 'say ""x"', "a,b", "two\nlines", None, "näme", '"', ",", "\\"]
+    df = rows(spark, 900).withColumn("name", F.array(*map(F.lit, odd))[(F.col("k") % 10).cast("int")]).withColumn("v", F.when(F.col("k") % 4 > 0, F.col("v") / 7 * 1e12))
+    want = sorted(map(str, map(tuple, df.collect())))
+    monkeypatch.setattr(D, "apart", lambda spark, url: True)
+    monkeypatch.setattr(type(df.write), "save", None)
+    assert D.upsert_table(df.filter("k < 500"), url, "t", ["k"], "w1") and not D.upsert_table(df, url, "t", ["k"], "w1")
+    assert D.upsert_table(df.filter("k >= 300"), url, "t", ["k"], "w2") and D.upsert_table(df.limit(0), url, "t", ["k"], "w3")
+    got = D.read_table(spark, url, "t", "k", rows_per_partition=200)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(str, map(tuple, got.select(df.columns).collect()))) == want
+    with pytest.raises(Exception, match="duplicate key|STAGE|stage"):
+        D.upsert_table(df.union(df), url, "t", ["k"], "w4")
+    assert D.read_table(spark, url, "t", "k").count() == 900
