@@ -5,6 +5,8 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vicinal import errors as X
 from vicinal.sources import matrix as M
@@ -118,3 +120,15 @@ def test_append_overwrite_and_empty(spark, tmp_path):
     M.write_matrix(df, at)
     assert M.read_matrix(spark, at).count() == 2
     assert len([f for f in os.listdir(tmp_path / "m") if f.endswith(".npz")]) <= 2
+
+
+@pytest.mark.parametrize("layout", ["csr", "csc"])
+def test_small_ranges_of_a_large_matrix_share_tasks(spark, tmp_path, monkeypatch, layout):
+    rows = spark.range(500).select(F.array((F.col("id") % 7).cast("int")).alias("feature_indices"), F.array(F.col("id").cast("float")).alias("feature_values"))
+    M.write_matrix(rows, str(tmp_path / "m"), layout=layout, width=7, rowsPerPart=20)
+    monkeypatch.setattr(M, "MOST_TASKS", 9)
+    reader = M.Reader(str(tmp_path / "m"), StructType.fromDDL("row bigint, feature_values array<float>"), M.manifest_of(str(tmp_path / "m")), 3)
+    tasks = reader.partitions()
+    assert len(tasks) <= 9
+    got = [v for t in tasks for b in reader.read(t) for v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert [r for r, _ in got] == list(range(500)) and sorted(v for _, v in got) == [[float(i)] for i in range(500)]

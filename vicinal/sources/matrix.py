@@ -4,7 +4,7 @@ A folder holds parts and `_matrix.json`, which names them and is replaced last:
 uncompressed .npz of numpy: `indptr`, `indices` and `data` by rows (csr) or by columns (csc), and one array for each further column of a
 row (text as bytes and offsets, nulls as a mask). Values are float32, as models want them.
 
-Reading: partitions are ranges of rows of a part. Only the columns of the schema that is asked for are opened, and of a csr part only the
+Reading: partitions are ranges of rows of a part; where these are over MOST_TASKS, a partition is several that follow each other, read one by one. Only the columns of the schema that is asked for are opened, and of a csr part only the
 bytes of the range; comparisons of `row` leave out ranges where the session allows filters to be pushed
 (spark.sql.python.filterPushdown.enabled; read_matrix() looks, elsewhere the option `pushed` says so). A column that is not there, or of another type, is an error before any part is read.
 
@@ -42,6 +42,8 @@ OWN = {"row": "bigint", "feature_indices": "array<int>", "feature_values": "arra
 #: Types of further columns, and how numpy holds them; text is bytes and offsets.
 KINDS = {"bigint": "<i8", "int": "<i4", "float": "<f4", "double": "<f8", "boolean": "|b1", "string": None}
 ROWS_PER_PART, ROWS_PER_PARTITION, BATCH_NUMBERS = 100_000, 50_000, 1 << 21
+#: A task costs some time to start, so small ranges of a large matrix share tasks.
+MOST_TASKS = 1000
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -113,6 +115,16 @@ class Range(D.InputPartition):
         super().__init__(None)
 
 
+@dataclass
+class Ranges(D.InputPartition):
+    """Ranges that follow each other."""
+
+    held: list[Range]
+
+    def __post_init__(self):
+        super().__init__(None)
+
+
 class Reader(D.DataSourceReader):
     def __init__(self, path: str, schema: T.StructType, manifest: dict, rows: int):
         self.path, self.wanted, self.manifest, self.rows = path, schema, manifest, rows
@@ -124,11 +136,17 @@ class Reader(D.DataSourceReader):
             if f.dataType.simpleString() != known[f.name]:
                 raise InputError(f"{f.name} is {known[f.name]}, not {f.dataType.simpleString()}")
 
-    def partitions(self) -> Sequence[Range]:
+    def partitions(self) -> Sequence[Range | Ranges]:
         every = (Range(p["name"], p["layout"], p["first"], a, min(a + self.rows, p["rows"])) for p in self.manifest["parts"] for a in range(0, p["rows"], self.rows))
-        return [r for r in every if r.first + r.a <= self.most and r.first + r.z > self.least]
-
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        kept = [r for r in every if r.first + r.a <= self.most and r.first + r.z > self.least]
+        share = -(-len(kept) // MOST_TASKS)
+        return kept if share < 2 else [Ranges(kept[i : i + share]) for i in range(0, len(kept), share)]
+
+    def read(self, partition: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
+        if isinstance(partition, Ranges):
+            for r in partition.held:
+                yield from self.read(r)
+            return
         if partition is None:  # how Spark says that there is no range
             return
         names, width, fields = [f.name for f in self.wanted.fields], self.manifest["width"], self.manifest["fields"]
