@@ -125,3 +125,18 @@ def test_states_go_and_requests_begin_anew(spark, tmp_path):
     assert run(spark, str(tmp_path), **options) == {"a": ("FAILED", 1), "b": ("SUCCEEDED", 1)}
     put(spark, tmp_path, [("a", "SUCCEEDED", 1.0, at(110)), ("b", "FAILED", 1.0, at(111))])
     assert run(spark, str(tmp_path), **options) == {"a": ("SUCCEEDED", 1), "b": ("FAILED", 2)}
+
+
+def test_a_state_that_is_gone_is_not_continued_in_the_same_run(spark, tmp_path):
+    """What the watermark says holds before the rows of the next micro-batch, and a fold of deltas changes nothing."""
+    for minute, request, event in ((0, "a", "FAILED"), (100, "b", "SUCCEEDED"), (110, "a", "SUCCEEDED"), (120, "c", "STARTED"), (200, "b", "STARTED")):
+        put(spark, tmp_path, [(request, event, 1.0, at(minute))])
+    assert run(spark, str(tmp_path), keep=dt.timedelta(minutes=60)) == {"a": ("SUCCEEDED", 1), "b": ("SUCCEEDED", 2), "c": ("FAILED", 1)}
+
+
+def test_deltas_are_folded_as_they_come(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vicinal.streaming.lifecycle.FOLDED", 2)
+    for minute, event in enumerate(["STARTED", "STARTED", "STARTED", "STARTED", "SUCCEEDED"]):
+        put(spark, tmp_path, [("a", event, 1.0, at(minute)), (f"r{minute}", "STARTED", 1.0, at(minute))])
+    assert run(spark, str(tmp_path))["a"] == ("SUCCEEDED", 5)
+    assert len([p for p in (tmp_path / "out").iterdir()]) <= 3
