@@ -197,3 +197,27 @@ def test_recall_on_pages_of_one_template(frame, monkeypatch):
     assert len(links) > 400 and sum(got[i][1] == got[j][1] for i, j in links) >= 0.99 * len(links)
     assert sum(got[i] != want[i] for i in want) <= 0.01 * len(rows)
 
+
+
+def test_few_links_need_no_staging(spark, monkeypatch):
+    """Smallest neighbours of few links are broadcast; of many they are shuffled. The classes are the same."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 50), (100, 51), (51, 60)], "u bigint, v bigint")
+    assert not hasattr(N.beside_least(edges, 43), "staged_at")
+    few = sorted(map(tuple, N.components(edges).collect()))
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    assert few == sorted(map(tuple, N.components(edges).collect()))
+
+
+def test_staging_leaves_no_shuffle_files(spark):
+    """A staged table is read from its files, so what was shuffled to make it goes at once."""
+    import time
+
+    env = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {x for x in env.getAllFiles().mkString(",").split(",") if "shuffle_" in x}
+    before = held()
+    N.staged(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "counts")
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.readers import table
-from ..sources.shared import discard, new_path, remove, staged
+from ..sources.shared import discard, new_path, remove, staged, write
 
-__all__ = ["ALNUM", "SPACED", "ascii_lower", "discard", "fold", "free_name", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result"]
+__all__ = ["ALNUM", "SPACED", "ascii_lower", "discard", "fold", "free_name", "give_back", "loaded_tokenizer", "new_path", "pieces", "raw", "remove", "sliced", "staged", "table", "with_result", "write"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

@@ -28,9 +28,9 @@ each text's set is its own but they share the id's class only by their sets. Nul
 doc_id. Empty tables give empty tables; extra columns are ignored.
 
 Scale: a signature row (280 bytes) per document is staged; paths move 8-byte keys; sketches and sets move only for nodes that share
-a path with a node of another component. Texts are read again for those nodes alone. Branching multiplies the paths of documents that
+a path with a node of another component, and stay where they are while the nodes are few enough to be broadcast. Texts are read again for those nodes alone. Branching multiplies the paths of documents that
 differ less than it divides them, so template pages cost in proportion to their number. A group whose sets are large is confirmed pair
-by pair. Tables of at most `BROADCAST_ROWS` rows of 16 bytes are broadcast, larger ones shuffled; the centres of large stars are dealt with apart.
+by pair. Tables of at most `BROADCAST_ROWS` rows of 16 to 24 bytes are broadcast, larger ones shuffled; the centres of large stars are dealt with apart.
 """
 
 from __future__ import annotations
@@ -52,8 +52,8 @@ SECOND, LEVELS = 0.3, 16
 #: Nodes of a path prefix that are compared at once; hash functions; the probability that a sketch refuses a pair at the threshold.
 SMALL, HASHES, MISS = 1024, 64, 1e-5
 AT_ONCE = 250_000
-#: Rows of a table (two numbers each) that may be broadcast: some 4 MB.
-BROADCAST_ROWS = 100_000
+#: Rows of a table (two or three numbers each) that may be broadcast: some 10 MB.
+BROADCAST_ROWS = 250_000
 #: Half of the nodes of a job; shingles of a group beyond which it is confirmed pair by pair; share of all links from which a centre of a star counts as large.
 JOB, GROUP_SHINGLES, LARGE_STAR = 512, 4_000_000, 0.001
 
@@ -178,15 +178,16 @@ def branched(rows: DataFrame, level: int, trees: range | None = None) -> DataFra
     return rows.select(*names).mapInArrow(run, "node bigint, comp bigint, tree int, key bigint")
 
 
-def signed_again(paths: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Paths (node, comp, tree, key) as a row a node with its signature. A node has at most trees * (1 + SECOND) ^ level paths, but for chance."""
+def signed_again(paths: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """n paths (node, comp, tree, key) as a row a node with its signature. A node has at most trees * (1 + SECOND) ^ level paths, but for chance."""
     own = paths.groupBy("node", "comp").agg(F.collect_list(F.struct("tree", "key")).alias("held"))
-    return own.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
+    return joined(nodes.select(F.col("node").alias("of"), "signature"), own, F.col("node") == F.col("of"), n=n)
 
 
-def joined(left: DataFrame, right: DataFrame, on: Column, how: str = "inner") -> DataFrame:
-    """A join that broadcasts the right side when its rows are counted and few; else Spark shuffles, and splits what is skewed."""
-    return left.join(F.broadcast(right) if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else right.hint("merge"), on, how)
+def joined(left: DataFrame, right: DataFrame, on: Column, how: str = "inner", n: int | None = None) -> DataFrame:
+    """A join that broadcasts the right side when its rows (n at most, else they are counted) are few; else Spark shuffles, and splits what is skewed."""
+    n = right.limit(BROADCAST_ROWS + 1).count() if n is None else n
+    return left.join(F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("merge"), on, how)
 
 
 def in_blocks(rows: DataFrame, m: Column) -> DataFrame:
@@ -214,7 +215,8 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
         held.append(met)
         out.append(met.filter(F.col("m") <= SMALL).select("key", "node", "comp"))
         large = met.filter(F.col("m") > SMALL)
-        if large.isEmpty():
+        n = large.count()
+        if not n:
             break
         blocked = in_blocks(large, F.col("m"))
         if comps is None and level + 1 >= depth or level == LEVELS:
@@ -225,18 +227,18 @@ def shared_paths(nodes: DataFrame, comps: DataFrame | None, trees: range, depth:
             out.append(pairs.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "node", "comp"))
             break
         if comps is None:  # nothing is linked yet, so no path is lopsided
-            now = signed_again(large, nodes)
+            now = signed_again(large, nodes, n)
             continue
         # Paths where few pairs are of different components: those of the largest in blocks, the others with each block.
         parts = large.groupBy(F.col("key").alias("own"), "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
         parts = parts.groupBy("own").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "comp"))["comp"].alias("main"))
         parts = staged(parts.filter(F.col("all") * F.col("all") - F.col("same") <= 2 * SMALL * F.col("all")).select("own", "main"), f"main{level}")
         held.append(parts)
-        lopsided = joined(blocked, parts, F.col("key") == F.col("own"))
+        lopsided = joined(blocked, parts, F.col("key") == F.col("own"), n=n // SMALL)
         every = F.when(F.col("m") <= 4 * SMALL, F.array(F.lit(0).cast("bigint"))).when(F.col("comp") == F.col("main"), F.array("block")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
         out.append(lopsided.select("node", "comp", "key", F.explode(every).alias("at")).select(F.xxhash64("key", "at").alias("key"), "node", "comp"))
-        rest = joined(large, parts, F.col("key") == F.col("own"), "left_anti")
-        now = signed_again(rest, nodes)
+        rest = joined(large, parts, F.col("key") == F.col("own"), "left_anti", n // SMALL)
+        now = signed_again(rest, nodes, n)
     got = out[0]
     for x in out[1:]:
         got = got.unionByName(x)
@@ -331,7 +333,7 @@ def plausible_groups(members: DataFrame, nodes: DataFrame, percent: int) -> Data
                     who += own.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(jobs, pa.int64()), pa.array(node[who]), pa.array(comp[who])], names=["job", "node", "comp"])
 
-    carried = members.join(nodes.select(F.col("node").alias("own"), "signature", "n_shingles"), F.col("node") == F.col("own")).drop("own")
+    carried = joined(nodes.select(F.col("node").alias("own"), "signature", "n_shingles"), members, F.col("node") == F.col("own")).drop("own")
     found = carried.repartition("key").sortWithinPartitions("key").mapInArrow(run, "job bigint, node bigint, comp bigint")
     return found.groupBy("job", "node").agg(F.min("comp").alias("comp"))
 
@@ -359,7 +361,8 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, in
 
 def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """u, v: for each class of confirmed links inside a job, its members and the smallest of them; and the staged table it is read from."""
-    asked = staged(jobs.select(F.col("node").alias("asked")).distinct().join(nodes.select("node", "a", "b"), F.col("node") == F.col("asked")).select("node", "a", "b"), "asked")
+    n = jobs.count()
+    asked = staged(joined(nodes.select("node", "a", "b"), jobs.select(F.col("node").alias("asked")).distinct(), F.col("node") == F.col("asked"), n=n).select("node", "a", "b"), "asked")
 
     def sets(batches):
         for batch in batches:
@@ -379,13 +382,15 @@ def confirmed(jobs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, pe
             if pairs:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*pairs, strict=True)], names=["u", "v"])
 
-    texts = joined(docs, asked, F.col("doc_id") == F.col("node")).select("node", "a", "b", "text")
+    texts = joined(docs, asked, F.col("doc_id") == F.col("node"), n=n).select("node", "a", "b", "text")
     full = texts.mapInArrow(sets, "of bigint, tokens binary")
-    return jobs.join(full, F.col("node") == F.col("of")).select("job", "node", "tokens").repartition("job").sortWithinPartitions("job").mapInArrow(links, "u bigint, v bigint"), asked
+    return joined(full, jobs, F.col("node") == F.col("of"), n=n).select("job", "node", "tokens").repartition("job").sortWithinPartitions("job").mapInArrow(links, "u bigint, v bigint"), asked
 
 
 def beside_least(edges: DataFrame, n: int) -> DataFrame:
-    """Links u, v, and low: the smallest v of each u. Centres with LARGE_STAR or more of all n links, at most 1 / LARGE_STAR of them, are broadcast; the others meet theirs in a shuffle."""
+    """Links u, v, and low: the smallest v of each u. Where n links, all there are, are many, centres with LARGE_STAR or more of them, at most 1 / LARGE_STAR, are broadcast, and the others meet theirs in a shuffle."""
+    if n <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(edges.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"))), F.col("u") == F.col("hub")).select("u", "v", "low")
     least = staged(edges.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("links")), "hubs")
     large = F.col("links") >= max(64, LARGE_STAR * n)
     wide = F.broadcast(least.filter(large).select(F.col("hub").alias("wide"), F.col("low").alias("wide_low")))
@@ -430,7 +435,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         new = components(found if known is None else known.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
         discard(jobs, asked, found, known)
         known = new
-    of = nodes.join(known.select(F.col("node").alias("known"), "comp"), F.col("node") == F.col("known"), "left").select(F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.coalesce("comp", "node").alias("class"))
+    of = joined(nodes, known.select(F.col("node").alias("known"), "comp"), F.col("node") == F.col("known"), "left").select(F.col("a").alias("own_a"), F.col("b").alias("own_b"), F.coalesce("comp", "node").alias("class"))
     of = staged(of, "classes")
     discard(nodes, known)
     placed = signed.join(of, (F.col("a") == F.col("own_a")) & (F.col("b") == F.col("own_b")) & (F.col("n_shingles") > 0), "left")
