@@ -150,3 +150,12 @@ def test_packed_numbers(kind):
     rnd = np.random.default_rng(1)
     for x in (np.zeros(0, kind), rnd.integers(0, 200, 1000).astype(kind), np.array([np.iinfo(kind).max, 0, 1], kind)):
         assert lm.unpacked(lm.packed(x), kind).tolist() == x.tolist()
+
+
+def test_distinct_numbers_and_their_places():
+    """One sort of numbers with their places says what np.unique does, and numbers that are too large for it go there."""
+    rnd = np.random.default_rng(3)
+    for size, limit in ((0, 5), (1, 1), (1000, 7), (1000, 1 << 40), (1000, 1 << 60)):
+        x = rnd.integers(0, limit, size)
+        key, place, first = lm.distinct(x, limit)
+        assert key.tolist() == np.unique(x).tolist() and key[place].tolist() == x.tolist() and x[first].tolist() == key.tolist()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, discard, fold, give_back, new_path, pieces, raw, remove, staged, table
+from .common import SPACED, discard, fold, give_back, new_path, pieces, raw, remove, staged, table, write
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 3
@@ -64,6 +64,20 @@ def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
 
 
+def distinct(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of x, all below `limit`, in order; for each of x its place among them, and for each of them a place in x."""
+    bits = max(1, len(x)).bit_length()
+    if limit.bit_length() + bits > 63:
+        key, first, place = np.unique(x, return_index=True, return_inverse=True)
+        return key, place, first
+    both = np.sort((x << bits) | np.arange(len(x)))  # numbers with their places: sorting values is far cheaper than sorting places by them
+    at, both = both & ((1 << bits) - 1), both >> bits
+    new = np.append(True, both[1:] != both[:-1])[: len(x)]
+    place = np.empty(len(x), np.int64)
+    place[at] = np.cumsum(new) - 1
+    return both[new], place, at[new]
+
+
 def packed(x: np.ndarray) -> bytes:
     """Numbers by their bytes, the lowest of all first, so that leading zeros cost nothing; compressed."""
     planes = np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8).T).tobytes()
@@ -168,77 +182,90 @@ class Levels:
         self.gram, self.totals = np.where(count >= self.least, np.arange(len(count)), -1)[self.tokens], count
         self.next = numbers
 
-    def ask(self) -> tuple[np.ndarray, ...]:
-        """Contexts, symbols, counts and suffix probabilities of the next level's distinct pairs, in order of context."""
+    def ask(self, replayed: bool = False) -> tuple[np.ndarray, ...] | None:
+        """Contexts, symbols, counts and suffix probabilities of the next level's distinct pairs, in order of context; none where the answer is here already."""
         self.level += 1
         context = np.full(len(self.tokens), -1, np.int64)
         context[1:] = self.gram[:-1]
         context[self.depth < self.level] = -1
-        real = self.count >= LEAST_PAIR
-        hot_here = np.isin(self.next, self.hot[self.level - 1]) if len(self.hot[self.level - 1]) else np.zeros(len(self.next), bool)
-        is_hot, there = np.zeros(len(context), bool), np.flatnonzero(context >= 0)
-        is_hot[there] = hot_here[context[there]]
+        real, grams, told = self.count >= LEAST_PAIR, len(self.next), self.hot[self.level - 1]
+        hot = np.zeros(0, np.int64)
+        if len(told):
+            near = told[np.minimum(np.searchsorted(told, self.next), len(told) - 1)]
+            hot = np.flatnonzero(near == self.next)
+        self.hot_here = np.zeros(grams + 1, bool)  # the last one is for tokens without a context
+        self.hot_here[hot] = True
+        is_hot = self.hot_here[context]
         self.at = np.flatnonzero((context >= 0) & (real | ~is_hot))
         self.hot_at = np.flatnonzero(is_hot)
         self.hot_context = context[self.hot_at]
-        c, real = context[self.at], real[self.at]
-        symbol = np.where(real, self.tokens[self.at].astype(np.int64) + 1, 0)
-        width = len(self.hashes) + 1
-        key, self.pair = np.unique(c * width + symbol, return_inverse=True)
-        first = np.empty(len(key), np.int64)
-        first[self.pair] = np.arange(len(self.pair))  # one place of each pair, whichever
-        c, w = key // width, key % width
-        symbol = np.where(w > 0, self.symbols[np.maximum(w - 1, 0)], np.uint64(0))
-        salt = np.where(hot_here[c], symbol % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
-        routed = np.where(salt > 0, joined(self.next[c], salt) >> self.shift, self.next[c])
+        part = context[self.at]
+        symbol = np.where(real[self.at], self.tokens[self.at] + 1, 0)
+        # Contexts, and the parts of hot ones, get ranks in the order in which they are sent, so that one sort of their pairs is enough.
+        if len(hot):
+            place = np.zeros(grams, np.int64)
+            place[hot] = np.arange(len(hot))
+            salted = np.flatnonzero(self.hot_here[part])
+            part[salted] = grams + place[part[salted]] * SALTS + (self.symbols[symbol[salted] - 1] % np.uint64(SALTS)).astype(np.int64)
+        there = np.zeros(grams + len(hot) * SALTS, bool)
+        there[part] = True
+        ids = np.flatnonzero(there)
+        plain = np.searchsorted(ids, grams)
+        of = np.concatenate([ids[:plain], hot[(ids[plain:] - grams) // SALTS]])
+        routed = np.concatenate([self.next[of[:plain]], joined(self.next[of[plain:]], (ids[plain:] - grams) % SALTS + 1) >> self.shift])
         bucket = in_bucket(routed, self.bits, self.buckets)
-        if self.level == 1:  # numbers of words are dense: those of a bucket are near each other
-            bucket = np.where(salt > 0, bucket, routed % np.uint64(self.buckets))
+        if self.level == 1:  # numbers of words are dense: those of a bucket are near each other; elsewhere buckets are in order of their hashes
+            bucket[:plain] = routed[:plain] % np.uint64(self.buckets)
+        order = np.lexsort((routed, bucket)) if self.level == 1 else np.argsort(routed)
+        rank = np.zeros(len(there), np.int64)
+        rank[ids[order]] = np.arange(len(order))
+        bits = len(self.hashes).bit_length()
+        key, self.pair, first = distinct((rank[part] << bits) | symbol, max(1, len(order)) << bits)
+        at, w = order[key >> bits], key & ((1 << bits) - 1)
+        self.key_context, self.key_symbol = of[at], np.append(self.symbols, np.uint64(0))[w - 1]
+        if replayed:
+            return None
         steps = np.where(w > 0, np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255), 0).astype(np.uint8)
         times = np.bincount(self.pair, weights=self.trained[self.at], minlength=len(key)).astype(np.uint32)
-        order = np.argsort(routed)
-        if self.level == 1:  # elsewhere buckets are in order of their hashes
-            order = order[np.argsort(bucket[order].astype(np.uint16 if self.buckets < 1 << 16 else np.uint64), kind="stable")]
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.pair, self.key_context, self.key_symbol = place[self.pair], c[order], symbol[order]
-        return bucket[order], routed[order], symbol[order], times[order], steps[order]
-
-    def take(self, counts: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray) -> None:
-        """The answer to ask(): counts of the pairs, and by pair what its context is."""
+        return bucket[at], routed[at], self.key_symbol, times, steps
+
+    def take(self, counts: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray, last: bool = False) -> None:
+        """The answer to ask(): counts of the pairs, and by pair what its context is. last: no level follows."""
         counts = counts.astype(np.int64)
-        size = len(self.tokens)
+        size, totals = len(self.tokens), self.totals[self.key_context]
         self.count = np.zeros(size, np.int64)
         self.count[self.at] = counts[self.pair]
-        context, use, rest = np.full(size, -1, np.int64), np.zeros(size, bool), np.zeros(size)
-        context[self.at], use[self.at] = self.key_context[self.pair], kept[self.pair].astype(bool)
-        left = self.totals[self.key_context] - mass.astype(np.int64) + D * listed
-        rest[self.at] = left[self.pair]
+        use = np.flatnonzero((kept.astype(bool) & ~self.hot_here[self.key_context])[self.pair])
+        pair, use = self.pair[use], self.at[use]
+        rest = totals - mass.astype(np.int64) + D * listed
+        self.p[use] = (np.maximum(counts - D, 0)[pair] + (rest + K)[pair] * self.p[use]) / (totals + K)[pair]
         if len(self.hot_at):  # what the driver added up
-            told = self.known[self.level - 1]
-            context[self.hot_at] = self.hot_context
-            i = np.searchsorted(told["context"], self.next[self.hot_context])
-            use[self.hot_at], rest[self.hot_at] = told["kept"][i] & (told["context"][i] == self.next[self.hot_context]), told["rest"][i]
-        use = np.flatnonzero(use)
-        held = np.maximum(self.count[use] - D, 0)
-        self.p[use] = (held + (rest[use] + K) * self.p[use]) / (self.totals[context[use]] + K)
+            told, hot = self.known[self.level - 1], np.flatnonzero(self.hot_here)
+            i = np.searchsorted(told["context"], self.next[hot])
+            kept, rest = np.zeros(len(self.next), bool), np.zeros(len(self.next))
+            kept[hot], rest[hot] = told["kept"][i] & (told["context"][i] == self.next[hot]), told["rest"][i]
+            use = np.flatnonzero(kept[self.hot_context])
+            context, use = self.hot_context[use], self.hot_at[use]
+            self.p[use] = (np.maximum(self.count[use] - D, 0) + (rest[context] + K) * self.p[use]) / (self.totals[context] + K)
+        if last:
+            return
         grams = np.where((counts >= self.least) & (self.key_symbol > 0), np.arange(len(counts)), -1)
         self.gram = np.full(size, -1, np.int64)
         self.gram[self.at] = grams[self.pair]
         self.next = joined(self.next[self.key_context], self.key_symbol) >> self.shift
         self.totals = counts
 
-    def answered(self, answers: list[dict], levels: int) -> None:
-        """Take the answers of `levels` levels. A chunk that asked nothing at a level got no answer and goes on without."""
+    def answered(self, answers: list[dict], levels: int, last: int = -1) -> None:
+        """Take the answers of `levels` levels, of which `last` is the last of all. A chunk that asked nothing at a level got no answer and goes on without."""
         for level in range(levels):
             own = sorted((a for a in answers if a["level"] == level), key=lambda a: a["bucket"])
             counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a["counts"], "u8") for a in own)])
             if level == 0:
                 self.take_words(counts, np.concatenate([unpacked(a["contexts"], "u8") for a in own]))
                 continue
-            self.ask()
+            self.ask(replayed=True)
             of = [np.repeat(unpacked(a["contexts"], "u8").reshape(3, -1), unpacked(a["runs"], "u4"), axis=1) for a in own]
-            self.take(counts, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1))
+            self.take(counts, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1), last=level == last)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """By segment, over the tokens that are its own."""
@@ -348,7 +375,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     path = new_path(spark, "chunks")
     name = f"chunks_{path[-32:]}"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
-    chunks(own, depth).write.bucketBy(parts, "chunk").option("path", path).saveAsTable(name)
+    write(spark, chunks(own, depth).write.bucketBy(parts, "chunk"), path, name)
     held = spark.table(name)
     n_tokens = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = -(-n_tokens // BUCKET) or 1
@@ -371,7 +398,8 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         rows = staged(answers(questions(answered(), level, dict(options)), level, options["bits"], buckets, least_hot, hot, gain), "answers")
         to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "runs", "contexts").alias("a"))
         told.append(f"{name}_{level}")
-        to_chunks.repartition(parts, "of").groupBy("of").agg(F.collect_list("a").alias("answers")).write.bucketBy(parts, "of").option("path", f"{path}-{level}").saveAsTable(told[-1])
+        of = to_chunks.repartition(parts, "of").groupBy("of").agg(F.collect_list("a").alias("answers"))
+        write(spark, of.write.bucketBy(parts, "of"), f"{path}-{level}", told[-1])
         mine = rows.filter("kind is not null")
         if level == 0:
             n, v = (int(x) for x in mine.filter("kind = 'total'").agg(F.coalesce(F.sum(F.col("numbers")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("numbers")[1]), F.lit(0.0))).first())
@@ -396,7 +424,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
                 chunk = Levels(row, **final)
-                chunk.answered(row["answers"] or [], depth + 1)
+                chunk.answered(row["answers"] or [], depth + 1, last=depth)
                 id_type = b.schema.field("ids").type.value_type
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["rows"], pa.int64()), pa.array(row["ids"], id_type), pa.array(row["held"], pa.bool_()), pa.array(chunk.sums(np.ones(len(chunk.tokens), np.int64))), pa.array(chunk.sums(chunk.seen.astype(np.int64))), pa.array(chunk.sums(np.log10(chunk.root))), pa.array(chunk.sums(np.log10(chunk.p)))],
