@@ -159,3 +159,26 @@ def test_distinct_numbers_and_their_places():
         x = rnd.integers(0, limit, size)
         key, place, first = lm.distinct(x, limit)
         assert key.tolist() == np.unique(x).tolist() and key[place].tolist() == x.tolist() and x[first].tolist() == key.tolist()
+
+
+def test_questions_name_contexts_in_few_bytes_and_words_go_after_the_first(spark, frame, monkeypatch):
+    """Contexts of two words or more are numbers in order, not hashes of 6 bytes, and no hashes of words lie beside the chunks while later questions are shuffled."""
+    import os
+
+    from vicinal.sources.shared import shared_dir
+
+    monkeypatch.setattr(lm, "CHUNK", 8000)
+    before, counted, hashes, asked_for = {*os.listdir(shared_dir(spark))}, {}, {}, lm.answers
+
+    def watched(asked, level, *rest):
+        sent = [bytes(r.contexts) for r in asked.select("contexts").collect()]
+        counted[level] = sum(map(len, sent)) / sum(int.from_bytes(x[:8], "little") for x in sent)
+        (at,) = [p for p in {*os.listdir(shared_dir(spark))} - before if p.startswith("chunks-") and p.count("-") == 1]
+        hashes[level] = spark.read.parquet(f"{shared_dir(spark)}/{at}").filter("hashes is not null").count()
+        return asked_for(asked, level, *rest)
+
+    monkeypatch.setattr(lm, "answers", watched)
+    rows = prose(600, 4)
+    check(rows, lm.score_texts(frame(rows, 1)).collect())
+    assert [*counted] == [0, 1, 2, 3] and max(counted[2], counted[3]) < 1.5, counted
+    assert hashes[0] and not hashes[1] + hashes[2] + hashes[3]

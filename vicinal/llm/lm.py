@@ -14,12 +14,13 @@ bounds are numbers of occurrences, the same for any corpus, so contexts, symbols
 
 Training rows are those whose crc32(doc_id as text) mod 7 is not 2. Null or empty texts are the end alone. Rows that repeat, or share an
 id, are scored each for itself. Without training rows N is 0 and every token is unknown. Empty tables give empty tables; extra
-columns are ignored. Words are told apart by hashes of 64 bits, contexts of two words or more by twice the bits of N, 48 at least.
+columns are ignored. Words are told apart by hashes of 64 bits, contexts of two words or more by numbers of their own.
 
 Scale: no table of words or contexts is ever whole in one place. Texts become chunks of about `CHUNK` tokens, written once, bucketed by
-chunk. A level is a question and an answer: each chunk sends its distinct pairs (context, symbol) with their counts, packed, to the
+chunk; hashes of words go after the first level. A level is a question and an answer: each chunk sends its distinct pairs (context, symbol) with their counts, packed, to the
 buckets of their contexts; a bucket of about `BUCKET` tokens adds them up, tests its contexts, and answers each chunk in the
-order it was asked. Words get numbers with the first answer, frequent ones small numbers, which is what later levels send. A pair whose shorter
+order it was asked. Words get numbers with the first answer, frequent ones small numbers, which is what later levels send. Listed pairs get
+numbers with theirs, in the order of their bucket, and are the contexts of the next level: numbers in order cost a byte or two each. A pair whose shorter
 form is not listed cannot be, so it is asked for as "other". Answers are shuffled to their chunks once, and bucketed alike, so that levels are
 read side by side and no text moves. A context with `HOT` or more of all tokens is dealt out by symbol to `SALTS` parts;
 there are at most 1 / HOT of them a level, so the driver adds up their parts and broadcasts the sums. A text longer than a chunk
@@ -59,11 +60,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def joined(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a context and what follows it, as a context itself."""
-    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64) + np.uint64(1))
-
-
 def distinct(x: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct numbers of x, all below `limit`, in order; for each of x its place among them, and for each of them a place in x."""
     bits = max(1, len(x)).bit_length()
@@ -93,10 +89,21 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
 # Chunks
 
 
+def in_texts(ends: list[int], leads: list[int], held: list[bool]) -> tuple[np.ndarray, ...]:
+    """Where the segments of a chunk start, and by token: words before it in its segment, whether it is its segment's own, and whether it is trained on."""
+    ends = np.array(ends, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    size = ends - starts
+    depth = (np.arange(size.sum()) - np.repeat(starts, size)).astype(np.int32)
+    active = depth >= np.repeat(np.array(leads, np.int64), size)
+    return starts, depth, active, ~np.repeat(np.array(held, bool), size) & active
+
+
 def chunks(docs: DataFrame, depth: int) -> DataFrame:
-    """docs (pid, row, doc_id, held_out, text) as chunks: distinct hashes of words, tokens as places among them, and the segments of texts."""
+    """docs (pid, row, doc_id, held_out, text) as chunks of two rows: distinct hashes of words in order and their counts, for the first question alone, and for all
+    that follow tokens as places among them and the segments of texts. Places are by class of frequency and then by hash: small numbers are frequent, and classes say the order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk bigint, n_tokens bigint, tokens binary, hashes binary, rows array<bigint>, ids array<{kind}>, held array<boolean>, ends array<int>, leads array<int>"
+    schema = f"chunk bigint, n_tokens bigint, tokens binary, classes binary, hashes binary, times binary, rows array<bigint>, ids array<{kind}>, held array<boolean>, ends array<int>, leads array<int>, words boolean"
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -109,16 +116,18 @@ def chunks(docs: DataFrame, depth: int) -> DataFrame:
             nonlocal words, segments, number
             coded = pa.array(words, pa.binary()).dictionary_encode()
             hashes = np.fromiter(map(xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-            order = np.argsort(hashes)
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order))
-            tokens = place[coded.indices.to_numpy()]
-            one = lambda x, t: pa.array([x], t)
+            hashed = np.argsort(hashes)
+            place = np.empty(len(hashed), np.int32)
+            place[hashed] = np.arange(len(hashed))
+            codes = place[coded.indices.to_numpy()]
+            classes = np.log2(np.bincount(codes)).astype(np.uint8)
+            place[by_class(classes)] = np.arange(len(classes))
             row, ids, held, ends, leads = ([*x] for x in zip(*segments, strict=True))
-            out = pa.RecordBatch.from_arrays(
-                [one((pid << 32) + number, pa.int64()), one(len(tokens), pa.int64()), one(packed(tokens.view(np.uint32)), pa.binary()), one(packed(np.diff(hashes[order], prepend=np.uint64(0))), pa.binary()), one(row, pa.list_(pa.int64())), one(ids, pa.list_(id_type)), one(held, pa.list_(pa.bool_())), one(ends, pa.list_(pa.int32())), one(leads, pa.list_(pa.int32()))],
-                names=["chunk", "n_tokens", "tokens", "hashes", "rows", "ids", "held", "ends", "leads"],
-            )
+            times = np.bincount(codes, weights=in_texts(ends, leads, held)[-1]).astype(np.uint32)
+            chunk, text, of_words = (pid << 32) + number, (len(codes), packed(place[codes].view(np.uint32)), packed(classes)), (packed(np.diff(hashes[hashed], prepend=np.uint64(0))), packed(times))
+            two = [(chunk, *text, None, None, row, ids, held, ends, leads, False), (chunk, None, None, None, *of_words, *[None] * 5, True)]
+            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, *(pa.list_(t) for t in (pa.int64(), id_type, pa.bool_(), pa.int32(), pa.int32())), pa.bool_()]
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*two, strict=True), kinds, strict=True)], names=["chunk", "n_tokens", "tokens", "classes", "hashes", "times", "rows", "ids", "held", "ends", "leads", "words"])
             number, words, segments = number + 1, [], []
             return out
 
@@ -147,40 +156,61 @@ def chunks(docs: DataFrame, depth: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def in_bucket(key: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """The bucket of a hash of `bits` bits, by its highest."""
-    return ((key >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+def by_class(classes: np.ndarray) -> np.ndarray:
+    """The order of words by class, large ones first, from their classes in the order of their hashes."""
+    return np.argsort(-classes.astype(np.int8), kind="stable")
+
+
+def in_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a hash of 64 bits, by its highest."""
+    return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def numbered(ranks: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers over all buckets, from 1, of what has these ranks in one."""
+    return ranks.astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket + 1)
+
+
+def routed(numbers: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts by their numbers, the buckets that they are asked of, and what they are called there: by ranks, which are dense. Those of one rank go to different buckets."""
+    ranks, made_in = np.divmod(numbers - np.uint64(1), np.uint64(buckets))
+    return (ranks + made_in) % np.uint64(buckets), ranks * np.uint64(2)
+
+
+def routed_parts(parts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for parts of hot contexts, by place * SALTS + part; what these are called is odd."""
+    return mixed(parts.astype(np.uint64)) % np.uint64(buckets), parts.astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def asked_words(row: dict, buckets: int) -> tuple[np.ndarray, ...]:
+    """What a chunk asks for at level 0: its words, in order of their hashes."""
+    hashes, times = np.cumsum(unpacked(row["hashes"], "u8"), dtype=np.uint64), unpacked(row["times"], "u4")
+    none = np.zeros(len(hashes), np.uint64)
+    return in_bucket(hashes, buckets), hashes, none, times, none.astype(np.uint8)
 
 
 class Levels:
     """A chunk level by level: what it asks for, and what the answers so far make of it."""
 
-    def __init__(self, row: dict, n: int, v: int, bits: int, buckets: int, hot: list[np.ndarray], known: list[dict[str, np.ndarray]], least_context: int):
-        self.tokens, self.hashes = unpacked(row["tokens"], "u4").view(np.int32), np.cumsum(unpacked(row["hashes"], "u8"), dtype=np.uint64)
-        self.n, self.v, self.bits, self.buckets, self.shift, self.hot, self.known, self.least = n, v, bits, buckets, np.uint64(64 - bits), hot, known, least_context
-        ends = np.array(row["ends"], np.int64)
-        self.starts = np.concatenate([[0], ends[:-1]])
-        size = ends - self.starts
-        self.depth = (np.arange(len(self.tokens)) - np.repeat(self.starts, size)).astype(np.int32)  # words before a token in its text
-        self.leads = np.array(row["leads"], np.int64)
-        self.active = self.depth >= np.repeat(self.leads, size)
-        self.trained = (~np.repeat(np.array(row["held"], bool), size) & self.active).astype(np.int8)
+    def __init__(self, row: dict, n: int, v: int, buckets: int, hot: list[np.ndarray], known: list[dict[str, np.ndarray]], least_context: int):
+        self.tokens = by_class(unpacked(row["classes"], "u1")).astype(np.int32)[unpacked(row["tokens"], "u4")]
+        self.n, self.v, self.buckets, self.hot, self.known, self.least = n, v, buckets, hot, known, least_context
+        self.starts, self.depth, self.active, self.trained = in_texts(row["ends"], row["leads"], row["held"])
         self.level = 0
-        self.times = np.bincount(self.tokens, weights=self.trained, minlength=len(self.hashes)).astype(np.uint32)
-
-    def ask_words(self) -> tuple[np.ndarray, ...]:
-        none = np.zeros(len(self.hashes), np.uint64)
-        return in_bucket(self.hashes, 64, self.buckets), self.hashes, none, self.times, none.astype(np.uint8)
 
     def take_words(self, counts: np.ndarray, numbers: np.ndarray) -> None:
-        """The answer to ask_words(): the root's probabilities, and words as symbols and as contexts by their numbers."""
-        count, self.symbols = counts.astype(np.int64), numbers
+        """The answer to asked_words(): the root's probabilities, and words as symbols and as contexts by their numbers."""
+        order = np.argsort(numbers)  # so that pairs of a context are in the order that their bucket has
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        self.tokens = place[self.tokens]
+        count, self.symbols = counts.astype(np.int64)[order], numbers[order]
         self.count = count[self.tokens]
         self.seen = self.count > 0
         self.root = (self.count + 1) / (self.n + self.v + 1)
         self.p = self.root.copy()
-        self.gram, self.totals = np.where(count >= self.least, np.arange(len(count)), -1)[self.tokens], count
-        self.next = numbers
+        self.gram, self.totals = np.where(count >= max(self.least, LEAST_PAIR), np.arange(len(count)), -1)[self.tokens], count
+        self.next = self.symbols
 
     def ask(self, replayed: bool = False) -> tuple[np.ndarray, ...] | None:
         """Contexts, symbols, counts and suffix probabilities of the next level's distinct pairs, in order of context; none where the answer is here already."""
@@ -212,14 +242,12 @@ class Levels:
         ids = np.flatnonzero(there)
         plain = np.searchsorted(ids, grams)
         of = np.concatenate([ids[:plain], hot[(ids[plain:] - grams) // SALTS]])
-        routed = np.concatenate([self.next[of[:plain]], joined(self.next[of[plain:]], (ids[plain:] - grams) % SALTS + 1) >> self.shift])
-        bucket = in_bucket(routed, self.bits, self.buckets)
-        if self.level == 1:  # numbers of words are dense: those of a bucket are near each other; elsewhere buckets are in order of their hashes
-            bucket[:plain] = routed[:plain] % np.uint64(self.buckets)
-        order = np.lexsort((routed, bucket)) if self.level == 1 else np.argsort(routed)
+        parts = np.searchsorted(told, self.next[of[plain:]]) * SALTS + (ids[plain:] - grams) % SALTS
+        bucket, name = (np.concatenate(x) for x in zip(routed(self.next[of[:plain]], self.buckets), routed_parts(parts, self.buckets), strict=True))
+        order = np.lexsort((name, bucket))
         rank = np.zeros(len(there), np.int64)
         rank[ids[order]] = np.arange(len(order))
-        bits = len(self.hashes).bit_length()
+        bits = len(self.symbols).bit_length()
         key, self.pair, first = distinct((rank[part] << bits) | symbol, max(1, len(order)) << bits)
         at, w = order[key >> bits], key & ((1 << bits) - 1)
         self.key_context, self.key_symbol = of[at], np.append(self.symbols, np.uint64(0))[w - 1]
@@ -227,10 +255,10 @@ class Levels:
             return None
         steps = np.where(w > 0, np.clip(np.rint(-np.log(self.p[self.at[first]]) / STEP), 0, 255), 0).astype(np.uint8)
         times = np.bincount(self.pair, weights=self.trained[self.at], minlength=len(key)).astype(np.uint32)
-        return bucket[at], routed[at], self.key_symbol, times, steps
+        return bucket[at], name[at], self.key_symbol, times, steps
 
-    def take(self, counts: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray, last: bool = False) -> None:
-        """The answer to ask(): counts of the pairs, and by pair what its context is. last: no level follows."""
+    def take(self, counts: np.ndarray, numbers: np.ndarray, kept: np.ndarray, listed: np.ndarray, mass: np.ndarray, last: bool = False) -> None:
+        """The answer to ask(): counts of the pairs, numbers of those that are listed, and by pair what its context is. last: no level follows."""
         counts = counts.astype(np.int64)
         size, totals = len(self.tokens), self.totals[self.key_context]
         self.count = np.zeros(size, np.int64)
@@ -249,10 +277,11 @@ class Levels:
             self.p[use] = (np.maximum(self.count[use] - D, 0) + (rest[context] + K) * self.p[use]) / (self.totals[context] + K)
         if last:
             return
-        grams = np.where((counts >= self.least) & (self.key_symbol > 0), np.arange(len(counts)), -1)
+        grams = np.where(counts >= max(self.least, LEAST_PAIR), np.arange(len(counts)), -1)
         self.gram = np.full(size, -1, np.int64)
         self.gram[self.at] = grams[self.pair]
-        self.next = joined(self.next[self.key_context], self.key_symbol) >> self.shift
+        self.next = np.zeros(len(counts), np.uint64)
+        self.next[counts > 0] = numbers
         self.totals = counts
 
     def answered(self, answers: list[dict], levels: int, last: int = -1) -> None:
@@ -261,11 +290,12 @@ class Levels:
             own = sorted((a for a in answers if a["level"] == level), key=lambda a: a["bucket"])
             counts = np.concatenate([np.zeros(0, np.uint64), *(unpacked(a["counts"], "u8") for a in own)])
             if level == 0:
-                self.take_words(counts, np.concatenate([unpacked(a["contexts"], "u8") for a in own]))
+                self.take_words(counts, np.concatenate([unpacked(a["follow"], "u8") for a in own]))
                 continue
+            numbers = np.concatenate([np.zeros(0, np.uint64), *(numbered(np.cumsum(unpacked(a["follow"], "u4"), dtype=np.uint64), a["bucket"], self.buckets) for a in own if level != last)])
             self.ask(replayed=True)
             of = [np.repeat(unpacked(a["contexts"], "u8").reshape(3, -1), unpacked(a["runs"], "u4"), axis=1) for a in own]
-            self.take(counts, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1), last=level == last)
+            self.take(counts, numbers, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1), last=level == last)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """By segment, over the tokens that are its own."""
@@ -273,7 +303,7 @@ class Levels:
 
 
 ASKED = "bucket int, chunk bigint, contexts binary, symbols binary, times binary, steps binary"
-ANSWER = "chunk bigint, level int, bucket int, counts binary, runs binary, contexts binary, kind string, context bigint, numbers array<double>"
+ANSWER = "chunk bigint, level int, bucket int, counts binary, follow binary, runs binary, contexts binary, kind string, context bigint, numbers array<double>"
 
 
 def questions(rows: DataFrame, level: int, options: dict) -> DataFrame:
@@ -283,9 +313,10 @@ def questions(rows: DataFrame, level: int, options: dict) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 row = b.slice(k, 1).to_pylist()[0]
-                chunk = Levels(row, **options)
-                chunk.answered(row["answers"] or [], level)
-                bucket, contexts, symbols, times, steps = chunk.ask() if level else chunk.ask_words()
+                if level:
+                    chunk = Levels(row, **options)
+                    chunk.answered(row["answers"] or [], level)
+                bucket, contexts, symbols, times, steps = chunk.ask() if level else asked_words(row, options["buckets"])
                 cuts = np.searchsorted(bucket, np.arange(options["buckets"] + 1, dtype=np.uint64))
                 out = [(i, row["chunk"], packed(np.diff(contexts[s:e], prepend=np.uint64(0))), packed(symbols[s:e]), packed(times[s:e]), packed(steps[s:e])) for i, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if s < e]
                 if out:
@@ -302,11 +333,9 @@ def tested(n: np.ndarray, listed: np.ndarray, mass: np.ndarray, gained: np.ndarr
     return (listed > 0) & (total >= gain * listed), rest
 
 
-def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: float, hot: np.ndarray, gain: float) -> DataFrame:
+def answers(asked: DataFrame, level: int, last: bool, buckets: int, least_hot: float, hot: np.ndarray, gain: float) -> DataFrame:
     """For each bucket: answers to its chunks, and rows for the driver: totals of level 0, contexts that will be hot, parts of those that are."""
 
-    shift = 64 - bits
-
     def run(key, t):
         def column(name: str, kind: str) -> list[np.ndarray]:
             return [unpacked(x, kind) for x in t.column(name).to_pylist()]
@@ -333,20 +362,14 @@ def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: fl
             gained = np.bincount(of, weights=np.where(use, count * (np.log(np.maximum(count - 1 - D, 0.1)) + parent), 0))
             kept, _ = tested(n, listed, mass, gained, gain)
             count = np.where(use, count, 0)
-            own = c.copy()
-            if len(hot):
-                part = (joined(np.repeat(hot, SALTS), np.tile(np.arange(1, SALTS + 1, dtype=np.uint64), len(hot))) >> np.uint64(shift)).reshape(-1)
-                back = np.argsort(part)
-                i = np.minimum(np.searchsorted(part[back], c), len(back) - 1)
-                is_part = part[back][i] == c
-                own[is_part] = np.repeat(hot, SALTS)[back][i[is_part]]
-                heads = np.flatnonzero(is_part & np.append(True, of[1:] != of[:-1]))
-                driver += [("part", int(own[h].view(np.int64)), [float(listed[of[h]]), float(mass[of[h]]), float(gained[of[h]])]) for h in heads]
-            follow = joined(own, w) >> np.uint64(shift)
+            heads = np.flatnonzero((c & np.uint64(1) > 0) & np.append(True, of[1:] != of[:-1]))
+            driver += [("part", int(hot[int(c[h]) // 2 // SALTS].view(np.int64)), [float(listed[of[h]]), float(mass[of[h]]), float(gained[of[h]])]) for h in heads]
+            rank = np.cumsum(use) - 1  # listed pairs get numbers, which are the contexts of the next level
+            follow = np.where(use, numbered(rank, key[0].as_py(), buckets), 0).astype(np.uint64)
         else:
             driver.append(("total", 0, [float(count.sum()), float((count > 0).sum())]))
             follow = np.empty(len(count), np.uint64)  # numbers: by count, those of all buckets in turns
-            follow[np.argsort(-count, kind="stable")] = np.arange(len(count), dtype=np.uint64) * np.uint64(buckets) + np.uint64(key[0].as_py() + 1)
+            follow[np.argsort(-count, kind="stable")] = numbered(np.arange(len(count)), key[0].as_py(), buckets)
             follow[count < LEAST_PAIR] = 0
         driver += [("hot", int(follow[h].view(np.int64)), [float(count[h])]) for h in np.flatnonzero(count >= least_hot)]
         pair = np.empty(len(order), np.int64)
@@ -354,14 +377,17 @@ def answers(asked: DataFrame, level: int, bits: int, buckets: int, least_hot: fl
         rows, at = [], 0
         for chunk, size in zip(t.column("chunk").to_pylist(), sizes, strict=True):
             p, at = pair[at : at + size], at + size
-            runs, told = None, None if level else packed(follow[p])
-            if level:
+            runs = told = None
+            if level == 0:
+                numbers = packed(follow[p])
+            else:
+                numbers = None if last else packed(np.diff(rank[p[use[p]]], prepend=0).astype(np.uint32))
                 heads = np.flatnonzero(np.append(True, of[p[1:]] != of[p[:-1]]))
                 o = of[p[heads]]
                 runs, told = packed(np.diff(heads, append=size).astype(np.uint32)), packed(np.stack([kept[o], np.where(kept[o], listed[o], 0), np.where(kept[o], mass[o], 0)]).astype(np.uint64).reshape(-1))
-            rows.append((chunk, level, key[0].as_py(), packed(count[p].astype(np.uint64)), runs, told, None, None, None))
-        rows += [(None, level, key[0].as_py(), None, None, None, *x) for x in driver]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.list_(pa.float64())]
+            rows.append((chunk, level, key[0].as_py(), packed(count[p].astype(np.uint64)), numbers, runs, told, None, None, None))
+        rows += [(None, level, key[0].as_py(), None, None, None, None, *x) for x in driver]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.string(), pa.int64(), pa.list_(pa.float64())]
         give_back()
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
 
@@ -375,16 +401,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     path = new_path(spark, "chunks")
     name = f"chunks_{path[-32:]}"
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), own.rdd.getNumPartitions())
-    write(spark, chunks(own, depth).write.bucketBy(parts, "chunk"), path, name)
-    held = spark.table(name)
+    write(spark, chunks(own, depth).write.partitionBy("words").bucketBy(parts, "chunk"), path, name)
+    held, words = spark.table(name).filter("not words").drop("words", "hashes", "times"), spark.table(name).filter("words")
     n_tokens = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = -(-n_tokens // BUCKET) or 1
-    options = {"n": 0, "v": 0, "bits": 64, "buckets": buckets, "hot": [], "known": [], "least_context": least_context}
+    options = {"n": 0, "v": 0, "buckets": buckets, "hot": [], "known": [], "least_context": least_context}
     told: list[str] = []
 
     def answered() -> DataFrame:
         """Chunks with all answers so far, read side by side."""
-        none = F.array().cast("array<struct<level: int, bucket: int, counts: binary, runs: binary, contexts: binary>>")
+        none = F.array().cast("array<struct<level: int, bucket: int, counts: binary, follow: binary, runs: binary, contexts: binary>>")
         rows, every = held, none
         for level, t in enumerate(told):
             one = spark.table(t).select(F.col("of").alias(f"of{level}"), F.col("answers").alias(f"answers{level}"))
@@ -395,15 +421,16 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     least_hot = max(LEAST_PAIR, HOT * n_tokens)
     for level in range(depth + 1):
         hot = options["hot"][level - 1] if level else np.zeros(0, np.uint64)
-        rows = staged(answers(questions(answered(), level, dict(options)), level, options["bits"], buckets, least_hot, hot, gain), "answers")
-        to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "runs", "contexts").alias("a"))
+        rows = staged(answers(questions(answered() if level else words, level, dict(options)), level, level == depth, buckets, least_hot, hot, gain), "answers")
+        to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "follow", "runs", "contexts").alias("a"))
         told.append(f"{name}_{level}")
         of = to_chunks.repartition(parts, "of").groupBy("of").agg(F.collect_list("a").alias("answers"))
         write(spark, of.write.bucketBy(parts, "of"), f"{path}-{level}", told[-1])
         mine = rows.filter("kind is not null")
         if level == 0:
+            remove(spark, f"{path}/words=true")
             n, v = (int(x) for x in mine.filter("kind = 'total'").agg(F.coalesce(F.sum(F.col("numbers")[0]), F.lit(0.0)), F.coalesce(F.sum(F.col("numbers")[1]), F.lit(0.0))).first())
-            options |= {"n": n, "v": v, "bits": min(64, max(48, 2 * max(1, n).bit_length()))}
+            options |= {"n": n, "v": v}
         else:
             sums = mine.filter("kind = 'part'").groupBy("context").agg(*(F.sum(F.col("numbers")[i]).alias(f"x{i}") for i in range(3))).collect()
             order = sorted(sums, key=lambda r: int(np.int64(r.context).view(np.uint64)))
