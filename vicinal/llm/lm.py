@@ -249,7 +249,8 @@ class Levels:
         rank[ids[order]] = np.arange(len(order))
         bits = len(self.symbols).bit_length()
         key, self.pair, first = distinct((rank[part] << bits) | symbol, max(1, len(order)) << bits)
-        at, w = order[key >> bits], key & ((1 << bits) - 1)
+        self.key_rank = key >> bits  # the place of a pair's context among those that are sent
+        at, w = order[self.key_rank], key & ((1 << bits) - 1)
         self.key_context, self.key_symbol = of[at], np.append(self.symbols, np.uint64(0))[w - 1]
         if replayed:
             return None
@@ -294,8 +295,10 @@ class Levels:
                 continue
             numbers = np.concatenate([np.zeros(0, np.uint64), *(numbered(np.cumsum(unpacked(a["follow"], "u4"), dtype=np.uint64), a["bucket"], self.buckets) for a in own if level != last)])
             self.ask(replayed=True)
-            of = [np.repeat(unpacked(a["contexts"], "u8").reshape(3, -1), unpacked(a["runs"], "u4"), axis=1) for a in own]
-            self.take(counts, numbers, *np.concatenate([np.zeros((3, 0), np.uint64), *of], axis=1), last=level == last)
+            kept = np.concatenate([np.zeros(0, bool), *(unpacked(a["kept"], "u1").astype(bool) for a in own)])
+            of = np.zeros((2, len(kept)), np.int64)
+            of[:, kept] = np.concatenate([np.zeros((2, 0), np.uint64), *(unpacked(a["contexts"], "u8").reshape(2, -1) for a in own)], axis=1)
+            self.take(counts, numbers, kept[self.key_rank], *of[:, self.key_rank], last=level == last)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """By segment, over the tokens that are its own."""
@@ -303,7 +306,7 @@ class Levels:
 
 
 ASKED = "bucket int, chunk bigint, contexts binary, symbols binary, times binary, steps binary"
-ANSWER = "chunk bigint, level int, bucket int, counts binary, follow binary, runs binary, contexts binary, kind string, context bigint, numbers array<double>"
+ANSWER = "chunk bigint, level int, bucket int, counts binary, follow binary, kept binary, contexts binary, kind string, context bigint, numbers array<double>"
 
 
 def questions(rows: DataFrame, level: int, options: dict) -> DataFrame:
@@ -377,15 +380,16 @@ def answers(asked: DataFrame, level: int, last: bool, buckets: int, least_hot: f
         rows, at = [], 0
         for chunk, size in zip(t.column("chunk").to_pylist(), sizes, strict=True):
             p, at = pair[at : at + size], at + size
-            runs = told = None
+            numbers = of_kept = told = None
             if level == 0:
                 numbers = packed(follow[p])
             else:
-                numbers = None if last else packed(np.diff(rank[p[use[p]]], prepend=0).astype(np.uint32))
-                heads = np.flatnonzero(np.append(True, of[p[1:]] != of[p[:-1]]))
-                o = of[p[heads]]
-                runs, told = packed(np.diff(heads, append=size).astype(np.uint32)), packed(np.stack([kept[o], np.where(kept[o], listed[o], 0), np.where(kept[o], mass[o], 0)]).astype(np.uint64).reshape(-1))
-            rows.append((chunk, level, key[0].as_py(), packed(count[p].astype(np.uint64)), numbers, runs, told, None, None, None))
+                if not last:
+                    numbers = packed(np.diff(rank[p[use[p]]], prepend=0).astype(np.uint32))
+                o = of[p[np.append(True, of[p[1:]] != of[p[:-1]])]]  # its contexts, and of those that are kept what the scores need
+                of_kept, o = packed(kept[o].astype(np.uint8)), o[kept[o]]
+                told = packed(np.concatenate([listed[o], mass[o]]).astype(np.uint64))
+            rows.append((chunk, level, key[0].as_py(), packed(count[p].astype(np.uint64)), numbers, of_kept, told, None, None, None))
         rows += [(None, level, key[0].as_py(), None, None, None, None, *x) for x in driver]
         kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.string(), pa.int64(), pa.list_(pa.float64())]
         give_back()
@@ -410,7 +414,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def answered() -> DataFrame:
         """Chunks with all answers so far, read side by side."""
-        none = F.array().cast("array<struct<level: int, bucket: int, counts: binary, follow: binary, runs: binary, contexts: binary>>")
+        none = F.array().cast("array<struct<level: int, bucket: int, counts: binary, follow: binary, kept: binary, contexts: binary>>")
         rows, every = held, none
         for level, t in enumerate(told):
             one = spark.table(t).select(F.col("of").alias(f"of{level}"), F.col("answers").alias(f"answers{level}"))
@@ -422,7 +426,7 @@ def score_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     for level in range(depth + 1):
         hot = options["hot"][level - 1] if level else np.zeros(0, np.uint64)
         rows = staged(answers(questions(answered() if level else words, level, dict(options)), level, level == depth, buckets, least_hot, hot, gain), "answers")
-        to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "follow", "runs", "contexts").alias("a"))
+        to_chunks = rows.filter("chunk is not null").select(F.col("chunk").alias("of"), F.struct("level", "bucket", "counts", "follow", "kept", "contexts").alias("a"))
         told.append(f"{name}_{level}")
         of = to_chunks.repartition(parts, "of").groupBy("of").agg(F.collect_list("a").alias("answers"))
         write(spark, of.write.bucketBy(parts, "of"), f"{path}-{level}", told[-1])
